@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .arrow import list_array, map_batches, record_batch, texts
 
 #: Entries of a worker's memo of encoded pieces, and the longest piece that it keeps.
-MEMO_ENTRIES, MEMO_LENGTH = 400_000, 40
+MEMO_ENTRIES, MEMO_LENGTH = 200_000, 40
 
 #: The pattern with the standard library's classes. It parts texts as the public one does where
 #: every character is in PLAIN, whose letters, digits and spaces both engines class alike.
@@ -102,41 +102,26 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     schema = "id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        worker, whole = _pieces(path), texts(batch.column(1))
-        all_starts, all_ends, ids, lengths = [], [], [], []
-        # Blocks of a few MB of text: the pieces of a batch of very long texts never stand in memory together.
-        block: list[list[str]] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal block, size
-            known = worker.lookup(block)
-            for pieces in block:
-                part = np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.int32)
-                ids.append(part)
-                lengths.append(len(part))
-                if offsets:
-                    starts, ends = _offsets(pieces, known, token_bytes(path))
-                    all_starts.append(starts)
-                    all_ends.append(ends)
-            block, size = [], 0
-
-        for text in whole:
-            block.append(worker.split(text))
-            size += len(text)
-            if size > 4_000_000:
-                flush()
-        flush()
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        counts = np.array(lengths)
-        out = {"id": batch.column(0), "ids": list_array(join(ids), counts, pa.int32())}
+        parts, counts, starts, ends = _encoded(batch.column(1), path, offsets)
+        join = lambda arrays: np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+        out = {"id": batch.column(0), "ids": list_array(join(parts), counts, pa.int32())}
         if offsets:
-            out |= {"starts": list_array(join(all_starts), counts, pa.int32()), "ends": list_array(join(all_ends), counts, pa.int32())}
+            out |= {"starts": list_array(join(starts), counts, pa.int32()), "ends": list_array(join(ends), counts, pa.int32())}
         return record_batch(**out)
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, schema).withColumnRenamed("id", id_col)
 
 
+def _encoded(column: pa.Array, path: str, offsets: bool = False) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Ids of each text, how many, and with offsets each token's first character and the one after its last."""
+    worker = _pieces(path)
+    split = [worker.split(t) for t in texts(column)]
+    known = worker.lookup(split)
+    ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.int32) for pieces in split]
+    spans = [_offsets(pieces, known, token_bytes(path)) for pieces in split] if offsets else []
+    return ids, np.array([len(i) for i in ids]), [a for a, _ in spans], [b for _, b in spans]
+
+
 def _offsets(pieces: list[str], known: dict, table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter((len(table[i]) for p in pieces for i in known[p]), np.int64)
     raw = np.frombuffer("".join(pieces).encode(), np.uint8)
@@ -148,7 +133,7 @@ def _offsets(pieces: list[str], known: dict, table: list[bytes]) -> tuple[np.nda
 
 
 def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, decoded binary, decoded_text string) of each row of ids; bytes that form no character become U+FFFD in the text only.
+    """(id, decoded binary) of each row of ids: bytes, as tokens may part a character; cast them to string once they are whole.
 
     Null ids count as none; an id outside the vocabulary stands for no bytes.
     """
@@ -172,13 +157,13 @@ def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_c
 
 
 def round_trip(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, decoded): what encode() gives and the bytes that decode() makes of it, row by row without a join."""
+    """(id, ids, decoded): what encode() gives and the bytes that decode() makes of it, in one pass."""
     path = path or default_path()
-    encoded = encode(df, path, id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table, ids = token_bytes(path), batch.column(1)
-        decoded = [b"".join(map(table.__getitem__, ids[n].values.to_numpy(zero_copy_only=False).tolist())) for n in range(batch.num_rows)]
-        return record_batch(id=batch.column(0), ids=ids, decoded=pa.array(decoded, pa.binary()))
+        ids, counts, _, _ = _encoded(batch.column(1), path)
+        table = token_bytes(path)
+        decoded = pa.array([b"".join(map(table.__getitem__, i.tolist())) for i in ids], pa.binary())
+        return record_batch(id=batch.column(0), ids=list_array(np.concatenate(ids), counts, pa.int32()), decoded=decoded)
 
-    return map_batches(encoded.withColumnRenamed(id_col, "id"), run, "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
