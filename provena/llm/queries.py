@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, mixing, nbsvm, rules
+from . import bpe, licenses, linededup, media, mixing, nbsvm, neardup, pii, rules
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,23 @@ def op2_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = nbsvm.fit(docs, nbsvm.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return nbsvm.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{pii.BASE[k][0]}") for k in range(4)], F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_lines: all lines of the text; n_dropped: those taken out; kept_sha256: of the text that stays."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    out = linededup.without_repeats(docs)
+    return out.select("doc_id", "n_lines", F.col("__dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
