@@ -196,6 +196,13 @@ def links(documents: DataFrame, sets: DataFrame, percent: int = 75, id_col: str
     return found.union(confirm(documents, staged(pairs.distinct(), "neardup-pairs"), percent, id_col, text_col))
 
 
+def without_copies(documents: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """documents, all columns, without those that near_duplicates() doesn't keep."""
+    lost = staged(near_duplicates(documents, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("__lost")).distinct(), "neardup-lost")
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost
+    return documents.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
+
+
 def near_duplicates(documents: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, n_shingles, component_id (the smallest id reachable), kept (id is the component's)."""
     sets = staged(_sets(documents, id_col, text_col), "neardup-sets")

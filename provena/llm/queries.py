@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, linededup, media, mixing, nbsvm, neardup, pii, rules
+from . import bpe, licenses, linededup, media, mixing, nbsvm, neardup, pii, repeats, rules
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     out = linededup.without_repeats(docs)
     return out.select("doc_id", "n_lines", F.col("__dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op4_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
