@@ -7,12 +7,13 @@ again on BRANCHES further minwise values chosen by the node, down to DEPTH level
 compared exhaustively too. With 16 trees a pair at similarity 0.75 shares no node with probability
 0.25 ** 16.
 
-Groups of copies must not cost all their pairs. So every node first offers each member its least
-member, each set keeps the offer that most of its nodes make, and confirmed offers are joined into
-components. After ROUNDS of this, nodes that hold a single component are done; in the others only
-pairs of different components are compared. A link inside a component changes no component, so none
-is lost. Pairs are screened by 64 one-bit minwise values (a pair at 0.75 fails with probability
-5e-7) and confirmed on the full shingle sets.
+Groups of copies must not cost all their pairs. So every node first offers each member PIVOTS of its
+members, each set keeps the OFFERS nearest by sketch, and confirmed offers are joined into
+components. After ROUNDS of this, nodes that hold a single component are done. In the others, the
+members outside the node's largest component are compared with all of another component if there
+are at most LEAF of them; else the node branches. A link inside a component changes no component, so
+none is lost. Pairs are screened by sketches of 1,024 one-bit minwise values (a pair at 0.75 fails
+with probability 4e-6) and confirmed on the full shingle sets.
 
 Defined results: null texts and texts without words have the empty set and link with nothing; texts
 under five words have one shingle, all their words; rows that repeat an id share one component, and
@@ -23,6 +24,7 @@ as a copy; an empty table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +36,17 @@ from .arrow import list_array, map_batches, record_batch
 from .components import components
 from .staging import staged
 
-WIDTH, POSITIONS, TREES, BRANCHES, DEPTH, LEAF, ROUNDS = 5, 64, 16, 4, 4, 40, 2
-#: One-bit minwise values in which a pair may differ.
-SCREEN = 21
+WIDTH, POSITIONS, TREES, BRANCHES, DEPTH, LEAF, ROUNDS, PIVOTS, OFFERS = 5, 64, 16, 4, 4, 40, 2, 4, 3
+#: Bits of a sketch, and in how many a pair may differ: 128 expected at similarity 0.75, and 4.5 deviations more.
+BITS, SCREEN = 1024, 176
 #: Ids of candidate documents up to which they are broadcast to pick texts (8 bytes each); beyond, texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20_240_601)
-_MULTIPLY = _random.integers(1, 2**63, POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _random.integers(0, 2**63, POSITIONS, np.uint64)
+_MULTIPLY = _random.integers(0, 2**31, BITS, np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _random.integers(0, 2**32, BITS, np.uint32)
 
 
 class _WordHashes(dict):
@@ -80,36 +82,36 @@ def shingles(text: bytes | None) -> np.ndarray:
 
 
 def minwise(found: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of the least value of each of POSITIONS hash functions."""
-    best = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(found), 4096):
-        values = found[start : start + 4096, None] * _MULTIPLY + _ADD
-        np.minimum(best, values.min(0), out=best)
-    return (best >> np.uint64(32)).astype(np.uint32)
+    """The least value of each of BITS hash functions."""
+    best, values = np.full(BITS, np.iinfo(np.uint32).max, np.uint32), (found >> np.uint64(32)).astype(np.uint32)
+    for start in range(0, len(values), 64):
+        hashed = values[start : start + 64, None] * _MULTIPLY
+        hashed += _ADD
+        np.minimum(best, hashed.min(0), out=best)
+    return best
 
 
 def _sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, digest, minwise array<int>, bits long): the last three null for the empty set."""
-    weights = np.uint64(1) << np.arange(POSITIONS, dtype=np.uint64)
+    """(id, n_shingles, digest, minwise array<int>, sketch array<long>): the last three null for the empty set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, digests, values, bits = [], [], [], []
+        sizes, digests, values, sketches = [], [], [], []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             found = shingles(text)
             sizes.append(len(found))
             if not len(found):
                 digests.append(None)
                 values.append(None)
-                bits.append(None)
+                sketches.append(None)
                 continue
             least = minwise(found)
             digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-            values.append(least.view(np.int32))
-            bits.append(int((weights * ((least >> np.uint32(3)) & np.uint32(1)).astype(np.uint64)).sum().view(np.int64)))
-        return record_batch(id=batch.column(0), n_shingles=pa.array(sizes, pa.int64()), digest=pa.array(digests, pa.binary()), minwise=pa.array(values, pa.list_(pa.int32())), bits=pa.array(bits, pa.int64()))
+            values.append(least[:POSITIONS].view(np.int32))
+            sketches.append(np.packbits(((least >> np.uint32(13)) & np.uint32(1)).astype(bool)).view(np.int64))
+        return record_batch(id=batch.column(0), n_shingles=pa.array(sizes, pa.int64()), digest=pa.array(digests, pa.binary()), minwise=pa.array(values, pa.list_(pa.int32())), sketch=pa.array(sketches, pa.list_(pa.int64())))
 
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "id long, n_shingles long, digest binary, minwise array<int>, bits long")
+    return map_batches(rows, run, "id long, n_shingles long, digest binary, minwise array<int>, sketch array<long>")
 
 
 def _full_sets(documents: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,17 +137,21 @@ def confirm(documents: DataFrame, pairs: DataFrame, percent: int, id_col: str, t
     return staged(common.where(100 * F.col("c") >= percent * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b"), "neardup-links")
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= SCREEN
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two sketches differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BITS // 64)])
 
 
-def _offers(members: DataFrame) -> DataFrame:
-    """For each set the least member of another component that most of its nodes offer: (a, b)."""
-    nodes = members.groupBy("node").agg(F.min(F.struct("id", "component", "bits")).alias("least"))
-    offers = members.join(nodes, "node").where((F.col("component") != F.col("least.component")) & _near("bits", "least.bits"))
-    counted = offers.groupBy("id", F.col("least.id").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("id").agg(F.max(F.struct("n", (-F.col("other")).alias("o"))).alias("best"))
-    return best.select((-F.col("best.o")).alias("a"), F.col("id").alias("b"))
+def _offers(members: DataFrame, sets: DataFrame, draw: int) -> DataFrame:
+    """For each set the OFFERS nearest sets of other components among the pivots of its nodes, as pairs (a, b)."""
+    pivots = [F.min(F.struct(F.xxhash64(F.lit(draw + k), F.col("id")).alias("h"), "id", "component")) for k in range(PIVOTS)]
+    nodes = members.groupBy("node").agg(F.array_distinct(F.transform(F.array(*pivots), lambda p: F.struct(p["id"].alias("other"), p["component"].alias("of")))).alias("pivots"))
+    offers = members.join(nodes, "node").select("id", "component", F.inline("pivots")).where("component != of").select("id", "other").distinct()
+    known = offers.join(sets.select("id", F.col("sketch").alias("x")), "id").join(sets.select(F.col("id").alias("other"), F.col("sketch").alias("y")), "other")
+    near = known.select("id", "other", _apart("x", "y").alias("apart")).where(F.col("apart") <= SCREEN)
+    best = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("apart", "other"))), 1, OFFERS).alias("best"))
+    pairs = best.select("id", F.explode("best.other").alias("other"))
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -155,41 +161,45 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return out.withColumn("component", F.coalesce("component", "id"))
 
 
-def _compared(members: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Screened pairs of different components in small nodes (with every: in all), and the members of the other nodes that hold several components."""
-    nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
-    open_ = members.join(nodes.select("node", "n"), "node")
-    small = open_ if every else open_.where(F.col("n") <= LEAF)
-    one, two = small.select("node", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("ba")), small.select("node", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
-    pairs = one.join(two, "node").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("ba", "bb"))
-    return pairs.select("a", "b").distinct(), open_.where(F.col("n") > LEAF).drop("n")
+def _compared(members: DataFrame, sets: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Screened pairs of different components in nodes with few members outside their largest component (with every: in all), and the members of the other nodes that hold several components."""
+    shares = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    nodes = shares.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest")).where("n > largest.n")
+    nodes = nodes.select("node", (F.col("n") - F.col("largest.n")).alias("outside"), F.col("largest.component").alias("main"))
+    open_ = members.join(nodes, "node")
+    small = open_ if every else open_.where(F.col("outside") <= LEAF)
+    known = small.join(sets.select("id", "sketch"), "id")
+    one = known.where("component != main").select("node", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("x"))
+    two = known.select("node", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("y"), (F.col("component") == F.col("main")).alias("inside"))
+    pairs = one.join(two, "node").where((F.col("ca") != F.col("cb")) & (F.col("inside") | (F.col("a") < F.col("b"))) & (_apart("x", "y") <= SCREEN))
+    found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found, open_.where(F.col("outside") > LEAF).select("id", "node", "component")
 
 
 def _branched(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Members of the next level: each node chooses BRANCHES positions, and a member's values there name its children."""
-    held = members.groupBy("id", "bits", "component").agg(F.collect_list("node").alias("nodes"))
-    children = held.join(sets.select("id", "minwise"), "id").select("id", "bits", "component", "minwise", F.explode("nodes").alias("node"))
+    children = members.join(sets.select("id", "minwise"), "id")
     place = lambda k: F.pmod(F.xxhash64("node", k), F.lit(POSITIONS)).cast("int")
-    return children.select("id", "bits", "component", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(BRANCHES)), lambda k: F.xxhash64("node", place(k), F.get("minwise", place(k)))))).alias("node"))
+    return children.select("id", "component", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(BRANCHES)), lambda k: F.xxhash64("node", place(k), F.get("minwise", place(k)))))).alias("node"))
 
 
 def links(documents: DataFrame, sets: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Confirmed links (a, b) between sets (id, minwise, bits), enough to join everything that is joined by any links."""
+    """Confirmed links (a, b) between sets (id, minwise, sketch), enough to join everything that is joined by any links."""
     nodes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.get("minwise", t)))
-    rows = sets.select("id", "bits", F.explode(nodes).alias("node"))
+    rows = sets.select("id", F.explode(nodes).alias("node"))
     shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     members = staged(rows.join(shared, "node").withColumn("component", F.col("id")), "neardup-nodes")
     found = None
-    for _ in range(ROUNDS):
-        new = confirm(documents, staged(_offers(members), "neardup-offers"), percent, id_col, text_col)
+    for draw in range(ROUNDS):
+        new = confirm(documents, staged(_offers(members, sets, draw * PIVOTS), "neardup-offers"), percent, id_col, text_col)
         found = new if found is None else found.union(new)
         members = staged(_labelled(members, found), "neardup-nodes")
-    level = members
-    pairs = None
+    level, pairs = members, None
     for depth in range(DEPTH):
-        small, large = _compared(level, every=depth == DEPTH - 1)
+        last = depth == DEPTH - 1
+        small, large = _compared(level, sets, every=last)
         pairs = small if pairs is None else pairs.union(small)
-        if depth < DEPTH - 1:
+        if not last:
             level = staged(_branched(large, sets), "neardup-nodes")
             if level.isEmpty():
                 break
@@ -206,10 +216,10 @@ def without_copies(documents: DataFrame, percent: int = 75, id_col: str = "doc_i
 def near_duplicates(documents: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, n_shingles, component_id (the smallest id reachable), kept (id is the component's)."""
     sets = staged(_sets(documents, id_col, text_col), "neardup-sets")
-    classes = staged(sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("minwise").alias("minwise"), F.first("bits").alias("bits")), "neardup-classes")
+    classes = staged(sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("minwise").alias("minwise"), F.first("sketch").alias("sketch")), "neardup-classes")
     # An id with several texts stands in several classes; those are linked as they share a document.
     own = classes.where("id is not null")
-    one = own.groupBy("id").agg(F.min(F.struct("digest", "minwise", "bits")).alias("s")).select("id", "s.minwise", "s.bits")
+    one = own.groupBy("id").agg(F.min(F.struct("digest", "minwise", "sketch")).alias("s")).select("id", "s.minwise", "s.sketch")
     joined = components(links(documents, staged(one, "neardup-one"), percent, id_col, text_col))
     named = classes.select("digest", F.col("id").alias("first")).join(joined, F.col("first") == F.col("id"), "left").select(F.col("digest").alias("__d"), F.coalesce("component", "first").alias("component"))
     out = sets.select("id", "n_shingles", "digest").join(named, F.col("digest") == F.col("__d"), "left")
