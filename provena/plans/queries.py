@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text
-from ..operators import evaluate, lineage, locate, sessions, trace
+from ..functions import cues, numbers, text
+from ..operators import evaluate, lineage, locate, markup, sessions, trace
+from ..sources import records
+from ..streaming import events as stream
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -440,3 +442,103 @@ def agg_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win_lag_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("b", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")))
     return rows.where("b IS NULL OR b <> role").select("conv_id", "turn", "role")
+
+
+# Streams, run over what is there, and held against the batch SQL.
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.read_events(spark, f"{sf_dir}/events.parque[t]")  # a pattern, as a stream takes no path of a single file
+
+
+@query(ORACLE["agg_daily"])
+def st_tumbling_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.run_available(stream.daily(_event_stream(spark, sf_dir)), "complete", "daily")
+
+
+@query()
+def st_uniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.run_available(stream.daily_uniques(_event_stream(spark, sf_dir)), "complete", "uniques")
+
+
+@query("""WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events),
+s AS (SELECT *, count(*) FILTER (WHERE b IS NULL OR ts >= b + INTERVAL 30 MINUTE) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM l)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS steps FROM s GROUP BY user_id, n""")
+def st_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.run_available(stream.sessions(_event_stream(spark, sf_dir)), "complete", "sessions")
+
+
+@query(f"""WITH {STEPS},
+a AS (SELECT session, min((t, seq)) AS p FROM steps WHERE name = 'view' GROUP BY 1),
+b AS (SELECT s.session, min((t, seq)) AS p FROM steps s JOIN a ON a.session = s.session AND (s.t, s.seq) > a.p WHERE name = 'click' GROUP BY 1),
+c AS (SELECT s.session, min((t, seq)) AS p FROM steps s JOIN b ON b.session = s.session AND (s.t, s.seq) > b.p WHERE name = 'purchase' GROUP BY 1)
+SELECT session, 1 + CAST(b.p IS NOT NULL AS INTEGER) + CAST(c.p IS NOT NULL AS INTEGER) AS reached FROM a LEFT JOIN b USING (session) LEFT JOIN c USING (session)""")
+def st_funnel_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = stream.run_available(stream.funnel(_event_stream(spark, sf_dir), STAGES), "update", "funnel")
+    return changes.groupBy("session").agg(F.max("reached").alias("reached"))
+
+
+# Papers written from the tables and read back: an order is a paper, its lines cite suppliers, its sentences take a stance by line number.
+
+SAID = ("Unlike prior work on this ", "In this paper we extend ", "Throughout we adopt the protocol of ", "We compare our system with ", "Many systems were described in ")
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, number = F.col("l_linenumber"), F.col("l_linenumber") % 5
+    lead = F.element_at(F.array(*map(F.lit, SAID)), 1 + number)
+    tail = F.when(number == 0, F.lit(", our results hold. % \\cite{never}\n")).otherwise(F.lit(" for its main results.\n"))
+    sentence = F.concat(lead, F.lit("\\cite{s"), F.col("l_suppkey").cast("string"), F.lit(",p"), F.col("l_partkey").cast("string"), F.lit("}"), tail)
+    entry = F.concat(F.lit("\\bibitem{s"), F.col("l_suppkey").cast("string"), F.lit("} A. Author "), line.cast("string"), F.lit(". \\newblock Title of \\emph{work} "), F.col("l_suppkey").cast("string"), F.lit(". \\newblock Venue, 1999; "), (F.lit(2000) + line).cast("string"), F.lit(". arXiv:"), F.lpad((F.col("l_partkey") % 10000).cast("string"), 4, "0"), F.lit(".12345\n"))
+    row = F.concat(F.lit("Line "), line.cast("string"), F.lit(" & "), F.format_string("%.1f", F.col("l_quantity")), F.lit(" & \\textbf{"), F.format_string("%.2f", F.col("l_discount")), F.lit("} \\\\\n"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_discount", sentence.alias("s"), entry.alias("e"), row.alias("r"))
+    def joined(of: str):
+        ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_discount", of)))
+        return F.array_join(F.transform(ordered, lambda x: x[of]), "")
+
+    papers = lines.groupBy(F.col("l_orderkey").alias("paper")).agg(joined("s").alias("s"), joined("e").alias("e"), joined("r").alias("r"))  # lines of an order are few
+    source = F.concat(F.lit("\\documentclass{article}\n\\begin{document}\n\\begin{abstract}A short abstract.\\end{abstract}\n\\section{Introduction}\nNothing is cited here.\n\\section{Our Method}\n\\subsection{Parts}\n"), F.col("s"), F.lit("\\begin{tabular}{lrr}\\toprule\nName & Quantity & Discount \\\\ \\midrule\n"), F.col("r"), F.lit("\\bottomrule\\end{tabular}\n\\begin{thebibliography}{9}\n"), F.col("e"), F.lit("\\end{thebibliography}\n\\end{document}"))
+    return papers.select("paper", source.alias("source"))
+
+
+@query("""SELECT o AS paper, section, title, level, kind FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem), (VALUES (0, 'Abstract', 0, 'abstract'), (1, 'Introduction', 1, 'introduction'), (2, 'Our Method', 1, 'method'), (3, 'Parts', 2, 'method')) v(section, title, level, kind)""")
+def fn_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.sections(_papers(spark, sf_dir)).drop("text")
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_discount) AS n FROM lineitem)
+SELECT l_orderkey AS paper, n AS ordinal, unnest(['s' || l_suppkey, 'p' || l_partkey]) AS key, 'method' AS kind, ['contests', 'extends', 'inherits', 'compares', 'background'][1 + l_linenumber % 5] AS stance FROM n""")
+def cl_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = markup.citation_sites(_papers(spark, sf_dir))
+    stance = cues.read_stance(F.col("before"), F.col("after"), F.col("sentence"))
+    return sites.select("paper", "ordinal", "key", "kind", stance["stance"].alias("stance"))
+
+
+@query("""SELECT l_orderkey AS paper, 's' || l_suppkey AS key, 'A. Author ' || l_linenumber AS authors, 'Title of work ' || l_suppkey AS title, 2000 + l_linenumber AS year, lpad(CAST(l_partkey % 10000 AS VARCHAR), 4, '0') || '.12345' AS own_id FROM lineitem""")
+def fn_bibparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.references(_papers(spark, sf_dir)).drop("venue")
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_discount) AS n FROM lineitem)
+SELECT l_orderkey AS paper, n AS "row", 'Line ' || l_linenumber AS row_header, unnest(['Quantity', 'Discount']) AS column_header, unnest([round(l_quantity, 1), round(l_discount, 2)]) AS value, unnest([1, 2]) AS decimals FROM n""")
+def fn_buildtable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = markup.table_cells(_papers(spark, sf_dir)).where("value IS NOT NULL")
+    return cells.select("paper", "row", "row_header", "column_header", F.round(F.col("value").cast("double"), 2).alias("value"), "decimals")
+
+
+ASSUMED = ("We assume that the part arrives on time in all of the cases.", "For simplicity the cost of the part is left out of all the sums.", "We do not assume that parts arrive on time in any of the cases.", "The part arrives on time in all of the cases that we have seen.", "This holds provided that the part arrives on time in all cases.")
+
+
+@query("SELECT p_partkey, ['stated', 'simplifying', NULL, NULL, 'conditional'][1 + p_size % 5] AS kind FROM part")
+def cl_assume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentence = F.element_at(F.array(*map(F.lit, ASSUMED)), 1 + F.col("p_size") % 5)
+    return table(spark, sf_dir, "part").select("p_partkey", cues.read_assumption(sentence)["kind"].alias("kind"))
+
+
+@query("SELECT page_id, 'Page ' || page_id || ' & more' AS title, url AS link, DATE '2024-01-01' + CAST(page_id % 300 AS INTEGER) AS day FROM pages WHERE page_id % 7 <> 0")
+def src_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("page_id").cast("string")
+    name = F.when(F.col("page_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("Page "), number, F.lit(" &amp; more")))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int")), "yyyy-MM-dd")
+    xml = F.concat(F.lit("<feed><entry><title>"), name, F.lit('</title><link rel="alternate" href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('"/><summary>s</summary><published>'), day, F.lit("T00:00:00Z</published></entry></feed>"))
+    items = records.feed_items(table(spark, sf_dir, "pages").select(number.alias("source"), xml.alias("xml")))
+    return items.select(F.col("source").cast("long").alias("page_id"), "title", "link", F.to_date("published").alias("day"))
