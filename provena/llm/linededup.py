@@ -67,14 +67,6 @@ def _texts(documents: DataFrame, hashes: DataFrame, id_col: str, text_col: str)
     return lines.groupBy("hash").agg(F.min("line").alias("line"))
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose lines are within EDITS edits."""
-    hashes = staged(pairs.select(F.col("a").alias("hash")).union(pairs.select("b")).distinct(), "lines-ids")
-    texts = staged(_texts(documents, hashes, id_col, text_col), "lines-texts")
-    both = pairs.join(texts.select(F.col("hash").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("hash").alias("b"), F.col("line").alias("y")), "b")
-    return staged(both.where(F.levenshtein("x", "y", EDITS) >= 0).select("a", "b"), "lines-links")
-
-
 def links(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): hashes of different lines within EDITS edits, enough of them to join all lines that any links join."""
     long = _lines(documents, id_col, text_col).withColumn("length", F.length("line")).where(F.col("length") >= LEAST)
@@ -85,17 +77,20 @@ def links(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     group = Window.partitionBy("key")
     shared = rows.withColumn("least", F.min("hash").over(group)).withColumn("most", F.max("hash").over(group)).withColumn("owned", F.max("own").over(group))
     members = staged(shared.where("least != most and owned").select("key", "hash", "own", "least").distinct(), "lines-members")
-    stars = members.where("hash != least").select(F.col("least").alias("a"), F.col("hash").alias("b")).distinct()
-    first = _verified(documents, staged(stars, "lines-stars"), id_col, text_col)
+    texts = staged(_texts(documents, staged(members.select("hash").distinct(), "lines-ids"), id_col, text_col), "lines-texts")
+    near = F.levenshtein("x", "y", EDITS) >= 0  # a condition of the join, so only links leave it
+    stars = members.where("hash != least").select("hash", "least").distinct().join(texts.withColumnRenamed("line", "x"), "hash")
+    first = stars.join(texts.select(F.col("hash").alias("least"), F.col("line").alias("y")), "least").where(near)
+    first = staged(first.select(F.col("least").alias("a"), F.col("hash").alias("b")), "lines-links")
     joined = components(first)
     placed = members.join(joined, F.col("hash") == F.col("id"), "left").select("key", "hash", "own", "least", F.coalesce("component", "hash").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count_distinct("hash").alias("n")).where("c0 != c1 and n > 2").select("key")
-    rest = placed.join(mixed, "key")
-    one = rest.where("own").select("key", F.col("hash").alias("x"), F.col("component").alias("cx"))
-    two = rest.select("key", F.col("hash").alias("y"), F.col("component").alias("cy"), "least")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 != c1 and n > 2").select("key")
+    rest = placed.join(mixed, "key").join(texts, "hash")
+    one = rest.where("own").select("key", F.col("hash").alias("a"), F.col("component").alias("ca"), F.col("line").alias("x"))
+    two = rest.select("key", F.col("hash").alias("b"), F.col("component").alias("cb"), F.col("line").alias("y"), "least")
     # The pairs with a group's first line are known.
-    pairs = one.join(two, "key").where("cx != cy and x != least and y != least").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return first.union(_verified(documents, staged(pairs, "lines-pairs"), id_col, text_col))
+    pairs = one.join(two, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") != F.col("least")) & (F.col("b") != F.col("least")) & near)
+    return first.union(staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-links"))
 
 
 def dropped_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies: int = COPIES) -> DataFrame:
