@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cues, numbers, text
-from ..operators import evaluate, lineage, locate, markup, sessions, trace
+from ..operators import evaluate, geometry, library, lineage, locate, markup, sessions, trace
 from ..sources import records
 from ..streaming import events as stream
 
@@ -542,3 +542,106 @@ def src_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = F.concat(F.lit("<feed><entry><title>"), name, F.lit('</title><link rel="alternate" href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('"/><summary>s</summary><published>'), day, F.lit("T00:00:00Z</published></entry></feed>"))
     items = records.feed_items(table(spark, sf_dir, "pages").select(number.alias("source"), xml.alias("xml")))
     return items.select(F.col("source").cast("long").alias("page_id"), "title", "link", F.to_date("published").alias("day"))
+
+
+# Library views: turns of conversations stand for readings.
+
+READINGS = "r AS (SELECT conv_id AS paper, turn, text, role AS cue, 'turn ' || turn AS about FROM conversations)"
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper"), "turn", "text", F.col("role").alias("cue"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("about"))
+
+
+@query(f"""WITH {READINGS}, h AS (SELECT paper, text, min(CASE WHEN contains(lower(text), 'the of') THEN 0 WHEN contains(lower(cue || ' ' || about), 'the of') THEN 1 WHEN contains(lower(text), 'the') AND contains(lower(text), 'of') THEN 2 ELSE 3 END) AS tier
+FROM r WHERE contains(lower(text || ' ' || cue || ' ' || about), 'the') AND contains(lower(text || ' ' || cue || ' ' || about), 'of') GROUP BY 1, 2) SELECT tier, paper, text FROM h ORDER BY tier, least(length(text), 900), paper, text LIMIT 40""")
+def top_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.search(_readings(spark, sf_dir), "the  of")
+
+
+@query(f"WITH {READINGS} SELECT paper, turn FROM r WHERE contains(lower(text || ' ' || cue || ' ' || about), 'tion') ORDER BY paper * 1000 + turn LIMIT 20")
+def top_mcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.first_matches(_readings(spark, sf_dir).withColumn("n", F.col("paper") * 1000 + F.col("turn")), "TION", "n").select("paper", "turn")
+
+
+@query("SELECT p_brand AS id, p_name AS title, count(*) AS votes FROM part GROUP BY 1, 2")
+def agg_attested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.attested(table(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), F.col("p_name").alias("title")))
+
+
+CHOSEN = """v AS (SELECT p_brand AS id, CASE WHEN p_size % 3 = 0 THEN upper(p_type) ELSE p_type END AS title FROM part), c AS (SELECT id, title, count(*) AS votes, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS folded FROM v GROUP BY 1, 2),
+p AS (SELECT *, sum(votes) OVER (PARTITION BY id, folded) AS pool FROM c),
+t AS (SELECT id, title FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY pool DESC, folded, length(regexp_replace(title, '[^A-Z]', '', 'g')) DESC, votes DESC, title) = 1)"""
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.when(F.col("p_size") % 3 == 0, F.upper("p_type")).otherwise(F.col("p_type"))
+    return library.chosen_titles(table(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), title.alias("title")))
+
+
+@query(f"WITH {CHOSEN} SELECT * FROM t")
+def agg_attested_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark, sf_dir)
+
+
+@query(f"WITH {CHOSEN}, f AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS folded FROM t) SELECT id, title FROM f WHERE folded IN (SELECT folded FROM f GROUP BY 1 HAVING count(DISTINCT id) = 1)")
+def agg_resolve_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.unclaimed(_titles(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN p_size % 9 = 0 THEN 'uncategorised' ELSE p_type END AS label, count(*) AS n FROM part GROUP BY 1")
+def agg_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.grouped(table(spark, sf_dir, "part").withColumn("c", F.when(F.col("p_size") % 9 == 0, F.lit("")).otherwise(F.col("p_type"))), "c")
+
+
+@query("""WITH c AS (SELECT p_brand AS label, count(*) AS n FROM part GROUP BY 1), s AS (SELECT * FROM c ORDER BY n DESC, label LIMIT 6)
+SELECT label, n, (SELECT count(*) FROM c) AS "distinct", (SELECT sum(n)::BIGINT FROM c) AS total, round((SELECT sum(n) FROM s) / (SELECT sum(n) FROM c), 6) AS covered FROM s""")
+def agg_sections_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.top_with_totals(table(spark, sf_dir, "part"), "p_brand")
+
+
+@query("SELECT lang, count(*) AS total, count(*) FILTER (WHERE n_chars >= 1000) AS long FROM documents GROUP BY ROLLUP (lang)")
+def agg_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.with_total(table(spark, sf_dir, "documents"), "lang", {"total": F.count(F.lit(1)), "long": F.count_if(F.col("n_chars") >= 1000)})
+
+
+# Geometry: the lines of an order are boxes on its page.
+
+BOXES = "b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS id, l_linenumber AS line, CAST(l_partkey % 40 AS DOUBLE) AS x0, CAST(l_suppkey % 9 AS DOUBLE) AS y0, CAST(l_partkey % 40 + 12 AS DOUBLE) AS x1, CAST(l_suppkey % 9 + 4 AS DOUBLE) AS y1 FROM lineitem)"
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 9).cast("double")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.row_number().over(order).alias("id"), F.col("l_linenumber").alias("line"), x.alias("x0"), y.alias("y0"), (x + 12).alias("x1"), (y + 4).alias("y1"))
+
+
+_IN_BOTH = "greatest(0.0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0.0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))"
+
+
+@query(f"WITH {BOXES} SELECT a.page, a.id AS a, c.id AS b, round({_IN_BOTH.format(a='a', b='c')} / 48.0, 6) AS share FROM b a JOIN b c ON a.page = c.page AND a.id < c.id WHERE {_IN_BOTH.format(a='a', b='c')} / 48.0 > 0.2")
+def join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.overlapping(_boxes(spark, sf_dir).drop("line"))
+
+
+@query(f"WITH {BOXES} SELECT r.page, r.id AS rect, w.id AS word FROM b r JOIN b w ON r.page = w.page WHERE r.line = 1 AND (w.x0 + w.x1) / 2 BETWEEN r.x0 - 0.5 AND r.x1 + 0.5 AND (w.y0 + w.y1) / 2 BETWEEN r.y0 - 0.5 AND r.y1 + 0.5")
+def join_pointrect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir)
+    return geometry.words_in(boxes.where("line = 1").drop("line"), boxes.drop("line"))
+
+
+@query(f"WITH {BOXES}, s AS (SELECT m.page, m.id AS mark, r.id AS reading, round({_IN_BOTH.format(a='m', b='r')} / 48.0, 6) AS score FROM b m JOIN b r ON m.page = r.page AND m.line = 1 AND r.line > 1) SELECT * FROM s WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY page, mark ORDER BY score DESC, reading) = 1")
+def join_markreading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir)
+    return geometry.best_reading(boxes.where("line = 1").drop("line"), boxes.where("line > 1").drop("line"))
+
+
+@query(f"WITH {BOXES} SELECT page, line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS words FROM b GROUP BY 1, 2")
+def win_group_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.lines(_boxes(spark, sf_dir))
+
+
+@query("WITH l AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS t FROM documents) SELECT regexp_replace(trim(t), '\\d+', '#', 'g') AS text, count(DISTINCT page) AS pages FROM l GROUP BY 1 HAVING count(DISTINCT page) >= 3")
+def loc_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("text"))
+    return geometry.running_heads(lines)
