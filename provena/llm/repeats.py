@@ -4,19 +4,19 @@ A window is WINDOW bytes of one document. Windows are ordered only by their firs
 most-significant-digit passes, and a window leaves as soon as its digit is unique: the groups that
 stay equal to the end are exactly the repeated windows.
 
-Every window holds an anchor, the leftmost least hash of its GRAM-byte strings, so equal windows
-hold the same string at the same place, and windows need only be compared with those of other
-anchors. Around an anchor the windows that choose it start at most REACH bytes before it.
+Every window chooses an anchor, the leftmost least hash of its GRAM-byte strings, so equal windows
+choose the same string at the same place, and windows need only be compared with those of other
+anchors. The windows that choose one anchor start side by side, up to REACH bytes before it.
 
 Pass 1, digit: the anchor's own GRAM bytes. Anchors with a unique digit leave.
-Pass 2, digit: the whole context of an anchor, from its first possible window to the end of its
-last. All windows of a repeated context are repeated, and one copy of it goes on as a witness.
-Pass 3, digit: the bytes that a run of STEP neighbouring windows have in common. Runs with a unique
-digit leave; runs whose whole span is repeated are decided.
+Pass 2, digit: the context, all bytes of the windows that choose the anchor. All windows of a
+repeated context are repeated, and one copy of it goes on as a witness.
+Pass 3, digit: the bytes that a run of up to STEP neighbouring windows have in common. Runs with a
+unique digit leave; runs whose whole span is repeated are decided.
 Pass 4, digit: each window of the undecided runs and of their partners, all WINDOW bytes.
 
-Digits are 64-bit hashes of the bytes. Rows hold hashes and positions; texts are read for passes 1
-to 3 together, for pass 4 (only those with undecided runs) and for the removal.
+Digits are 64-bit hashes of the bytes. Rows hold hashes and positions; texts are read four times, by
+a join with lists of positions that is a broadcast only up to BROADCAST_ITEMS positions.
 
 Defined results: null counts as an empty text; texts under WINDOW bytes hold no window and lose
 nothing; rows that repeat an id are each an occurrence, so their windows are repeated; a
@@ -27,23 +27,21 @@ table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_batches, record_batch, utf8_buffer
 from .staging import staged
 
-WINDOW, GRAM, STEP = 400, 32, 93
+WINDOW, GRAM, STEP = 400, 32, 48
 REACH = WINDOW - GRAM  # an anchor's windows start 0 to REACH bytes before it
-RUNS = -(-(REACH + 1) // STEP)
 #: Bytes that are hashed at once.
 PART = 1 << 20
-#: Ids of documents up to which they are broadcast to pick texts (8 bytes each); beyond, all texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Positions (16 bytes each) up to which their lists are broadcast to the texts; beyond, texts are joined by shuffle.
+BROADCAST_ITEMS = 2_000_000
 _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -79,9 +77,9 @@ class Hashes:
         return _mixed((self.upto[end] - self.upto[start]) * Hashes.inverse[start] + (end - start).astype(np.uint64) * _C + _VALUE[salt]) | np.uint64(1)
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Positions of the anchors of all windows that lie in one text; ends: the texts' ends in raw, which holds them one after another."""
-    found = [np.zeros(0, np.int64)]
+def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all windows that lie in one text, and the first and last start of the windows that choose each; ends: the texts' ends in raw, which holds them one after another."""
+    found = []
     for at in range(0, max(len(raw) - WINDOW + 1, 0), PART):
         part = raw[at : at + PART + WINDOW - 1]
         h, step, width = part.astype(np.uint64) * _C + np.uint64(1), _B, 1
@@ -96,92 +94,103 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
             least = np.minimum(least[:-shift], least[shift:])
             width += shift
         starts = np.arange(at, at + len(least))
-        inside = starts + WINDOW <= ends[np.searchsorted(ends, starts, "right")]
-        places = (least[inside] & _PLACE).astype(np.int64) + at
+        starts = starts[starts + WINDOW <= ends[np.searchsorted(ends, starts, "right")]]
+        places = (least[starts - at] & _PLACE).astype(np.int64) + at
         if len(places):
-            found.append(places[np.append(True, places[1:] != places[:-1])])
-    return np.unique(np.concatenate(found))
-
-
-def _digits(raw: np.ndarray, offsets: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
-    """The anchors of texts that lie in raw one after another, with the digits of passes 1 to 3; in parts."""
-    starts, ends = offsets[:-1], offsets[1:]
-    places = anchors(raw, ends)
-    owner = np.searchsorted(ends, places, "right")
-    cut = np.flatnonzero(np.diff(places // PART)) + 1
-    for part in np.split(np.arange(len(places)), cut):
-        if not len(part):
-            continue
-        low_end = max(int(places[part[0]]) - REACH, 0)
-        place, begin, end = places[part] - low_end, starts[owner[part]] - low_end, ends[owner[part]] - low_end
-        hashes = Hashes(raw[low_end : int(places[part[-1]]) + 2 * WINDOW])
-        # Windows around an anchor start low to high bytes before it.
-        high, low = np.minimum(place - begin, REACH), np.maximum(place + WINDOW - end, 0)
-        out = {"owner": owner[part], "place": place - begin, "low": low, "high": high, "gram": hashes.of(place, place + GRAM)}
-        out["context"] = hashes.of(place - high, place - low + WINDOW) + high.astype(np.uint64) * _D
-        for run in range(RUNS):
-            near, far = run * STEP, min(run * STEP + STEP - 1, REACH)
-            there = (near <= high) & (far >= low)  # then all of the run's common bytes are in the text
-            zero = lambda x, ok: np.where(ok, x, 0)
-            out[f"inner{run}"] = zero(hashes.of(zero(place - near, there), zero(place - far + WINDOW, there), run + 1), there)
-            full = (far <= high) & (near >= low)
-            out[f"outer{run}"] = zero(hashes.of(zero(place - far, full), zero(place - near + WINDOW, full), run + 1), full)
-        yield out
-
-
-_INTS = ("place", "low", "high")
-_LONGS = ("gram", "context", *(f"{n}{r}" for r in range(RUNS) for n in ("inner", "outer")))
+            edge = np.flatnonzero(places[1:] != places[:-1])
+            found.append((places[np.append(edge, len(places) - 1)], starts[np.append(0, edge + 1)], starts[np.append(edge, len(starts) - 1)]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    places, first, last = (np.concatenate(c) for c in zip(*found))
+    edge = np.flatnonzero(places[1:] != places[:-1])  # an anchor of windows in two parts is one
+    return places[np.append(edge, len(places) - 1)], first[np.append(0, edge + 1)], last[np.append(edge, len(last) - 1)]
 
 
 def _anchor_rows(documents: DataFrame) -> DataFrame:
-    """A row for each anchor of documents (id, text): id, place, low, high and the digits (0: bytes outside the text)."""
+    """A row for each anchor of documents (id, text): id, place, low and high (its windows start so many bytes before it), gram, context."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         raw, offsets = utf8_buffer(batch.column(1))
-        found = list(_digits(raw, offsets))
+        every, first, last = anchors(raw, offsets[1:])
+        if not len(every):
+            return None
+        owner = np.searchsorted(offsets[1:], every, "right")
+        gram, context = np.zeros(len(every), np.uint64), np.zeros(len(every), np.uint64)
+        for part in np.split(np.arange(len(every)), np.flatnonzero(np.diff(first // PART)) + 1):
+            begin = int(first[part].min())
+            hashes = Hashes(raw[begin : int(last[part].max()) + WINDOW])
+            place = every[part] - begin
+            gram[part] = hashes.of(place, place + GRAM)
+            context[part] = hashes.of(first[part] - begin, last[part] - begin + WINDOW) + (every[part] - first[part]).astype(np.uint64) * _D
+        int32 = lambda v: pa.array(v.astype(np.int32))
+        return record_batch(id=batch.column(0).take(pa.array(owner)), place=int32(every - offsets[owner]), low=int32(every - last), high=int32(every - first), gram=pa.array(gram.view(np.int64)), context=pa.array(context.view(np.int64)))
+
+    return map_batches(documents, run, "id long, place int, low int, high int, gram long, context long")
+
+
+def _spread(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... of each item, count of them, one item after another."""
+    return np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+
+
+def _per_text(texts: DataFrame, schema: str, make) -> DataFrame:
+    """Rows that make(raw, place, low, high, extra) gives for each text of (id, text, items array<struct<place,low,high,extra>>)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        owners, found = [], []
+        for n in range(batch.num_rows):
+            raw = np.frombuffer(batch.column(1)[n].as_buffer(), np.uint8)
+            item = batch.column(2)[n].values
+            rows = np.stack([item.field(k).to_numpy().astype(np.int64) for k in range(4)])
+            rows = rows[:, np.argsort(rows[0], kind="stable")]
+            for part in np.split(np.arange(rows.shape[1]), np.flatnonzero(np.diff(rows[0] // PART)) + 1):
+                place, low, high, extra = rows[:, part]
+                begin = max(int(place.min()) - REACH, 0)
+                out = make(raw[begin : int(place.max()) + WINDOW + 1], place - begin, low, high, extra, begin, len(raw))
+                owners.append(np.full(len(out[0]), n))
+                found.append(out)
         if not found:
             return None
-        column = lambda name: np.concatenate([f[name] for f in found])
-        ints = {n: pa.array(column(n).astype(np.int32)) for n in _INTS}
-        return record_batch(id=batch.column(0).take(pa.array(column("owner"))), **ints, **{n: pa.array(column(n).astype(np.uint64).view(np.int64)) for n in _LONGS})
+        columns = {f"c{k}": pa.array(np.concatenate(c)) for k, c in enumerate(zip(*found))}
+        return record_batch(id=batch.column(0).take(pa.array(np.concatenate(owners))), **columns)
+
+    return map_batches(texts, run, schema)
+
+
+def _runs(raw: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, known: np.ndarray, begin: int, size: int) -> tuple:
+    """place, low, high, known, inner and outer digit (0: not in the text) of the runs of anchors."""
+    hashes, count = Hashes(raw), high // STEP - low // STEP + 1
+    run = _spread(low // STEP, count)
+    place, low, high, known = (np.repeat(v, count) for v in (place, low, high, known))
+    near, far = run * STEP, np.minimum(run * STEP + STEP - 1, REACH)
+    salt = run.astype(np.uint64) * _D
+    inner = hashes.of(place - near, place - far + WINDOW) + salt
+    full = (place - far >= 0) & (place - near + WINDOW <= len(raw)) & (place + begin - far >= 0) & (place + begin - near + WINDOW <= size)
+    outer = np.where(full, hashes.of(np.where(full, place - far, 0), np.where(full, place - near + WINDOW, 0)) + salt, 0)
+    int32 = lambda v: v.astype(np.int32)
+    return int32(place + begin), int32(np.maximum(low, near)), int32(np.minimum(high, far)), int32(known), inner.view(np.int64), outer.astype(np.uint64).view(np.int64)
 
-    return map_batches(documents, run, "id long, " + ", ".join(f"{n} int" for n in _INTS) + ", " + ", ".join(f"{n} long" for n in _LONGS))
+
+def _windows(raw: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, _: np.ndarray, begin: int, size: int) -> tuple:
+    """Start and digit of each window."""
+    count = high - low + 1
+    before = _spread(low, count)
+    start = np.repeat(place, count) - before
+    return (start + begin).astype(np.int32), (Hashes(raw).of(start, start + WINDOW) + before.astype(np.uint64) * _D).view(np.int64)
 
 
 def _repeated(rows: DataFrame, digit: str) -> DataFrame:
     return rows.where(F.col(digit) != 0).groupBy(digit).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(digit)
 
 
-def _picked(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents (id, text) in ids."""
-    small = ids.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(ids) if small else ids, "id", "left_semi")
-
+def _listed(documents: DataFrame, lists: DataFrame, items: str, how: str = "inner") -> DataFrame:
+    """documents (id, text) with their lists (id, items)."""
+    small = (lists.agg(F.sum(F.size(items)).alias("n")).first()["n"] or 0) <= BROADCAST_ITEMS
+    return documents.join(F.broadcast(lists) if small else lists, "id", how)
 
-def _windows(texts: DataFrame) -> DataFrame:
-    """(id, start, digit) of each window of the runs of texts (id, text, runs array<struct<place,run,low,high>>)."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owners, starts, digits = [], [], []
-        for n in range(batch.num_rows):
-            raw = np.frombuffer(batch.column(1)[n].as_buffer() or b"", np.uint8)
-            item = batch.column(2)[n].values
-            place, which, low, high = (item.field(k).to_numpy().astype(np.int64) for k in range(4))
-            near, far = np.maximum(which * STEP, low), np.minimum(np.minimum(which * STEP + STEP - 1, REACH), high)
-            count = far - near + 1
-            before = np.repeat(near - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            start = np.repeat(place, count) - before
-            order = np.argsort(start // PART, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(start[order] // PART)) + 1):
-                if len(part):
-                    least = int(start[part].min())
-                    at = start[part] - least
-                    digits.append(Hashes(raw[least : least + int(at.max()) + WINDOW]).of(at, at + WINDOW) + before[part].astype(np.uint64) * _D)
-                    starts.append(start[part])
-                    owners.append(np.full(len(part), n))
-        return record_batch(id=batch.column(0).take(pa.array(np.concatenate(owners))), start=pa.array(np.concatenate(starts).astype(np.int32)), digit=pa.array(np.concatenate(digits).view(np.int64)))
-
-    return map_batches(texts, run, "id long, start int, digit long")
+def _items(rows: DataFrame, extra: str) -> DataFrame:
+    return rows.groupBy("id").agg(F.collect_list(F.struct("place", "low", "high", F.col(extra).cast("int").alias("extra"))).alias("items"))
 
 
 def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,25 +198,25 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     every = staged(_anchor_rows(docs), "repeats-anchors")
     rows = staged(every.join(_repeated(every, "gram"), "gram").drop("gram"), "repeats-grams")
-    span = lambda high, low: [(F.col("place") - high).alias("start"), (F.col("place") - low + WINDOW).alias("end")]
+    span = [(F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + WINDOW).alias("end")]
 
     contexts = rows.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("first"))
     known = staged(rows.join(contexts, "context").drop("context"), "repeats-contexts")
-    whole = known.where("n > 1").select("id", *span(F.col("high"), F.col("low")))
+    whole = known.where("n > 1").select("id", *span)
 
-    witnesses = known.where((F.col("n") == 1) | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("place") == F.col("first.place"))))
-    runs = F.array(*[F.struct(F.lit(r).alias("run"), F.col(f"inner{r}").alias("inner"), F.col(f"outer{r}").alias("outer")) for r in range(RUNS)])
-    each = witnesses.select("id", "place", "low", "high", (F.col("n") > 1).alias("known"), F.inline(runs)).where("inner != 0")
-    each = staged(each.join(_repeated(each, "inner"), "inner"), "repeats-runs")
+    witnesses = known.where((F.col("n") == 1) | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("place") == F.col("first.place")))).withColumn("known", F.col("n") > 1)
+    lists = staged(_items(witnesses, "known"), "repeats-witnesses")
+    each = _per_text(_listed(docs, lists, "items"), "id long, place int, low int, high int, known int, inner long, outer long", _runs)
+    each = staged(each, "repeats-runs")
+    each = staged(each.join(_repeated(each, "inner"), "inner"), "repeats-inner")
     outer = _repeated(each, "outer").withColumnRenamed("outer", "__outer")
-    decided = each.join(outer, F.col("outer") == F.col("__outer"), "left").withColumn("decided", F.col("known") | F.col("__outer").isNotNull()).drop("__outer")
-    decided = staged(decided, "repeats-decided")
-    far = F.least(F.col("run") * STEP + STEP - 1, F.lit(REACH))
-    full_runs = decided.where("decided and not known").select("id", *span(far, F.col("run") * STEP))
+    decided = each.join(outer, F.col("outer") == F.col("__outer"), "left").withColumn("decided", (F.col("known") == 1) | F.col("__outer").isNotNull())
+    decided = staged(decided.drop("outer", "__outer"), "repeats-decided")
+    full_runs = decided.where("decided and known = 0").select("id", *span)
     open_ = decided.groupBy("inner").agg(F.max(~F.col("decided")).alias("open")).where("open").select("inner")
-    left = staged(decided.join(open_, "inner").groupBy("id").agg(F.collect_list(F.struct("place", "run", "low", "high")).alias("runs")), "repeats-open")
-    windows = staged(_windows(_picked(docs, left.select("id")).join(left, "id")), "repeats-windows")
-    single = windows.join(_repeated(windows, "digit"), "digit").select("id", "start", (F.col("start") + WINDOW).alias("end"))
+    left = staged(_items(decided.join(open_, "inner"), "known"), "repeats-open")
+    windows = _per_text(_listed(docs, left, "items"), "id long, start int, digit long", _windows)
+    single = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("digit"))).where("n > 1").select("id", "start", (F.col("start") + WINDOW).alias("end"))
     return whole.union(full_runs).union(single)
 
 
@@ -240,14 +249,5 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         long = lambda values: pa.array(values, pa.int64())
         return record_batch(id=batch.column(0), n_bytes=long(sizes), n_removed=long(removed), n_spans=long(counts), kept=pa.array(kept, pa.binary()))
 
-    ids = spans.select("id")
-    small = ids.count() <= BROADCAST_IDS
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    if small:  # then only the texts that lose something are shuffled
-        touched = map_batches(docs.join(F.broadcast(ids), "id", "left_semi").join(spans, "id"), cut, schema)
-        same = docs.join(F.broadcast(ids), "id", "left_anti")
-        raw = F.coalesce("text", F.lit(""))
-        out = touched.union(same.select("id", F.octet_length(raw).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), raw.cast("binary")))
-    else:
-        out = map_batches(docs.join(spans, "id", "left"), cut, schema)
+    out = map_batches(_listed(docs, spans, "spans", "left"), cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)

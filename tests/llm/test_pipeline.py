@@ -97,21 +97,28 @@ def test_repeats_of_the_tables_with_small_parts(spark, monkeypatch):
     rows = docs.collect()
     want = {r.doc_id: b[:3] for r, b in zip(rows, brute_repeats([r.text.encode() for r in rows]))}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect()} == want
-    monkeypatch.setattr(repeats, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(repeats, "BROADCAST_ITEMS", 0)
+    monkeypatch.setattr(repeats, "PART", 3000)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect()} == want
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_parts_do_not_change_anchors(monkeypatch):
+def test_anchors_are_chosen_by_their_windows(monkeypatch):
     import numpy as np
 
     raw = np.random.default_rng(1).integers(97, 101, 30_000).astype(np.uint8)
     ends = np.array([10_000, 10_100, 30_000])
-    whole = repeats.anchors(raw, ends)
-    digits = [d for p in repeats._digits(raw, np.array([0, 10_000, 10_100, 30_000])) for d in p["context"]]
+
+    def chosen() -> dict:
+        return {s: p for p, a, b in zip(*(c.tolist() for c in repeats.anchors(raw, ends))) for s in range(a, b + 1)}
+
+    whole = chosen()
+    assert sorted(whole) == [*range(9601), *range(10_100, 29_601)]
+    assert all(s <= p <= s + repeats.REACH for s, p in whole.items())
     monkeypatch.setattr(repeats, "PART", 1500)
-    assert (repeats.anchors(raw, ends) == whole).all()
-    assert [d for p in repeats._digits(raw, np.array([0, 10_000, 10_100, 30_000])) for d in p["context"]] == digits
+    assert chosen() == whole
+    places = repeats.anchors(raw, ends)[0]
+    assert len(places) == len(set(places.tolist()))
 
 
 def test_schema_of_fixture_matches(spark):
