@@ -15,7 +15,8 @@ MARKED = "cleaned_cite_text STRING, intent STRING"
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a JSONL file; blank lines, comments and lines that are no record are left out."""
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
-    return lines.select(F.from_json("value", schema).alias("r"), F.col("value")).where("r IS NOT NULL AND value RLIKE '^\\\\s*[{]'").select("r.*")
+    parsed = lines.select(F.from_json("value", f"{schema}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return parsed.where("r IS NOT NULL AND r._corrupt IS NULL").select("r.*").drop("_corrupt")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
