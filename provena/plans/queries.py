@@ -645,3 +645,76 @@ def win_group_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loc_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("text"))
     return geometry.running_heads(lines)
+
+
+# More views of sites and edges
+
+
+@query(f"WITH {EDGES} SELECT paper, key, stance FROM edges WHERE stance IN ('inherits', 'extends')")
+def flt_loadbearing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).where(F.col("stance").isin(*lineage.LEAN)).select("paper", "key", "stance")
+
+
+@query(f"""WITH {EDGES} SELECT e.paper, e.key, CASE WHEN e.key % 4 = 0 THEN 'own' || e.key WHEN e.key % 4 = 1 THEN 'title' || e.key END AS work FROM edges e""")
+def join_title_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference has its own id in every fourth supplier; in every fourth its title, written otherwise, is known."""
+    edges, key = _edges(spark, sf_dir).select("paper", "key"), F.col("s_suppkey")
+    supplier = table(spark, sf_dir, "supplier")
+    reference = supplier.select(key.alias("key"), F.when(key % 4 == 0, F.concat(F.lit("own"), key.cast("string"))).alias("own_id"), text.fold(F.concat(F.lit("The: Work-of "), key.cast("string"))).alias("folded"))
+    papers = edges.select("paper", "key").distinct().join(reference, "key").select("paper", "key", "own_id", "folded")
+    titles = supplier.where(key % 4 <= 1).select(text.fold(F.concat(F.lit("the WORK of, "), key.cast("string"))).alias("folded"), F.concat(F.lit("title"), key.cast("string")).alias("title_id"))
+    return lineage.resolve_references(edges, papers, titles).select("paper", "key", "work")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE p_size % 5 IN (0, 1, 4) AND p_size % 3 = 0) AS cited, count(*) FILTER (WHERE p_size % 5 IN (0, 1, 4) AND p_size % 3 = 1) AS shown, count(*) FILTER (WHERE p_size % 5 IN (0, 1, 4) AND p_size % 3 = 2) AS bare FROM part WHERE p_size % 5 IN (0, 1, 4)")
+def agg_assump_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentence = F.element_at(F.array(*map(F.lit, ASSUMED)), 1 + F.col("p_size") % 5)
+    found = table(spark, sf_dir, "part").where(cues.read_assumption(sentence).isNotNull()).select(cues.support(F.col("p_size") % 3 == 0, F.col("p_size") % 3 == 1).alias("s"))
+    return found.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("s") == s).alias(s) for s in ("cited", "shown", "bare")])
+
+
+@query("SELECT o_orderkey, -round(o_totalprice, 2) AS value FROM orders")
+def num_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("−"), F.format_number("o_totalprice", 2))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(numbers.parse_decimal(said).cast("double"), 2).alias("value"))
+
+
+@query("SELECT s_suppkey, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) || '2020work' AS key FROM supplier")
+def snk_bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.regexp_replace("s_name", r"\s", "")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.citation_key(F.concat(F.lit("A. B. "), name), F.lit(2020), F.lit("The Work of many")).alias("key"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS events FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 7")
+def src_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last seven recorded days."""
+    return sessions.daily(table(spark, sf_dir, "events")).groupBy("day").agg(F.sum("events").alias("events")).orderBy(F.desc("day")).limit(7)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) FILTER (WHERE l_returnflag = 'R') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS block FROM lineitem")
+def win_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of a table: how many boundaries stand at or above each row."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.count_if(F.col("l_returnflag") == "R").over(order).alias("block"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')), lambda x: NOT list_contains(""" + _STOP + """, x)) AS t FROM conversations)
+SELECT a.conv_id, a.turn, len(list_intersect(a.t, b.t))::BIGINT AS shared FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def set_intersect_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.terms(F.col("text")).alias("t"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.size(F.array_intersect("t", "u")).cast("long").alias("shared"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE length(text) BETWEEN 70 AND 230 AND contains(lower(text), 'the') AND NOT regexp_matches(text, '\\\\[A-Za-z]|https?:')")
+def flt_presentable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.col("text")
+    return table(spark, sf_dir, "conversations").where(F.length(said).between(70, 230) & F.lower(said).contains("the") & ~said.rlike(r"\\[A-Za-z]|https?:")).select("conv_id", "turn")
+
+
+@query("""WITH g AS (SELECT toxic = 1 AS spoken, quality = 0 AS gold FROM labels) SELECT count(*) AS n, count(*) FILTER (WHERE spoken) AS spoken, round(count(*) FILTER (WHERE spoken) / count(*), 6) AS coverage, round(count(*) FILTER (WHERE spoken AND gold) / nullif(count(*) FILTER (WHERE spoken), 0), 6) AS precision FROM g""")
+def agg_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage, and precision where something was said: the toxic flag as a guess at low quality."""
+    said = table(spark, sf_dir, "labels").select((F.col("toxic") == 1).alias("spoken"), (F.col("quality") == 0).alias("gold"))
+    n, spoken = F.count(F.lit(1)), F.count_if("spoken")
+    return said.agg(n.alias("n"), spoken.alias("spoken"), F.round(spoken / n, 6).alias("coverage"), F.round(F.count_if(F.col("spoken") & F.col("gold")) / F.nullif(spoken, F.lit(0)), 6).alias("precision"))
