@@ -36,7 +36,7 @@ from .arrow import list_array, map_batches, record_batch
 from .components import components
 from .staging import staged
 
-WIDTH, POSITIONS, TREES, BRANCHES, DEPTH, LEAF, ROUNDS, PIVOTS, OFFERS = 5, 64, 16, 4, 4, 40, 2, 4, 3
+WIDTH, POSITIONS, TREES, BRANCHES, DEPTH, LEAF, ROUNDS, PIVOTS, OFFERS = 5, 64, 16, 4, 4, 500, 2, 4, 3
 #: Bits of a sketch, and in how many a pair may differ: 128 expected at similarity 0.75, and 4.5 deviations more.
 BITS, SCREEN = 1024, 176
 #: Ids of candidate documents up to which they are broadcast to pick texts (8 bytes each); beyond, texts are joined by shuffle.
