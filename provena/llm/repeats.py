@@ -8,7 +8,9 @@ Every window chooses an anchor, the leftmost least hash of its GRAM-byte strings
 choose the same string at the same place, and windows need only be compared with those of other
 anchors. The windows that choose one anchor start side by side, up to REACH bytes before it.
 
-Pass 1, digit: the anchor's own GRAM bytes. Anchors with a unique digit leave.
+Pass 1, digit: the anchor's own GRAM bytes. Anchors with a unique digit leave; then those leave for
+which the longer bytes that their windows must hold, SIDE before the anchor or RIGHT from it on, are
+unique too.
 Pass 2, digit: the context, all bytes of the windows that choose the anchor. All windows of a
 repeated context are repeated, and one copy of it goes on as a witness.
 Pass 3, digit: the bytes that a run of up to STEP neighbouring windows have in common. Runs with a
@@ -38,6 +40,8 @@ from .staging import staged
 
 WINDOW, GRAM, STEP = 400, 32, 48
 REACH = WINDOW - GRAM  # an anchor's windows start 0 to REACH bytes before it
+SIDE = 168  # a window that starts SIDE bytes or more before its anchor holds those; any other holds RIGHT bytes from the anchor on
+RIGHT = WINDOW - SIDE + 1
 #: Bytes that are hashed at once.
 PART = 1 << 20
 #: Positions (16 bytes each) up to which their lists are broadcast to the texts; beyond, texts are joined by shuffle.
@@ -107,7 +111,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _anchor_rows(documents: DataFrame) -> DataFrame:
-    """A row for each anchor of documents (id, text): id, place, low and high (its windows start so many bytes before it), gram, context."""
+    """A row for each anchor of documents (id, text): id, place, low and high (its windows start so many bytes before it), gram, left and right (0: no window holds them), context."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         raw, offsets = utf8_buffer(batch.column(1))
@@ -115,17 +119,20 @@ def _anchor_rows(documents: DataFrame) -> DataFrame:
         if not len(every):
             return None
         owner = np.searchsorted(offsets[1:], every, "right")
-        gram, context = np.zeros(len(every), np.uint64), np.zeros(len(every), np.uint64)
+        gram, left, right, context = (np.zeros(len(every), np.uint64) for _ in range(4))
+        on_left, on_right = every - first >= SIDE, every - last < SIDE
         for part in np.split(np.arange(len(every)), np.flatnonzero(np.diff(first // PART)) + 1):
             begin = int(first[part].min())
             hashes = Hashes(raw[begin : int(last[part].max()) + WINDOW])
             place = every[part] - begin
             gram[part] = hashes.of(place, place + GRAM)
+            left[part] = np.where(on_left[part], hashes.of(place - np.where(on_left[part], SIDE, 0), place + GRAM), 0)
+            right[part] = np.where(on_right[part], hashes.of(place, place + np.where(on_right[part], RIGHT, GRAM)), 0)
             context[part] = hashes.of(first[part] - begin, last[part] - begin + WINDOW) + (every[part] - first[part]).astype(np.uint64) * _D
         int32 = lambda v: pa.array(v.astype(np.int32))
-        return record_batch(id=batch.column(0).take(pa.array(owner)), place=int32(every - offsets[owner]), low=int32(every - last), high=int32(every - first), gram=pa.array(gram.view(np.int64)), context=pa.array(context.view(np.int64)))
+        return record_batch(id=batch.column(0).take(pa.array(owner)), place=int32(every - offsets[owner]), low=int32(every - last), high=int32(every - first), gram=pa.array(gram.view(np.int64)), left=pa.array(left.view(np.int64)), right=pa.array(right.view(np.int64)), context=pa.array(context.view(np.int64)))
 
-    return map_batches(documents, run, "id long, place int, low int, high int, gram long, context long")
+    return map_batches(documents, run, "id long, place int, low int, high int, gram long, left long, right long, context long")
 
 
 def _spread(low: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -198,6 +205,9 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     every = staged(_anchor_rows(docs), "repeats-anchors")
     rows = staged(every.join(_repeated(every, "gram"), "gram").drop("gram"), "repeats-grams")
+    for side in ("left", "right"):
+        rows = rows.join(_repeated(rows, side).withColumnRenamed(side, f"__{side}"), F.col(side) == F.col(f"__{side}"), "left")
+    rows = staged(rows.where("__left IS NOT NULL OR __right IS NOT NULL").drop("left", "right", "__left", "__right"), "repeats-sides")
     span = [(F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + WINDOW).alias("end")]
 
     contexts = rows.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("first"))

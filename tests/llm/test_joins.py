@@ -76,7 +76,9 @@ def near_copies(n_groups=12, copies=14, hot=150):
     return out
 
 
-def test_near_duplicates_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("leaf", [8, neardup.LEAF])  # with 8 the nodes branch down to the last level
+def test_near_duplicates_against_brute_force(spark, tmp_path, monkeypatch, leaf):
+    monkeypatch.setattr(neardup, "LEAF", leaf)
     rows = [(n, t, "en", "s", 1, n, "x", 1) for n, t in enumerate(near_copies())]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op3_chosen_path_dedup"](spark, write(spark, df, tmp_path)).collect()}
