@@ -179,11 +179,11 @@ def _runs(raw: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray,
 
 
 def _windows(raw: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, _: np.ndarray, begin: int, size: int) -> tuple:
-    """Start and digit of each window."""
+    """place, start and digit of each window."""
     count = high - low + 1
     before = _spread(low, count)
     start = np.repeat(place, count) - before
-    return (start + begin).astype(np.int32), (Hashes(raw).of(start, start + WINDOW) + before.astype(np.uint64) * _D).view(np.int64)
+    return np.repeat(place + begin, count).astype(np.int32), (start + begin).astype(np.int32), (Hashes(raw).of(start, start + WINDOW) + before.astype(np.uint64) * _D).view(np.int64)
 
 
 def _repeated(rows: DataFrame, digit: str) -> DataFrame:
@@ -225,8 +225,10 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     full_runs = decided.where("decided and known = 0").select("id", *span)
     open_ = decided.groupBy("inner").agg(F.max(~F.col("decided")).alias("open")).where("open").select("inner")
     left = staged(_items(decided.join(open_, "inner"), "known"), "repeats-open")
-    windows = _per_text(_listed(docs, left, "items"), "id long, start int, digit long", _windows)
-    single = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("digit"))).where("n > 1").select("id", "start", (F.col("start") + WINDOW).alias("end"))
+    windows = _per_text(_listed(docs, left, "items"), "id long, place int, start int, digit long", _windows)
+    single = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("digit"))).where("n > 1")
+    # Windows around one anchor all hold it, so together they are one span.
+    single = single.groupBy("id", "place").agg(F.min("start").alias("start"), (F.max("start") + WINDOW).alias("end")).drop("place")
     return whole.union(full_runs).union(single)
 
 
