@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join. DataFrame and SQL functions only.
 
 Lines are equal or within EDITS edits of each other; components of such links are classes, and the
-first line of a class, by document id and place, stays. A line of LEAST characters or more is cut
+first line of a class, by document id, row key and place, stays. A line of LEAST characters or more is cut
 into EDITS + 1 segments, of which one at least stands unchanged in any line within EDITS edits. A
 line's keys are its own segments (index) and, for each length it may match, the substrings at the
 places where that length's segment can stand (probe); both carry length and segment number. Lines
@@ -12,9 +12,10 @@ verified with an edit distance banded at EDITS.
 Lines travel as 64-bit hashes; the text of a line is read again only for candidates.
 
 Defined results: null counts as an empty text; lines without a word are always kept and never
-compared; lines under LEAST characters are joined only if equal; rows that repeat an id are one
-document, and its lines are dropped alike in each; a document may become empty; an empty table gives
-an empty table.
+compared; lines under LEAST characters are joined only if equal; rows that repeat an id with the same
+text are one document, and its lines are dropped alike in each; rows that repeat an id with another
+text, and rows without an id, are documents of their own; a document may become empty; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .rowkey import row_key
 from .staging import staged
 
 EDITS, LEAST = 2, 16
@@ -55,8 +57,8 @@ def keys(line: Column, length: Column) -> list[tuple[Column, bool]]:
 
 
 def _lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, place, line, hash) of every line with a word."""
-    rows = documents.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("place", "line"))
+    """(id, key, place, line, hash) of every line with a word; key: the row's."""
+    rows = documents.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("place", "line"))
     return rows.where(F.col("line").rlike(WORD)).withColumn("hash", F.xxhash64("line"))
 
 
@@ -94,22 +96,22 @@ def links(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def dropped_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies: int = COPIES) -> DataFrame:
-    """(id, drop array<int>): the places of the lines that a document loses; documents that lose none are absent."""
-    seen = staged(_lines(documents, id_col, text_col).select("id", "place", "hash"), "lines-seen")
-    distinct = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("first"))
+    """(key, drop array<int>): the places of the lines that the documents of a row key lose; those that lose none are absent."""
+    seen = staged(_lines(documents, id_col, text_col).select("id", "key", "place", "hash"), "lines-seen")
+    distinct = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "place")).alias("first"))
     joined = components(links(documents, id_col, text_col)).withColumnRenamed("id", "member")
     classed = distinct.join(joined, F.col("hash") == F.col("member"), "left").select("hash", F.coalesce("component", "hash").alias("class"), "n", "first")
     classed = staged(classed, "lines-classes")
     several = classed.groupBy("class").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= copies).select("class", F.col("first").alias("kept"))
     repeated = classed.select("hash", "class").join(several, "class").select("hash", "kept")
-    lost = seen.join(repeated, "hash").where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("place") == F.col("kept.place"))))
-    return lost.groupBy("id").agg(F.array_sort(F.collect_set("place")).alias("drop"))
+    lost = seen.join(repeated, "hash").where((F.col("key") != F.col("kept.key")) | (F.col("place") != F.col("kept.place")))
+    return lost.groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("drop"))
 
 
 def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies: int = COPIES) -> DataFrame:
     """documents, all columns, with the lines of dropped_lines() taken out of the text, and __dropped, how many those are."""
-    drops = dropped_lines(documents, id_col, text_col, copies).select(F.col("id").alias("__id"), F.col("drop").alias("__drop"))
-    joined = documents.join(drops, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    drops = dropped_lines(documents, id_col, text_col, copies).select(F.col("key").alias("__key"), F.col("drop").alias("__drop"))
+    joined = documents.join(drops, row_key(id_col, text_col) == F.col("__key"), "left")
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, n: ~F.array_contains("__drop", n))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in documents.columns], F.coalesce(F.size("__drop"), F.lit(0)).alias("__dropped"))

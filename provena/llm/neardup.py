@@ -16,9 +16,10 @@ none is lost. Pairs are screened by sketches of 1,024 one-bit minwise values (a
 with probability 4e-6) and confirmed on the full shingle sets.
 
 Defined results: null texts and texts without words have the empty set and link with nothing; texts
-under five words have one shingle, all their words; rows that repeat an id share one component, and
-if their texts differ, one of them stands for the id in the confirmation; a null id takes part only
-as a copy; an empty table gives an empty table; extra columns are ignored.
+under five words have one shingle, all their words; rows that repeat an id with the same text are one
+document; rows that repeat an id with another text, and rows without an id, are compared as documents
+of their own; of a component the document with the smallest id, null last, and then row key is kept;
+an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .arrow import list_array, map_batches, record_batch
 from .components import components
+from .rowkey import row_key
 from .staging import staged
 
 WIDTH, POSITIONS, TREES, BRANCHES, DEPTH, LEAF, ROUNDS, PIVOTS, OFFERS = 5, 64, 16, 4, 4, 500, 2, 4, 3
@@ -92,11 +94,11 @@ def minwise(found: np.ndarray) -> np.ndarray:
 
 
 def _sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, digest, minwise array<int>, sketch array<long>): the last three null for the empty set."""
+    """(key, id, n_shingles, digest, minwise array<int>, sketch array<long>), key being the row's: the last three null for the empty set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, digests, values, sketches = [], [], [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
+        for text in batch.column(2).cast(pa.binary()).to_pylist():
             found = shingles(text)
             sizes.append(len(found))
             if not len(found):
@@ -108,14 +110,14 @@ def _sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
             values.append(least[:POSITIONS].view(np.int32))
             sketches.append(np.packbits(((least >> np.uint32(13)) & np.uint32(1)).astype(bool)).view(np.int64))
-        return record_batch(id=batch.column(0), n_shingles=pa.array(sizes, pa.int64()), digest=pa.array(digests, pa.binary()), minwise=pa.array(values, pa.list_(pa.int32())), sketch=pa.array(sketches, pa.list_(pa.int64())))
+        return record_batch(key=batch.column(0), id=batch.column(1), n_shingles=pa.array(sizes, pa.int64()), digest=pa.array(digests, pa.binary()), minwise=pa.array(values, pa.list_(pa.int32())), sketch=pa.array(sketches, pa.list_(pa.int64())))
 
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "id long, n_shingles long, digest binary, minwise array<int>, sketch array<long>")
+    rows = documents.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return map_batches(rows, run, "key long, id long, n_shingles long, digest binary, minwise array<int>, sketch array<long>")
 
 
 def _full_sets(documents: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles array<long>) of the documents in ids, one row for each id."""
+    """(id, shingles array<long>) of the documents whose row keys are in ids, one row for each."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -123,7 +125,7 @@ def _full_sets(documents: DataFrame, ids: DataFrame, id_col: str, text_col: str)
         return record_batch(id=batch.column(0), shingles=list_array(np.concatenate(found), lengths, pa.int64()))
 
     small = ids.count() <= BROADCAST_IDS
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    rows = documents.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if small else ids, "id", "left_semi")
     return map_batches(rows, run, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
@@ -208,20 +210,26 @@ def links(documents: DataFrame, sets: DataFrame, percent: int = 75, id_col: str
 
 def without_copies(documents: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents, all columns, without those that near_duplicates() doesn't keep."""
-    lost = staged(near_duplicates(documents, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("__lost")).distinct(), "neardup-lost")
+    lost = staged(_judged(documents, percent, id_col, text_col).where("not kept").select(F.col("key").alias("__lost")).distinct(), "neardup-lost")
     lost = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost
-    return documents.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
+    return documents.join(lost, row_key(id_col, text_col) == F.col("__lost"), "left_anti")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: id, n_shingles, component_id (the smallest id reachable), kept (id is the component's)."""
+    """A row for each document: id, n_shingles, component_id (the smallest id reachable), kept (the document is the component's first)."""
+    return _judged(documents, percent, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _judged(documents: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates() with id and the row's key. Sets are named by the least row key of their class."""
     sets = staged(_sets(documents, id_col, text_col), "neardup-sets")
-    classes = staged(sets.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("minwise").alias("minwise"), F.first("sketch").alias("sketch")), "neardup-classes")
-    # An id with several texts stands in several classes; those are linked as they share a document.
-    own = classes.where("id is not null")
-    one = own.groupBy("id").agg(F.min(F.struct("digest", "minwise", "sketch")).alias("s")).select("id", "s.minwise", "s.sketch")
-    joined = components(links(documents, staged(one, "neardup-one"), percent, id_col, text_col))
-    named = classes.select("digest", F.col("id").alias("first")).join(joined, F.col("first") == F.col("id"), "left").select(F.col("digest").alias("__d"), F.coalesce("component", "first").alias("component"))
-    out = sets.select("id", "n_shingles", "digest").join(named, F.col("digest") == F.col("__d"), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first")
+    classes = staged(sets.where("digest is not null").groupBy("digest").agg(first, F.min("key").alias("set"), F.first("minwise").alias("minwise"), F.first("sketch").alias("sketch")), "neardup-classes")
+    joined = components(links(documents, classes.select(F.col("set").alias("id"), "minwise", "sketch"), percent, id_col, text_col))
+    named = classes.select("digest", "set", "first").join(joined, F.col("set") == F.col("id"), "left").select(F.col("digest").alias("__d"), F.coalesce("component", "set").alias("component"), "first")
+    named = staged(named, "neardup-named")
+    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
+    named = staged(named.drop("first").join(firsts, "component").select("__d", "first"), "neardup-named")
+    out = sets.select("key", "id", "n_shingles", "digest").join(named, F.col("digest") == F.col("__d"), "left")
+    component = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id"))
+    return out.select("key", "id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == F.col("first.key"), F.lit(True)).alias("kept"))

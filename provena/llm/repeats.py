@@ -21,9 +21,9 @@ Digits are 64-bit hashes of the bytes. Rows hold hashes and positions; texts are
 a join with lists of positions that is a broadcast only up to BROADCAST_ITEMS positions.
 
 Defined results: null counts as an empty text; texts under WINDOW bytes hold no window and lose
-nothing; rows that repeat an id are each an occurrence, so their windows are repeated; a
-document with a null id counts as a place where windows occur, but loses nothing itself; an empty
-table gives an empty table; extra columns are ignored.
+nothing; rows that repeat an id are each an occurrence, so their windows are repeated; rows are told
+apart by a key of id and text, so an id may be null or have several texts; an empty table gives an
+empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_batches, record_batch, utf8_buffer
+from .rowkey import row_key
 from .staging import staged
 
 WINDOW, GRAM, STEP = 400, 32, 48
@@ -201,8 +202,8 @@ def _items(rows: DataFrame, extra: str) -> DataFrame:
 
 
 def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end): bytes that windows repeated anywhere cover; spans may overlap. Rows of documents without any are absent."""
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(id, start, end), id being the row key: bytes that windows repeated anywhere cover; spans may overlap. Rows of documents without any are absent."""
+    docs = documents.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     every = staged(_anchor_rows(docs), "repeats-anchors")
     rows = staged(every.join(_repeated(every, "gram"), "gram").drop("gram"), "repeats-grams")
     for side in ("left", "right"):
@@ -214,7 +215,7 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     known = staged(rows.join(contexts, "context").drop("context"), "repeats-contexts")
     whole = known.where("n > 1").select("id", *span)
 
-    witnesses = known.where((F.col("n") == 1) | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("place") == F.col("first.place")))).withColumn("known", F.col("n") > 1)
+    witnesses = known.where((F.col("n") == 1) | ((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place")))).withColumn("known", F.col("n") > 1)
     lists = staged(_items(witnesses, "known"), "repeats-witnesses")
     each = _per_text(_listed(docs, lists, "items"), "id long, place int, low int, high int, known int, inner long, outer long", _runs)
     each = staged(each, "repeats-runs")
@@ -234,7 +235,7 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, n_bytes, n_removed, n_spans (maximal removed runs), kept binary (the other bytes)."""
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = documents.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("own"))
     spans = repeated_spans(documents, id_col, text_col).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = staged(spans, "repeats-spans")
 
@@ -242,7 +243,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         sizes, removed, counts, kept = [], [], [], []
         for n in range(batch.num_rows):
             raw = (batch.column(1)[n].as_py() or "").encode()
-            item = batch.column(2)[n].values
+            item = batch.column(3)[n].values
             found = sorted(zip(item.field(0).to_pylist(), item.field(1).to_pylist())) if item is not None else []
             merged: list[list[int]] = []
             for start, end in found:
@@ -259,7 +260,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             counts.append(len(merged))
             kept.append(b"".join([*rest, raw[at:]]))
         long = lambda values: pa.array(values, pa.int64())
-        return record_batch(id=batch.column(0), n_bytes=long(sizes), n_removed=long(removed), n_spans=long(counts), kept=pa.array(kept, pa.binary()))
+        return record_batch(id=batch.column(2), n_bytes=long(sizes), n_removed=long(removed), n_spans=long(counts), kept=pa.array(kept, pa.binary()))
 
     out = map_batches(_listed(docs, spans, "spans", "left"), cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
