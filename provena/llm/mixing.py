@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rowkey import row_key
 from .staging import staged
 
 #: Blocks of a source, levels of the splitting tree (2 ** LEVELS shards), and how often a document may be taken.
@@ -135,8 +136,9 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its columns and __shard, in an order drawn by hash within each task."""
+    """The mix itself: each document as often as it is taken, with its columns and __shard. Rows are brought together by shard, shards one after another over the partitions, and within a shard in an order drawn by hash."""
     _, decisions = plan(documents, id_col, text_col, source_col, seed)
     columns = documents.columns
     rows = _taken(_draws(documents.withColumn("__source", F.col(source_col)), id_col, seed), decisions)
-    return rows.select(*columns, F.posexplode("__shards").alias("__time", "__shard")).sortWithinPartitions("__shard", F.xxhash64(F.lit(seed + 4), F.col(id_col), "__time")).drop("__time")
+    dealt = rows.select(*columns, F.posexplode("__shards").alias("__time", "__shard")).withColumn("__drawn", F.xxhash64(F.lit(seed + 4), row_key(id_col, text_col), "__time"))
+    return dealt.repartitionByRange("__shard", "__drawn").sortWithinPartitions("__shard", "__drawn").drop("__time", "__drawn")

@@ -150,3 +150,26 @@ def test_descent_separates():
     w = nbsvm.descend(rows, labels, np.ones(4), 1)
     margin = [w[r].sum() / np.sqrt(2) + w[-1] for r in rows]
     assert all((m > 0) == (y == 1) for m, y in zip(margin, labels))
+
+
+def test_shards_hold_what_the_tree_dealt_them(spark, tmp_path):
+    random.seed(2)
+    rows = [(n, "w " * random.randint(1, 40), "en", f"s{n // 500}", 1, n, "x", 1) for n in range(3000)]
+    spark.createDataFrame(rows, SCHEMA).repartitionByRange(6, "source").write.parquet(f"{tmp_path}/docs")  # a file for each source
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixing.mixed(docs).withColumn("part", F.spark_partition_id()).write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    out = spark.read.parquet(f"{tmp_path}/out").select("part", "__shard", "source", "doc_id").collect()
+    assert collections.Counter((r["__shard"], r.doc_id) for r in out) == collections.Counter((s, r.doc_id) for r in mixing.mix(docs).collect() for s in r.shards)
+    spans = collections.defaultdict(set)
+    for r in out:
+        spans[r.part].add(r["__shard"])
+    ordered = [spans[p] for p in sorted(spans)]
+    assert len(ordered) > 2 and all(max(a) <= min(b) for a, b in zip(ordered, ordered[1:]))  # shards follow one another over the files
+    sources = collections.defaultdict(set)
+    for r in out:
+        sources[r.part].add(r.source)
+    assert all(len(s) == 6 for s in sources.values())
