@@ -448,7 +448,7 @@ def win_lag_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream.read_events(spark, f"{sf_dir}/events.parque[t]")  # a pattern, as a stream takes no path of a single file
+    return stream.read_events(spark, f"{sf_dir}/events.parque[t]", None)  # a pattern, as a stream takes no path of a single file
 
 
 @query(ORACLE["agg_daily"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,9 +15,14 @@ from ..sources.shared import new_folder
 EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
-def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream over files of events, a folder of them or a pattern; ts becomes the event time."""
-    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).parquet(path)
+def read_events(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """A stream over files of events, a folder of them or a pattern; ts becomes the event time.
+
+    Without files_per_batch all files that are there make one batch: in a finished table, whose files
+    may be in any order of time, no row is then late.
+    """
+    reader = spark.readStream.schema(EVENTS).option("recursiveFileLookup", True)
+    rows = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -39,7 +45,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 
 
 def funnel(events: DataFrame, stages: list[str], keep: str = "1 day") -> DataFrame:
-    """(session, reached) of sessions whose progress changed: a pointer for each session, advanced by one stage at most with each step in order of time; it is dropped once the session is older than the watermark."""
+    """(session, reached) of sessions whose progress changed: a pointer for each session, advanced by one stage at most with each step in order of time. The state holds the session's steps at any stage, so that steps of an earlier time may come in a later batch; it is dropped once the session is older than the watermark."""
     session = F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
     steps = events.withWatermark("ts", keep).select(session.alias("session"), "ts", "event_id", "event_type")
 
@@ -47,17 +53,20 @@ def funnel(events: DataFrame, stages: list[str], keep: str = "1 day") -> DataFra
         if state.hasTimedOut:
             state.remove()
             return
-        at = before = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for name in rows.event_type:
-            if at < len(stages) and (name == stages[at] or name.startswith(stages[at] + ".")):
+        before, kept = state.get if state.exists else (0, "[]")
+        at, rows = 0, pd.concat(list(batches))
+        reaches = lambda name, stage: name == stage or name.startswith(stage + ".")
+        new = zip(rows.ts.astype("datetime64[us]").astype("int64").tolist(), rows.event_id.tolist(), rows.event_type.tolist())
+        steps = sorted([tuple(s) for s in json.loads(kept)] + [s for s in new if s[2] is not None and any(reaches(s[2], stage) for stage in stages)])
+        for _, _, name in steps:
+            if at < len(stages) and reaches(name, stages[at]):
                 at += 1
-        state.update((at,))
+        state.update((at, json.dumps(steps)))
         state.setTimeoutTimestamp(max(int(rows.ts.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
         if at != before:
             yield pd.DataFrame({"session": [key[0]], "reached": [at]})
 
-    return steps.groupBy("session").applyInPandasWithState(advance, "session string, reached int", "reached int", "update", GroupStateTimeout.EventTimeTimeout)
+    return steps.groupBy("session").applyInPandasWithState(advance, "session string, reached int", "reached int, steps string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:

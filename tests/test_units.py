@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from provena.functions import cues, numbers, text
 from provena.operators import sessions
 from provena.sources import records
+from provena.plans.queries import QUERIES
 from provena.streaming import events as stream
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +92,34 @@ def test_streamed_funnel_is_the_batch_funnel(spark, tmp_path):
     got = {r.session: r.reached for r in changes.groupBy("session").agg(F.max("reached").alias("reached")).collect()}
     want = {r.session: r.reached for r in sessions.reached(sessions.steps_of(events), stages).collect() if r.reached}
     assert got == want
+
+
+def split_events(spark, folder):
+    """The events as three files, read in this order: the last days, the first days, those between; the purchases of each before the rest."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    days = F.datediff(F.col("ts"), F.lit(events.agg(F.min("ts")).first()[0]))
+    third = events.select((F.max(days) / 3).alias("n")).first().n
+    parts = [days > 2 * third, days <= third, (days > third) & (days <= 2 * third)]
+    for n, part in enumerate(parts):
+        events.where(part & (F.col("event_type") == "purchase")).coalesce(1).write.parquet(f"{folder}/{2 * n}")
+        events.where(part & (F.col("event_type") != "purchase")).coalesce(1).write.parquet(f"{folder}/{2 * n + 1}")
+
+
+def test_streamed_queries_of_a_table_of_unordered_files(spark, tmp_path):
+    split_events(spark, f"{tmp_path}/events.parquet")
+    for name in ("st_sessions", "st_funnel_state", "st_tumbling_day"):
+        got, want = (sorted(map(tuple, QUERIES[name](spark, folder).collect())) for folder in (str(tmp_path), SF))
+        assert got == want, name
+    steps = sessions.steps_of(spark.read.parquet(f"{SF}/events.parquet"))
+    want = {(r.session, r.reached) for r in sessions.reached(steps, ["view", "click", "purchase"]).collect() if r.reached}
+    assert set(map(tuple, QUERIES["st_funnel_state"](spark, str(tmp_path)).collect())) == want
+
+
+def test_streamed_funnel_takes_earlier_steps_in_later_batches(spark, tmp_path):
+    stages = ["view", "click", "purchase"]
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    for n, stage in enumerate(reversed(stages)):
+        events.where(F.col("event_type") == stage).coalesce(1).write.parquet(f"{tmp_path}/{n}")
+    changes = stream.run_available(stream.funnel(stream.read_events(spark, str(tmp_path)), stages, keep="3650 days"), "update", "t")
+    got = {r.session: r.reached for r in changes.groupBy("session").agg(F.max("reached").alias("reached")).collect()}
+    assert got == {r.session: r.reached for r in sessions.reached(sessions.steps_of(events), stages).collect() if r.reached}
