@@ -1,52 +1,56 @@
 """Repeated byte windows by a depth-limited radix sort of suffixes.
 
 A window is WINDOW bytes of one document. Windows are ordered only by their first WINDOW bytes, in
-most-significant-digit passes, and a window leaves as soon as its digit is unique: the groups that
-stay equal to the end are exactly the repeated windows.
-
-Every window chooses an anchor, the leftmost least hash of its GRAM-byte strings, so equal windows
-choose the same string at the same place, and windows need only be compared with those of other
-anchors. The windows that choose one anchor start side by side, up to REACH bytes before it.
-
-Pass 1, digit: the anchor's own GRAM bytes. Anchors with a unique digit leave; then those leave for
-which the longer bytes that their windows must hold, SIDE before the anchor or RIGHT from it on, are
-unique too.
-Pass 2, digit: the context, all bytes of the windows that choose the anchor. All windows of a
-repeated context are repeated, and one copy of it goes on as a witness.
-Pass 3, digit: the bytes that a run of up to STEP neighbouring windows have in common. Runs with a
-unique digit leave; runs whose whole span is repeated are decided.
-Pass 4, digit: each window of the undecided runs and of their partners, all WINDOW bytes.
-
-Digits are 64-bit hashes of the bytes. Rows hold hashes and positions; texts are read four times, by
-a join with lists of positions that is a broadcast only up to BROADCAST_ITEMS positions.
+most-significant-digit passes: a pass reads the next digit of what is left, refines every group by
+it, and whatever is alone in its group leaves. The groups that stay equal to the end are exactly the
+repeated windows.
+
+So that not every byte of the corpus is a row, every window chooses an anchor, the leftmost least
+hash of its GRAM-byte strings. Equal windows choose the same string at the same place, so windows
+need only be compared with those of equal anchors, and their digits are read from the anchor
+outwards. The windows that choose one anchor start side by side, up to REACH bytes before it, and
+share their first digits; they are rows together until digits part them.
+
+Digit 1: the anchor's GRAM bytes. Digit 2: the longer bytes that its windows must hold, SIDE before
+the anchor or RIGHT from it on. Digit 3: the whole context, all bytes of the windows that choose the
+anchor; all windows of a repeated context are repeated, and one copy of it goes on as a witness.
+Then passes over runs of STEPS neighbouring windows, long ones first: the digit is what the run's
+windows have in common. Runs with an equal digit stay; if even all bytes of the run are repeated, it
+is decided; groups with an undecided run are cut into shorter runs, down to single windows.
+
+Digits that only tell what may stay are 64-bit hashes; those that decide are 128-bit BLAKE2 digests.
+Texts are laid out once, in buckets by a key of id and text, and passes read that layout beside
+lists of positions, so that only positions are shuffled, whatever the size of the tables.
 
 Defined results: null counts as an empty text; texts under WINDOW bytes hold no window and lose
 nothing; rows that repeat an id are each an occurrence, so their windows are repeated; rows are told
-apart by a key of id and text, so an id may be null or have several texts; an empty table gives an
-empty table; extra columns are ignored.
+apart by a key of id and text, so an id may be null or have several texts; a very long text is
+hashed PART bytes at a time; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches, record_batch, utf8_buffer
 from .rowkey import row_key
-from .staging import staged
+from .staging import shared_folder, staged
 
-WINDOW, GRAM, STEP = 400, 32, 48
+WINDOW, GRAM = 400, 32
+#: Windows of a run, pass by pass.
+STEPS = 48, 12, 3, 1
 REACH = WINDOW - GRAM  # an anchor's windows start 0 to REACH bytes before it
 SIDE = 168  # a window that starts SIDE bytes or more before its anchor holds those; any other holds RIGHT bytes from the anchor on
 RIGHT = WINDOW - SIDE + 1
 #: Bytes that are hashed at once.
 PART = 1 << 20
-#: Positions (16 bytes each) up to which their lists are broadcast to the texts; beyond, texts are joined by shuffle.
-BROADCAST_ITEMS = 2_000_000
 _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -82,6 +86,12 @@ class Hashes:
         return _mixed((self.upto[end] - self.upto[start]) * Hashes.inverse[start] + (end - start).astype(np.uint64) * _C + _VALUE[salt]) | np.uint64(1)
 
 
+def _digests(raw: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> pa.Array:
+    """128-bit digests of raw[start:end], and of where the anchor stands in it."""
+    view = memoryview(np.ascontiguousarray(raw))
+    return pa.array([hashlib.blake2b(view[s:e], digest_size=16, salt=int(n).to_bytes(4, "little")).digest() for s, e, n in zip(start.tolist(), end.tolist(), salt.tolist())], pa.binary())
+
+
 def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of all windows that lie in one text, and the first and last start of the windows that choose each; ends: the texts' ends in raw, which holds them one after another."""
     found = []
@@ -112,7 +122,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _anchor_rows(documents: DataFrame) -> DataFrame:
-    """A row for each anchor of documents (id, text): id, place, low and high (its windows start so many bytes before it), gram, left and right (0: no window holds them), context."""
+    """A row for each anchor of documents (id, text): id, place, low and high (its windows start so many bytes before it), gram, left and right (null: no window holds them), context."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         raw, offsets = utf8_buffer(batch.column(1))
@@ -120,20 +130,21 @@ def _anchor_rows(documents: DataFrame) -> DataFrame:
         if not len(every):
             return None
         owner = np.searchsorted(offsets[1:], every, "right")
-        gram, left, right, context = (np.zeros(len(every), np.uint64) for _ in range(4))
+        gram, left, right = (np.zeros(len(every), np.uint64) for _ in range(3))
         on_left, on_right = every - first >= SIDE, every - last < SIDE
         for part in np.split(np.arange(len(every)), np.flatnonzero(np.diff(first // PART)) + 1):
             begin = int(first[part].min())
             hashes = Hashes(raw[begin : int(last[part].max()) + WINDOW])
             place = every[part] - begin
             gram[part] = hashes.of(place, place + GRAM)
-            left[part] = np.where(on_left[part], hashes.of(place - np.where(on_left[part], SIDE, 0), place + GRAM), 0)
-            right[part] = np.where(on_right[part], hashes.of(place, place + np.where(on_right[part], RIGHT, GRAM)), 0)
-            context[part] = hashes.of(first[part] - begin, last[part] - begin + WINDOW) + (every[part] - first[part]).astype(np.uint64) * _D
+            left[part] = hashes.of(place - np.where(on_left[part], SIDE, 0), place + GRAM)
+            right[part] = hashes.of(place, place + np.where(on_right[part], RIGHT, GRAM))
+        context = _digests(raw, first, last + WINDOW, every - first)
         int32 = lambda v: pa.array(v.astype(np.int32))
-        return record_batch(id=batch.column(0).take(pa.array(owner)), place=int32(every - offsets[owner]), low=int32(every - last), high=int32(every - first), gram=pa.array(gram.view(np.int64)), left=pa.array(left.view(np.int64)), right=pa.array(right.view(np.int64)), context=pa.array(context.view(np.int64)))
+        side = lambda v, there: pa.array(v.view(np.int64), mask=~there)
+        return record_batch(id=batch.column(0).take(pa.array(owner)), place=int32(every - offsets[owner]), low=int32(every - last), high=int32(every - first), gram=pa.array(gram.view(np.int64)), left=side(left, on_left), right=side(right, on_right), context=context)
 
-    return map_batches(documents, run, "id long, place int, low int, high int, gram long, left long, right long, context long")
+    return map_batches(documents, run, "id long, place int, low int, high int, gram long, left long, right long, context binary")
 
 
 def _spread(low: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -141,108 +152,106 @@ def _spread(low: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
 
 
-def _per_text(texts: DataFrame, schema: str, make) -> DataFrame:
-    """Rows that make(raw, place, low, high, extra) gives for each text of (id, text, items array<struct<place,low,high,extra>>)."""
+def _runs(documents: DataFrame, lists: DataFrame, step: int) -> DataFrame:
+    """The runs of step windows of the listed anchors (id, items array<struct<place,low,high,known>>): id, place, low, high, known, inner (what its windows have in common) and outer (all their bytes; null: not in the text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        owners, found = [], []
+        parts = []
         for n in range(batch.num_rows):
             raw = np.frombuffer(batch.column(1)[n].as_buffer(), np.uint8)
             item = batch.column(2)[n].values
-            rows = np.stack([item.field(k).to_numpy().astype(np.int64) for k in range(4)])
+            rows = np.stack([item.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
             rows = rows[:, np.argsort(rows[0], kind="stable")]
-            for part in np.split(np.arange(rows.shape[1]), np.flatnonzero(np.diff(rows[0] // PART)) + 1):
-                place, low, high, extra = rows[:, part]
-                begin = max(int(place.min()) - REACH, 0)
-                out = make(raw[begin : int(place.max()) + WINDOW + 1], place - begin, low, high, extra, begin, len(raw))
-                owners.append(np.full(len(out[0]), n))
-                found.append(out)
-        if not found:
+            for part in np.split(rows, np.flatnonzero(np.diff(rows[0] // PART)) + 1, axis=1):
+                parts.append((batch.column(0)[n], *_runs_of(raw, *part, step)))
+        if not parts:
             return None
-        columns = {f"c{k}": pa.array(np.concatenate(c)) for k, c in enumerate(zip(*found))}
-        return record_batch(id=batch.column(0).take(pa.array(np.concatenate(owners))), **columns)
-
-    return map_batches(texts, run, schema)
-
-
-def _runs(raw: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, known: np.ndarray, begin: int, size: int) -> tuple:
-    """place, low, high, known, inner and outer digit (0: not in the text) of the runs of anchors."""
-    hashes, count = Hashes(raw), high // STEP - low // STEP + 1
-    run = _spread(low // STEP, count)
+        owner = pa.array(np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts]))
+        ids = pa.array([p[0].as_py() for p in parts], pa.int64()).take(owner)
+        int32 = [pa.array(np.concatenate(c).astype(np.int32)) for c in list(zip(*parts))[1:5]]
+        inner = pa.array(np.concatenate([p[5] for p in parts]).view(np.int64))
+        return pa.RecordBatch.from_arrays([ids, *int32, inner, pa.concat_arrays([p[6] for p in parts])], names=["id", "place", "low", "high", "known", "inner", "outer"])
+
+    return map_batches(documents.select("id", "text").join(lists, "id"), run, "id long, place int, low int, high int, known int, inner long, outer binary")
+
+
+def _runs_of(text: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, known: np.ndarray, step: int) -> tuple:
+    """The columns of _runs() for neighbouring anchors of one text."""
+    begin = max(int(place.min()) - REACH, 0)
+    raw = text[begin : int(place.max()) + WINDOW]
+    place = place - begin
+    hashes, count = Hashes(raw), high // step - low // step + 1
+    run = _spread(low // step, count)
     place, low, high, known = (np.repeat(v, count) for v in (place, low, high, known))
-    near, far = run * STEP, np.minimum(run * STEP + STEP - 1, REACH)
-    salt = run.astype(np.uint64) * _D
-    inner = hashes.of(place - near, place - far + WINDOW) + salt
-    full = (place - far >= 0) & (place - near + WINDOW <= len(raw)) & (place + begin - far >= 0) & (place + begin - near + WINDOW <= size)
-    outer = np.where(full, hashes.of(np.where(full, place - far, 0), np.where(full, place - near + WINDOW, 0)) + salt, 0)
-    int32 = lambda v: v.astype(np.int32)
-    return int32(place + begin), int32(np.maximum(low, near)), int32(np.minimum(high, far)), int32(known), inner.view(np.int64), outer.astype(np.uint64).view(np.int64)
+    near, far = run * step, np.minimum(run * step + step - 1, REACH)
+    inner = hashes.of(place - near, place - far + WINDOW) + run.astype(np.uint64) * _D
+    full = (place - far >= 0) & (place - near + WINDOW <= len(raw))
+    outer = _digests(raw, np.where(full, place - far, 0), np.where(full, place - near + WINDOW, 0), far)
+    outer = pc.if_else(pa.array(full), outer, pa.scalar(None, pa.binary()))
+    return place + begin, np.maximum(low, near), np.minimum(high, far), known, inner, outer
 
 
-def _windows(raw: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, _: np.ndarray, begin: int, size: int) -> tuple:
-    """place, start and digit of each window."""
-    count = high - low + 1
-    before = _spread(low, count)
-    start = np.repeat(place, count) - before
-    return np.repeat(place + begin, count).astype(np.int32), (start + begin).astype(np.int32), (Hashes(raw).of(start, start + WINDOW) + before.astype(np.uint64) * _D).view(np.int64)
+def _repeated(rows: DataFrame, digit: str) -> DataFrame:
+    return rows.where(F.col(digit).isNotNull()).groupBy(digit).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(digit)
 
 
-def _repeated(rows: DataFrame, digit: str) -> DataFrame:
-    return rows.where(F.col(digit) != 0).groupBy(digit).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(digit)
+def _items(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id").agg(F.collect_list(F.struct("place", "low", "high", "known")).alias("items"))
 
 
-def _listed(documents: DataFrame, lists: DataFrame, items: str, how: str = "inner") -> DataFrame:
-    """documents (id, text) with their lists (id, items)."""
-    small = (lists.agg(F.sum(F.size(items)).alias("n")).first()["n"] or 0) <= BROADCAST_ITEMS
-    return documents.join(F.broadcast(lists) if small else lists, "id", how)
+def laid_out(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, own, text): documents by row key, in a table of buckets in the shared folder; joins by id don't shuffle its texts."""
+    spark = documents.sparkSession
+    name, buckets = f"repeats_texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = documents.select(row_key(id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    writer = rows.repartition(buckets, "id").write.format("parquet").option("compression", "zstd")
+    writer.bucketBy(buckets, "id").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
-def _items(rows: DataFrame, extra: str) -> DataFrame:
-    return rows.groupBy("id").agg(F.collect_list(F.struct("place", "low", "high", F.col(extra).cast("int").alias("extra"))).alias("items"))
+def _spread_nulls(digit: str) -> Column:
+    """The digit, or one of the row's own where it has none, so that rows without one don't meet."""
+    return F.coalesce(digit, F.xxhash64("id", "place", F.lit(digit)))
 
 
-def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end), id being the row key: bytes that windows repeated anywhere cover; spans may overlap. Rows of documents without any are absent."""
-    docs = documents.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
-    every = staged(_anchor_rows(docs), "repeats-anchors")
+def repeated_spans(laid: DataFrame) -> DataFrame:
+    """(id, start, end), for documents as laid_out(): bytes that windows repeated anywhere cover; spans may overlap. Rows of documents without any are absent."""
+    every = staged(_anchor_rows(laid.select("id", "text")), "repeats-anchors")
     rows = staged(every.join(_repeated(every, "gram"), "gram").drop("gram"), "repeats-grams")
+    sides = rows
     for side in ("left", "right"):
-        rows = rows.join(_repeated(rows, side).withColumnRenamed(side, f"__{side}"), F.col(side) == F.col(f"__{side}"), "left")
-    rows = staged(rows.where("__left IS NOT NULL OR __right IS NOT NULL").drop("left", "right", "__left", "__right"), "repeats-sides")
+        there = _repeated(rows, side).select(F.col(side).alias(f"__{side}"))
+        sides = sides.withColumn(side, _spread_nulls(side)).join(there, F.col(side) == F.col(f"__{side}"), "left")
+    rows = staged(sides.where("__left IS NOT NULL OR __right IS NOT NULL").select("id", "place", "low", "high", "context"), "repeats-sides")
     span = [(F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + WINDOW).alias("end")]
 
     contexts = rows.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("first"))
-    known = staged(rows.join(contexts, "context").drop("context"), "repeats-contexts")
-    whole = known.where("n > 1").select("id", *span)
-
-    witnesses = known.where((F.col("n") == 1) | ((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place")))).withColumn("known", F.col("n") > 1)
-    lists = staged(_items(witnesses, "known"), "repeats-witnesses")
-    each = _per_text(_listed(docs, lists, "items"), "id long, place int, low int, high int, known int, inner long, outer long", _runs)
-    each = staged(each, "repeats-runs")
-    each = staged(each.join(_repeated(each, "inner"), "inner"), "repeats-inner")
-    outer = _repeated(each, "outer").withColumnRenamed("outer", "__outer")
-    decided = each.join(outer, F.col("outer") == F.col("__outer"), "left").withColumn("decided", (F.col("known") == 1) | F.col("__outer").isNotNull())
-    decided = staged(decided.drop("outer", "__outer"), "repeats-decided")
-    full_runs = decided.where("decided and known = 0").select("id", *span)
-    open_ = decided.groupBy("inner").agg(F.max(~F.col("decided")).alias("open")).where("open").select("inner")
-    left = staged(_items(decided.join(open_, "inner"), "known"), "repeats-open")
-    windows = _per_text(_listed(docs, left, "items"), "id long, place int, start int, digit long", _windows)
-    single = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("digit"))).where("n > 1")
-    # Windows around one anchor all hold it, so together they are one span.
-    single = single.groupBy("id", "place").agg(F.min("start").alias("start"), (F.max("start") + WINDOW).alias("end")).drop("place")
-    return whole.union(full_runs).union(single)
+    judged = staged(rows.join(contexts, "context").drop("context"), "repeats-contexts")
+    found = judged.where("n > 1").select("id", *span)
+    witnesses = judged.where((F.col("n") == 1) | ((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place"))))
+    left = witnesses.withColumn("known", (F.col("n") > 1).cast("int"))
+    for step in STEPS:
+        runs = staged(_runs(laid, _items(left), step), f"repeats-runs-{step}")
+        shared = staged(runs.join(_repeated(runs, "inner"), "inner"), f"repeats-shared-{step}")
+        outer = _repeated(shared, "outer").withColumnRenamed("outer", "__outer")
+        spread = F.coalesce("outer", F.xxhash64("id", "place", "low").cast("string").cast("binary"))
+        judged = shared.withColumn("outer", spread).join(outer, F.col("outer") == F.col("__outer"), "left")
+        judged = staged(judged.select("id", "place", "low", "high", "known", "inner", F.col("__outer").isNotNull().alias("decided")), f"repeats-judged-{step}")
+        found = found.union(judged.where("decided and known = 0").select("id", *span))
+        undecided = judged.where("not decided and known = 0").select("inner").distinct()
+        left = judged.join(undecided, "inner").withColumn("known", F.greatest("known", F.col("decided").cast("int")))
+    return found
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, n_bytes, n_removed, n_spans (maximal removed runs), kept binary (the other bytes)."""
-    docs = documents.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("own"))
-    spans = repeated_spans(documents, id_col, text_col).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = staged(spans, "repeats-spans")
+    laid = laid_out(documents, id_col, text_col)
+    spans = repeated_spans(laid).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, removed, counts, kept = [], [], [], []
         for n in range(batch.num_rows):
-            raw = (batch.column(1)[n].as_py() or "").encode()
+            raw = batch.column(1)[n].as_py().encode()
             item = batch.column(3)[n].values
             found = sorted(zip(item.field(0).to_pylist(), item.field(1).to_pylist())) if item is not None else []
             merged: list[list[int]] = []
@@ -262,5 +271,5 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         long = lambda values: pa.array(values, pa.int64())
         return record_batch(id=batch.column(2), n_bytes=long(sizes), n_removed=long(removed), n_spans=long(counts), kept=pa.array(kept, pa.binary()))
 
-    out = map_batches(_listed(docs, spans, "spans", "left"), cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = map_batches(laid.select("id", "text", "own").join(spans, "id", "left"), cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)

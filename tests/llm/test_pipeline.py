@@ -97,7 +97,6 @@ def test_repeats_of_the_tables_with_small_parts(spark, monkeypatch):
     rows = docs.collect()
     want = {r.doc_id: b[:3] for r, b in zip(rows, brute_repeats([r.text.encode() for r in rows]))}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect()} == want
-    monkeypatch.setattr(repeats, "BROADCAST_ITEMS", 0)
     monkeypatch.setattr(repeats, "PART", 3000)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect()} == want
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
