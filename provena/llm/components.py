@@ -14,17 +14,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every round hangs neighbours under the least id seen, until no edge changes. A vertex with very
     many neighbours costs one partial minimum in each task. Loops and repeated edges are allowed.
     """
-    now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi != lo").distinct()
-    now, mark = _written(now)
+    now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi != lo")
+    mark = None
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         under = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(under, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         before = mark
         now, mark = _written(small.union(under.select("hi", F.col("m").alias("lo"))).distinct())
-        if mark == before:
+        if mark == before or not mark[0]:
             return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
 
 

@@ -162,9 +162,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         yield record_batch(feature=pa.array(at, pa.int32()), n0=pa.array(seen[0, at]), n1=pa.array(seen[1, at]))
 
     found = train.select("features", "label").mapInArrow(count, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    frame = found.toPandas()  # at most 2 ** BITS rows
+    counted = found.toArrow()  # at most 2 ** BITS rows, as Arrow: rows of Python objects would take the driver hundreds of MB
     seen = np.zeros((2, size))
-    seen[:, frame.feature] = frame[["n0", "n1"]].to_numpy().T
+    for label in (0, 1):
+        seen[label, counted["feature"].to_numpy()] = counted[f"n{label}"].to_numpy()
     ratio = np.log((seen[1] + 1) / (one + 2)) - np.log((seen[0] + 1) / (zero + 2))
 
     def solve(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
@@ -177,8 +178,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     solved = train.groupBy("shard").applyInPandas(solve, "feature int, weight double, rows int")
     total = F.sum(F.col("weight") * F.col("rows")).alias("weight")
     learned = np.zeros(size + 1)
-    summed = solved.groupBy("feature").agg(total).toPandas()
-    learned[summed.feature] = summed.weight / (zero + one)
+    summed = solved.groupBy("feature").agg(total).toArrow()
+    learned[summed["feature"].to_numpy()] = summed["weight"].to_numpy() / (zero + one)
     w, bias = learned[:size], learned[size]
     mean = np.abs(w).mean()
     model = Model(((1 - LEARNED) * mean + LEARNED * w) * ratio, ratio * ratio, float(bias), 1.0, 0.0)
@@ -186,8 +187,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def margins(batch: pa.RecordBatch) -> pa.RecordBatch:
         return record_batch(margin=pa.array([model.margin(np.asarray(f, np.int64)) for f in batch.column(0).to_pylist()], pa.float64()), label=batch.column(1))
 
-    held = map_batches(parted.where("calibrates").select("features", "label"), margins, "margin double, label int").orderBy("margin", "label").toPandas()
-    model.slope, model.offset = calibrate(held.margin.to_numpy(), held.label.to_numpy(), one / (zero + one))
+    held = map_batches(parted.where("calibrates").select("features", "label"), margins, "margin double, label int").orderBy("margin", "label").toArrow()
+    model.slope, model.offset = calibrate(held["margin"].to_numpy(), held["label"].to_numpy(), one / (zero + one))
     return model
 
 
