@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A number that no letter or dash touches, with sign, thousands, fraction, exponent, and one of percent, scale letter.
-NUMBER = r"(?<![A-Za-z0-9.,_-])([+−-]?)(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\.\d+|\d+)(?:[eE]([+-]?\d{1,2}))?(?:\s?(%)|([KMBT])(?![A-Za-z]))?(?![A-Za-z0-9_]|[.,]\d)"
-SCALES = {"K": 10**3, "M": 10**6, "B": 10**9, "T": 10**12}
+#: A number that no letter or dash touches, with sign, thousands, fraction, exponent (e5 or typeset times ten to the five), and one of percent, scale letter.
+NUMBER = r"(?<![A-Za-z0-9.,_-])[+−-]?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d{1,2}|\s?(?:×|x|\\times)\s?10\^\{?[+−-]?\d{1,2}\}?)?(?:\s?%|[KMBT](?![A-Za-z]))?(?![A-Za-z0-9_]|[.,]\d)"
+TIMES_TEN = r"\s?(?:×|x|\\times)\s?10\^\{?([+−-]?\d{1,2})\}?"
+#: Powers of ten of the scale letters.
+SCALES = {"K": 3, "M": 6, "B": 9, "T": 12}
+VALUE = "decimal(38,18)"
 
 
 def parse_decimal(text: Column) -> Column:
@@ -17,20 +20,27 @@ def parse_decimal(text: Column) -> Column:
 
 
 def find_numbers(text: Column, skip_years: bool = True) -> Column:
-    """array<struct<raw, value decimal, decimals, is_percent>> of a text, in order; bare years are left out if asked."""
-
-    def read(raw: Column) -> Column:
-        part = lambda n: F.regexp_extract(raw, NUMBER, n)
-        mantissa, exponent, scale = F.replace(part(2), F.lit(","), F.lit("")), part(3), part(5)
-        value = F.concat(F.when(part(1).isin("-", "−"), F.lit("-")).otherwise(F.lit("")), mantissa).cast("decimal(28,10)")
-        factor = F.coalesce(*[F.when(scale == k, F.lit(v)) for k, v in SCALES.items()], F.lit(1)).cast("decimal(14,0)")
-        power = F.when(exponent != "", F.pow(F.lit(10.0), exponent.cast("int"))).otherwise(F.lit(1.0))
-        scaled = F.when(exponent != "", (value.cast("double") * power).cast("decimal(28,10)")).otherwise((value * factor).cast("decimal(28,10)"))
+    """array<struct<raw, value decimal(38,18), decimals, is_percent>> of a text, in order; bare years are left out if asked.
+
+    The value is null where it doesn't fit: 10 ** 20 or more, or not zero but too small to be written with 18 places.
+    """
+
+    def parts(raw: Column) -> Column:
+        short = F.when(raw.contains("10^"), F.regexp_replace(raw, TIMES_TEN, "e$1")).otherwise(raw)
+        return F.struct(raw.alias("raw"), F.lower(F.translate(short, "−,+% KMBT", "-")).alias("bare"))
+
+    def read(n: Column) -> Column:
+        mantissa = F.substring_index(n["bare"], "e", 1)
+        scale = F.coalesce(*[F.when(n["raw"].endswith(k), F.lit(f"e{v}")) for k, v in SCALES.items()], F.lit(""))
+        value = F.concat(n["bare"], F.when(n["bare"].contains("e"), F.lit("")).otherwise(scale)).try_cast(VALUE)
+        lost = (value == 0) & (F.translate(mantissa, "-.0", "") != "")
         decimals = F.when(mantissa.contains("."), F.length(F.substring_index(mantissa, ".", -1))).otherwise(0)
-        return F.struct(raw.alias("raw"), scaled.alias("value"), decimals.alias("decimals"), (part(4) == "%").alias("is_percent"))
+        return F.struct(n["raw"].alias("raw"), F.when(~lost, value).alias("value"), decimals.alias("decimals"), n["raw"].endswith("%").alias("is_percent"))
 
-    found = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), read)
-    return F.filter(found, lambda n: ~n["raw"].rlike(r"^(?:19|20)\d\d$")) if skip_years else found
+    raws = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    if skip_years:
+        raws = F.filter(raws, lambda raw: ~raw.rlike(r"^(?:19|20)\d\d$"))
+    return F.transform(F.transform(raws, parts), read)
 
 
 def fraction(value: Column, is_percent: Column) -> Column:

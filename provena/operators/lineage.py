@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
 #: The stances from strongest to weakest.
 STANCES = ("contests", "extends", "inherits", "compares", "background")
 LEAN, PUSH = ("inherits", "extends"), ("contests", "compares")
@@ -65,29 +67,32 @@ def candidates(votes: DataFrame, top: int = 40, stanced_only: bool = False) -> D
     return pool.orderBy(F.desc("stanced"), F.desc("cited"), "key").limit(top)
 
 
-def reachable(edges: DataFrame, start: Column | int, hops: int = 4) -> DataFrame:
-    """(node, hops): what can be reached from start over undirected edges (src, dst) within so many hops; a frontier of new nodes at a time."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    seen = edges.sparkSession.range(1).select(F.lit(start).cast(edges.schema["src"].dataType).alias("node"), F.lit(0).alias("hops"))
-    frontier = seen
+def paths(edges: DataFrame, start: int, hops: int = 4) -> DataFrame:
+    """(node, hops, path array<long>): for what can be reached from start over undirected edges (src, dst) within so many hops the shortest path, of equal ones the least.
+
+    A frontier of new nodes at a time, written to the shared folder, so that a hop doesn't repeat those before it.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    both = staged(both, "lineage-edges")
+    start_at = F.lit(start).cast("long")
+    seen = frontier = edges.sparkSession.range(1).select(start_at.alias("node"), F.lit(0).alias("hops"), F.array(start_at).alias("path"))
     for hop in range(1, hops + 1):
-        nearby = frontier.join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = nearby.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop))
+        nearby = frontier.join(both, F.col("node") == F.col("src")).groupBy(F.col("dst").cast("long").alias("node")).agg(F.min(F.concat("path", F.array(F.col("dst").cast("long")))).alias("path"))
+        frontier = staged(nearby.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "path"), "lineage-frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
-def connect(edges: DataFrame, start: int, end: int, hops: int = 4) -> DataFrame:
-    """(hops, path): the shortest undirected path, of equal ones the smallest; nodes carry eight digits, so that paths compare as text."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    name = lambda c: F.lpad(c.cast("string"), 8, "0")
-    seen = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).alias("hops"), name(F.lit(start)).alias("path"))
-    frontier = seen
-    for hop in range(1, hops + 1):
-        nearby = frontier.join(both, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.lit(">"), name(F.col("dst")))).alias("path"))
-        frontier = nearby.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "path")
-        seen = seen.unionByName(frontier)
-    return seen.where(F.col("node") == end).select("hops", "path")
+def reachable(edges: DataFrame, start: int, hops: int = 4) -> DataFrame:
+    """(node, hops): what can be reached from start within so many hops."""
+    return paths(edges, start, hops).select("node", "hops")
+
+
+def connect(edges: DataFrame, start: int, end: int | None = None, hops: int = 4) -> DataFrame:
+    """(node, hops, path): the shortest undirected path to end, or to every node in reach, as text; of equal ones the least by number."""
+    found = paths(edges, start, hops)
+    found = found if end is None else found.where(F.col("node") == end)
+    return found.select("node", "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def locate(documents: DataFrame, quotes: DataFrame, keep_hyphens: bool = True) -
     """(item_id, doc_id, occurrences, position) of every document (doc_id, text) that holds a quote (item_id, text); position in the skeleton, occurrences may overlap.
 
     The quotes are a stated query set. Blocks of them are compiled into one automaton each, which
-    reads every document once. Quotes under LEAST letters are never found.
+    reads every document once. Quotes under LEAST letters are never found; without quotes there are no rows.
     """
     wanted = quotes.select("item_id", skeleton(F.col("text"), keep_hyphens).alias("needle")).where(F.length("needle") >= LEAST)
     rows = documents.select("doc_id", skeleton(F.coalesce("text", F.lit("")), keep_hyphens).alias("hay"))
@@ -53,7 +53,9 @@ def locate(documents: DataFrame, quotes: DataFrame, keep_hyphens: bool = True) -
         block.setdefault(row["needle"], []).append(row["item_id"])
         if len(block) >= BLOCK:
             found, block = pass_over(block) if found is None else found.union(pass_over(block)), {}
-    return pass_over(block) if found is None else found.union(pass_over(block)) if block else found
+    if block:
+        found = pass_over(block) if found is None else found.union(pass_over(block))
+    return rows.where("false").select(F.lit(0).cast("long").alias("item_id"), "doc_id", F.lit(0).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("position")) if found is None else found
 
 
 def unique(found: DataFrame) -> DataFrame:

@@ -73,11 +73,12 @@ def citation_sites(papers: DataFrame) -> DataFrame:
 
 
 def references(papers: DataFrame) -> DataFrame:
-    """(paper, key, authors, title, venue, year, own_id): the entries of the bibliography; blocks part authors, title and venue; the last year counts."""
+    """(paper, key, authors, title, venue, year, own_id): the entries of the bibliography; blocks part authors, title and venue; the last year from 1950 to 2049 counts that stands in no identifier or address."""
     entries = F.filter(F.split(without_comments(F.col("source")), r"\\bibitem"), lambda e: e.rlike(r"^(?:\[[^\]]*\])?\{"))
     each = papers.select("paper", F.explode(entries).alias("e")).withColumn("e", F.regexp_replace("e", r"(?s)\\end\{thebibliography\}.*$", ""))
     blocks = F.transform(F.split(F.regexp_replace("e", r"^(?:\[[^\]]*\])?\{[^}]*\}", ""), r"\\newblock"), lambda b: F.regexp_replace(plain_prose(b), r"[.,\s]+$", ""))
-    years = F.regexp_extract_all("e", F.lit(r"\b(?:19|20)\d\d\b"), F.lit(0))
+    prose = F.regexp_replace("e", r"(?i)https?://\S+|\b10\.\d{4,9}/\S+|arxiv[:\s/.a-z]*\d{4}\.\d{4,5}(?:v\d+)?", " ")
+    years = F.regexp_extract_all(prose, F.lit(r"\b(?:19[5-9]|20[0-4])\d\b"), F.lit(0))
     identifier = F.nullif(F.regexp_extract("e", r"(?i)arxiv[:\s/.a-z]*(\d{4}\.\d{4,5})", 1), F.lit(""))
     return each.select("paper", F.regexp_extract("e", r"^(?:\[[^\]]*\])?\{([^}]*)\}", 1).alias("key"), F.get(blocks, F.lit(0)).alias("authors"), F.get(blocks, F.lit(1)).alias("title"), F.get(blocks, F.lit(2)).alias("venue"), F.try_element_at(years, F.lit(-1)).cast("int").alias("year"), identifier.alias("own_id"))
 

@@ -154,13 +154,13 @@ def agg_foundations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.foundations(_edges(spark, sf_dir))
 
 
-@query(f"WITH {SITES} SELECT key, count(DISTINCT paper) AS cited, count(*) FILTER (WHERE stance <> 'background') AS stanced FROM sites WHERE key % 3 <> 0 GROUP BY 1")
+@query(f"WITH {SITES} SELECT key, count(DISTINCT paper) AS cited, count(*) FILTER (WHERE stance <> 'background') AS stanced FROM sites WHERE key NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 3000) GROUP BY 1")
 def agg_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("id"))
+    have = table(spark, sf_dir, "supplier").where("s_acctbal > 3000").select(F.col("s_suppkey").alias("id"))
     return lineage.survey(_sites(spark, sf_dir), have)
 
 
-@query(f"WITH {SITES} SELECT key, count(DISTINCT paper) AS cited, count(*) FILTER (WHERE stance <> 'background') AS stanced FROM sites WHERE key % 3 <> 0 GROUP BY 1 ORDER BY stanced DESC, cited DESC, key LIMIT 40")
+@query(f"WITH {SITES} SELECT key, count(DISTINCT paper) AS cited, count(*) FILTER (WHERE stance <> 'background') AS stanced FROM sites WHERE key NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 3000) GROUP BY 1 ORDER BY stanced DESC, cited DESC, key LIMIT 40")
 def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.candidates(agg_survey(spark, sf_dir))
 
@@ -180,16 +180,17 @@ def agg_bycue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.by_cue(table(spark, sf_dir, "part"), "p_type")
 
 
-PAIR = f"""WITH {SITES}, a AS (SELECT * FROM sites WHERE paper % 10 = 1), b AS (SELECT * FROM sites WHERE paper % 10 = 2),
-x AS (SELECT key, bool_or(stance IN ('inherits', 'extends')) AS l, bool_or(stance IN ('contests', 'compares')) AS p FROM a WHERE weight = 0 GROUP BY 1),
-y AS (SELECT key, bool_or(stance IN ('inherits', 'extends')) AS l, bool_or(stance IN ('contests', 'compares')) AS p FROM b WHERE weight = 1 GROUP BY 1)
+#: Two papers: the sites of light weight, and those of heavy weight.
+PAIR = f"""WITH {SITES},
+x AS (SELECT key, bool_or(stance IN ('inherits', 'extends')) AS l, bool_or(stance IN ('contests', 'compares')) AS p FROM sites WHERE weight < 2 GROUP BY 1),
+y AS (SELECT key, bool_or(stance IN ('inherits', 'extends')) AS l, bool_or(stance IN ('contests', 'compares')) AS p FROM sites WHERE weight >= 2 GROUP BY 1)
 SELECT key, CASE WHEN (x.l AND y.p AND NOT y.l) OR (y.l AND x.p AND NOT x.l) THEN 'part ways' WHEN x.l AND y.l THEN 'both stand on' WHEN x.p AND y.p THEN 'both push' ELSE 'both cite' END AS bucket FROM x JOIN y USING (key)"""
 
 
 @query(PAIR)
 def gr_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = _sites(spark, sf_dir)
-    return lineage.compare(sites.where("paper % 10 = 1 AND weight = 0"), sites.where("paper % 10 = 2 AND weight = 1"))
+    return lineage.compare(sites.where("weight < 2"), sites.where("weight >= 2"))
 
 
 # A sparse graph: each part cites the part that lies its size ahead.
@@ -213,7 +214,7 @@ def agg_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WALK = f"""WITH RECURSIVE {LINKS}, e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links),
-walk AS (SELECT 1::BIGINT AS node, 0 AS hops, '00000001' AS path UNION ALL SELECT dst, hops + 1, path || '>' || lpad(CAST(dst AS VARCHAR), 8, '0') FROM walk JOIN e ON node = src WHERE hops < 4)"""
+walk AS (SELECT 1::BIGINT AS node, 0 AS hops, [1::BIGINT] AS path UNION ALL SELECT dst, hops + 1, list_append(path, dst::BIGINT) FROM walk JOIN e ON node = src WHERE hops < 4)"""
 
 
 @query(f"{WALK} SELECT node, min(hops) AS hops FROM walk GROUP BY 1")
@@ -221,16 +222,16 @@ def gr_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.reachable(_links(spark, sf_dir), 1)
 
 
-@query(f"{WALK} SELECT hops, path FROM walk WHERE node = (SELECT min(p_partkey) + 40 FROM part) ORDER BY hops, path LIMIT 1")
+@query(f"{WALK} SELECT node, hops, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY node ORDER BY hops, path) = 1")
 def gr_connect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.connect(_links(spark, sf_dir), 1, 41)
+    return lineage.connect(_links(spark, sf_dir), 1)
 
 
-@query("""SELECT o_orderkey AS id, o_totalprice AS price, 'old' AS state FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0
-UNION ALL SELECT o_orderkey, o_totalprice, 'new' FROM orders WHERE o_orderkey % 2 = 0""")
+@query("""SELECT o_orderkey AS id, o_totalprice AS price, CASE WHEN o_totalprice >= 100000 THEN 'new' ELSE 'old' END AS state FROM orders""")
 def snk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    return lineage.upsert(orders.where("id % 3 <> 0").withColumn("state", F.lit("old")), orders.where("id % 2 = 0").withColumn("state", F.lit("new")))
+    old, new = orders.where("price < 200000 OR price IS NULL"), orders.where("price >= 100000")  # both hold the rows between
+    return lineage.upsert(old.withColumn("state", F.lit("old")), new.withColumn("state", F.lit("new")))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS r, l_linenumber % 4 AS c, max(CAST(l_partkey AS VARCHAR)) AS raw FROM lineitem GROUP BY 1, 2)
@@ -338,10 +339,10 @@ def num_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(numbers.cell_number(cell)["value"] * 100).cast("long").alias("cents"), (F.col("p_size") % 2 == 0).alias("decorated"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey WHERE abs(l_extendedprice - round(p_retailprice * l_quantity, 0)) <= 0.5 + 1e-12""")
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE abs(l_extendedprice - (round(l_extendedprice, 0) + l_linenumber % 2)) <= 0.5 + 1e-12""")
 def join_roundsto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return both.where(numbers.rounds_to(F.col("l_extendedprice"), F.round(F.col("p_retailprice") * F.col("l_quantity"), 0), F.lit(0))).select("l_orderkey", "l_linenumber", "l_extendedprice")
+    reported = F.round("l_extendedprice", 0) + F.col("l_linenumber") % 2
+    return table(spark, sf_dir, "lineitem").where(numbers.rounds_to(F.col("l_extendedprice"), reported, F.lit(0))).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 CLAIMS = """cells AS (SELECT l_orderkey AS paper, l_linenumber AS cell, l_extendedprice / 1000 AS number FROM lineitem),
@@ -584,9 +585,11 @@ def agg_attested_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _titles(spark, sf_dir)
 
 
-@query(f"WITH {CHOSEN}, f AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS folded FROM t) SELECT id, title FROM f WHERE folded IN (SELECT folded FROM f GROUP BY 1 HAVING count(DISTINCT id) = 1)")
+@query(f"WITH t AS (SELECT DISTINCT p_brand AS id, p_type || ' ' || p_size || CASE WHEN p_size % 2 = 0 THEN ' ' || p_brand ELSE '' END AS title FROM part), f AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS folded FROM t) SELECT id, title FROM f WHERE folded IN (SELECT folded FROM f GROUP BY 1 HAVING count(DISTINCT id) = 1)")
 def agg_resolve_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.unclaimed(_titles(spark, sf_dir))
+    own = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_brand")).otherwise("")
+    titles = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), F.concat("p_type", F.lit(" "), F.col("p_size").cast("string"), own).alias("title"))
+    return library.unclaimed(titles.distinct())
 
 
 @query("SELECT CASE WHEN p_size % 9 = 0 THEN 'uncategorised' ELSE p_type END AS label, count(*) AS n FROM part GROUP BY 1")
@@ -624,16 +627,16 @@ def join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.overlapping(_boxes(spark, sf_dir).drop("line"))
 
 
-@query(f"WITH {BOXES} SELECT r.page, r.id AS rect, w.id AS word FROM b r JOIN b w ON r.page = w.page WHERE r.line = 1 AND (w.x0 + w.x1) / 2 BETWEEN r.x0 - 0.5 AND r.x1 + 0.5 AND (w.y0 + w.y1) / 2 BETWEEN r.y0 - 0.5 AND r.y1 + 0.5")
+@query(f"WITH {BOXES} SELECT r.page, r.id AS rect, w.id AS word FROM b r JOIN b w ON r.page = w.page WHERE (w.x0 + w.x1) / 2 BETWEEN r.x0 - 0.5 AND r.x1 + 0.5 AND (w.y0 + w.y1) / 2 BETWEEN r.y0 - 0.5 AND r.y1 + 0.5")
 def join_pointrect(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _boxes(spark, sf_dir)
-    return geometry.words_in(boxes.where("line = 1").drop("line"), boxes.drop("line"))
+    return geometry.words_in(boxes.drop("line"), boxes.drop("line"))
 
 
-@query(f"WITH {BOXES}, s AS (SELECT m.page, m.id AS mark, r.id AS reading, round({_IN_BOTH.format(a='m', b='r')} / 48.0, 6) AS score FROM b m JOIN b r ON m.page = r.page AND m.line = 1 AND r.line > 1) SELECT * FROM s WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY page, mark ORDER BY score DESC, reading) = 1")
+@query(f"WITH {BOXES}, s AS (SELECT m.page, m.id AS mark, r.id AS reading, round({_IN_BOTH.format(a='m', b='r')} / 48.0, 6) AS score FROM b m JOIN b r ON m.page = r.page AND m.line <= 2 AND r.line > 2) SELECT * FROM s WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY page, mark ORDER BY score DESC, reading) = 1")
 def join_markreading(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _boxes(spark, sf_dir)
-    return geometry.best_reading(boxes.where("line = 1").drop("line"), boxes.where("line > 1").drop("line"))
+    return geometry.best_reading(boxes.where("line <= 2").drop("line"), boxes.where("line > 2").drop("line"))
 
 
 @query(f"WITH {BOXES} SELECT page, line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS words FROM b GROUP BY 1, 2")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provena.functions import cues, numbers, text
-from provena.operators import sessions
+from provena.operators import lineage, locate, markup, sessions
 from provena.sources import records
 from provena.plans.queries import QUERIES
 from provena.streaming import events as stream
@@ -123,3 +123,29 @@ def test_streamed_funnel_takes_earlier_steps_in_later_batches(spark, tmp_path):
     changes = stream.run_available(stream.funnel(stream.read_events(spark, str(tmp_path)), stages, keep="3650 days"), "update", "t")
     got = {r.session: r.reached for r in changes.groupBy("session").agg(F.max("reached").alias("reached")).collect()}
     assert got == {r.session: r.reached for r in sessions.reached(sessions.steps_of(events), stages).collect() if r.reached}
+
+
+def test_numbers_out_of_range_and_typeset_exponents(spark):
+    said = ["12345678901234567890123", "1.5e30", "1e-30", "3 × 10^5", "2.5e3", "−1,200.50", "7.5 %", "3.2M", "0e9"]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(said)], "n int, t string")
+    found = rows.select("n", numbers.find_numbers(F.col("t")).alias("f")).orderBy("n").collect()
+    assert [len(r.f) for r in found] == [1] * len(said)
+    values = [r.f[0].value for r in found]
+    assert values[:3] == [None, None, None]
+    assert [float(v) for v in values[3:]] == [300000.0, 2500.0, -1200.5, 7.5, 3200000.0, 0.0]
+    assert [r.f[0].decimals for r in found][4:8] == [1, 2, 1, 1] and found[6].f[0].is_percent
+
+
+def test_years_of_references_stand_in_no_identifier(spark):
+    entry = r"\begin{document}\bibitem{a} A. One. \newblock A title. \newblock Venue, 1998. arXiv:1956.12345. \bibitem{b} B. Two. \newblock Other. \newblock Venue, 2003, 10.1000/1999.7 https://host/2011/x \end{document}"
+    got = markup.references(spark.createDataFrame([(1, entry)], "paper int, source string")).collect()
+    assert [(r.key, r.year, r.own_id) for r in sorted(got, key=lambda r: r.key)] == [("a", 1998, "1956.12345"), ("b", 2003, None)]
+
+
+def test_paths_of_long_ids_and_quotes_of_an_empty_table(spark):
+    ids = [123456781, 123456799, 1234567810, 5]
+    edges = spark.createDataFrame([(ids[0], ids[1]), (ids[1], ids[2]), (ids[0], ids[3]), (ids[3], ids[2])], "src long, dst long")
+    assert lineage.connect(edges, ids[0], ids[2]).collect()[0].path == "123456781>5>1234567810"
+    docs = spark.createDataFrame([(1, "some text that is long enough")], "doc_id long, text string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert locate.locate(docs, none).count() == 0
