@@ -9,22 +9,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Families of cues before a citation, strongest first, and the stance of each.
-BEFORE = (
-    ("contests", r"unlike|in contrast (?:to|with)|contrary to|as opposed to|differs? from|fails? to|outperform(?:s|ed|ing)?"),
-    ("contests", r"whereas|instead of|rather than|however"),
-    ("extends", r"(?:we )?(?:extend|generali[sz]e|build (?:up)?on|improve (?:up)?on)(?:s|ed|ing)?|extension of"),
-    ("inherits", r"following|(?:we )?(?:use|adopt|employ|follow|apply)(?:s|ed|ing)?|based on|as in|the protocol of"),
-    ("compares", r"compar(?:e|es|ed|ing|able) (?:\w+ ){0,3}(?:to|with|against)|similar to|as well as|relative to|on par with"),
-)
-#: Families of cues after a citation.
+#: Phrases before a citation, by what they say of the cited work; families are tried in this order. A tilde stands for any ending.
+OPPOSED = """unlike; in contrast to; in contrast with; contrary to; in opposition to; differ from; differs from; diverge~ from; depart~ from; whereas;
+we dispute~; we challenge~; we question~; correct~ the claim; correct~ the result; correct~ the error; contradict~; disagree~ with"""
+CONTRASTED = "rather than; instead of; as opposed to; in lieu of"
+EXTENDED = """we extend~; we generalis~; we generaliz~; we adapt~; we refine~; we strengthen~; we revisit~; build~ on; build~ upon; extend~ the work; extend~ the approach;
+extend~ the method; extend~ the result; inspired by; motivated by; improve~ on; improve~ upon; starting from; starting with"""
+TAKEN_OVER = """following; as in; as done in; as done by; as described in; as described by; as proposed in; as proposed by; as introduced in; as introduced by;
+we use~; we adopt~; we follow~; we employ~; we apply; we applied; we reuse~; we take; we took; we borrow~; we keep; we retain~; we look at; we evaluate on; we train on; we test on; we report on;
+identical to; the same as; taken from; borrowed from; based on; built on top of; built upon top of; implementation of; implemented in; implemented by; implemented using;
+standard practice; standard setup; standard recipe; standard approach; standard method; standard algorithm; standard technique; standard procedure; standard architecture; standard benchmark;
+using; employing; adopting; applying; reimplement~; re-implement~"""
+MEASURED = """compare to; compare with; compare against; compared to; compared with; compared against; we compare~; in comparison to; in comparison with; outperform~; outscore~;
+baseline~; versus; better than; worse than; on par with; competitive with"""
+#: What a citation that is the subject may fall short in, after a negation, and phrases that say so alone.
+SHORT_OF = "account; generalis~; generaliz~; handle; address; consider; scale; apply; hold; extend; capture; support; work"
+LACKING = """cannot be applied; cannot be extended; cannot be used; fail~ to; neglect~; overlook~; ignore~; omit~; is limited; is restricted; is incorrect; is wrong; is unable;
+are limited; are restricted; are incorrect; are wrong; are unable; suffer~ from; struggle~ to; struggle~ with; break~ down"""
+#: What of a cited work is taken over when it stands in the genitive.
+OWNED = "approach; method; architecture; setup; recipe; code; implementation; hyperparameter~; hyper-parameter~; protocol"
+NEGATOR = r"(?:\bnot|\bno|\bnever|n't|\bwithout|\bcannot)\s+(?:\w+\s+)?$"
+
+
+def phrases(listed: str) -> str:
+    """A pattern for any of the phrases of a list; white space may be any, a tilde any ending."""
+    words = [w.strip() for w in listed.replace("\n", " ").split(";")]
+    return "|".join(r"\s+".join(words_.split()).replace("~", r"\w*") for words_ in sorted(words, key=len, reverse=True))
+
+
+BEFORE = (("contests", phrases(OPPOSED)), ("contests", phrases(CONTRASTED)), ("extends", phrases(EXTENDED)), ("inherits", phrases(TAKEN_OVER)), ("compares", phrases(MEASURED)))
 AFTER = (
-    ("contests", r"(?:does|do|did) not|cannot|ignores?|suffers? from|fails? to|is limited"),
-    ("extends", r"which we (?:extend|generali[sz]e|improve)"),
-    ("inherits", r"'s (?:method|model|protocol|architecture|approach|setup)"),
+    ("contests", rf"(?:does|do|did)\s+not\s+(?:{phrases(SHORT_OF)})|{phrases(LACKING)}"),
+    ("extends", rf"which\s+(?:{phrases('we extend~; we generalis~; we generaliz~; we adapt~')})"),
+    ("inherits", rf"['’]s\s+(?:{phrases(OWNED)})"),
 )
-NEGATOR = r"(?:\bnot|\bno|\bnever|n't|\bwithout|\bcannot)\s+(?:\w+\s+)?$"
-CLAUSE_BREAK = r"; |—|--|\. |, (?:and|but|or|while|which|who|where) |, (?=(?:we|it|they|this|he|she)\b)"
+#: Where a new statement begins: at a stop, or at a comma before a conjunction, a relative or a subject.
+JOINERS, SUBJECTS = "and but while whereas although though yet so because since which who where when whose".split(), "we it they this these our he she".split()
+CLAUSE_BREAK = rf"[;—]\s*|--|\.\s+|,\s+(?:(?:{'|'.join(JOINERS)})\s+|(?=(?:{'|'.join(SUBJECTS)})\s))"
 FIRST_PERSON = r"\b(?:we|our|us|this (?:paper|work|study|article)|here)\b"
 #: Kinds of assumptions in the order in which they are tried.
 ASSUMPTIONS = (
@@ -52,6 +73,8 @@ def _cues(text: Column, pattern: str) -> Column:
 def _first(text: Column, pattern: str) -> Column:
     """The first cue that no negator precedes and that, if it is 'following', no preposition follows."""
     alive = F.filter(_cues(text, pattern), lambda m: ~F.right(m["lead"], F.lit(24)).rlike(f"(?i){NEGATOR}") & ~((F.lower(m["cue"]) == "following") & m["rest"].rlike(r"^\s+(?:for|in|of)\b")))
+    if pattern == phrases(CONTRASTED):  # it is the work that is contrasted only if nothing but a few words of a name lie between, and no deed
+        alive = F.filter(alive, lambda m: m["rest"].rlike(r"^\s*(?:[\w'’-]+\s+){0,4}$") & ~m["rest"].rlike(r"(?i)^\s*(?:to\b|\w+ing\b)"))
     return F.get(F.transform(alive, lambda m: m["cue"]), F.lit(0))
 
 
@@ -64,7 +87,7 @@ def read_stance(before: Column, after: Column, sentence: Column) -> Column:
         cue = _first(here, pattern)
         options.append(F.when(cue.isNotNull() & (about_us | F.lower(cue).startswith("we ")), F.struct(F.lit(stance).alias("stance"), cue.alias("cue"))))
     for stance, pattern in AFTER:
-        cue = F.nullif(F.regexp_extract(behind, rf"(?i)^\W*(?:\w+\W+){{0,3}}?({pattern})\b", 1), F.lit(""))
+        cue = F.nullif(F.regexp_extract(behind, rf"(?i)^\W*?(?:\w+\W+){{0,3}}?({pattern})\b", 1), F.lit(""))
         options.append(F.when(cue.isNotNull() & ~here.rlike(f"(?i){FIRST_PERSON}"), F.struct(F.lit(stance).alias("stance"), cue.alias("cue"))))
     return F.coalesce(*options, F.struct(F.lit("background").alias("stance"), F.lit("").alias("cue")))
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cell_number
 
-#: Words of a section's title and its kind, tried in this order.
-KINDS = (
-    ("related", r"related|previous|prior|background"), ("limitations", r"limitation|broader impact"), ("conclusion", r"conclu|summary|future"),
-    ("discussion", r"discuss"), ("introduction", r"introduc|motivation"), ("experiments", r"experiment|evaluation|setup|training"),
-    ("results", r"result|ablation|analysis"), ("method", r"method|model|approach|architecture|algorithm"), ("appendix", r"appendi|supplement"),
-)
+#: Kinds of sections, and the beginnings of the words that name them in a title; the word that stands first decides.
+KINDS = {
+    "introduction": "introduc motivat overview", "related": "related previous prior background literature", "method": "method model approach architect algorithm framework",
+    "experiments": "experiment evaluat setup training data implement", "results": "result ablation analys finding", "discussion": "discuss", "limitations": "limitation broader ethic",
+    "conclusion": "conclu summar future", "appendix": "appendi supplement",
+}
 CITE = r"\\(?:cite|citep|citet|citealp|citealt|citeauthor|citeyear)\*?(?:\[[^\]]*\])*\{([^}]*)\}"
 
 
@@ -27,7 +27,10 @@ def body(source: Column) -> Column:
 
 
 def kind_of(title: Column) -> Column:
-    return F.coalesce(*[F.when(title.rlike(f"(?i){words}"), F.lit(kind)) for kind, words in KINDS], F.lit("other"))
+    """The kind whose word stands first in the title; other where there is none."""
+    stems = {stem: kind for kind, words in KINDS.items() for stem in words.split()}
+    first = F.regexp_extract(F.lower(title), rf"\b({'|'.join(stems)})", 1)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in stems.items() for x in pair]), first), F.lit("other"))
 
 
 def sections(papers: DataFrame) -> DataFrame:

@@ -21,12 +21,20 @@ def one(spark, column, **values):
     [
         ("Unlike ", ", our model is small.", "contests"),
         ("We do not use ", " in this work.", "background"),
-        ("Following the protocol of ", " we train our model.", "inherits"),
+        ("Following the recipe of ", " we fit our network.", "inherits"),
         ("In the years following for ", " we saw our growth.", "background"),
         ("It is shown, but we extend ", " here.", "extends"),
         ("We compare with ", " in Table 2.", "compares"),
         ("The model of ", " does not account for our noise.", "contests"),
         ("Many systems use ", " for speed.", "background"),
+        ("We learn a shared space rather than to tell the parts of ", " apart.", "background"),
+        ("We train a small network instead of ", ".", "contests"),
+        ("Our loss is inspired by the idea of ", ".", "extends"),
+        ("The network of ", " does not use a memory, and ours has one.", "background"),
+        ("The network of ", " does not handle our long inputs.", "contests"),
+        ("Unlike older ones, we use the optimiser of ", ".", "inherits"),
+        ("Our scores are better than those of ", ".", "compares"),
+        ("For decoding we rely on ", "'s implementation.", "background"),
     ],
 )
 def test_stance(spark, before, after, stance):
