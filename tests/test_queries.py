@@ -1,10 +1,10 @@
 import pytest
 
-from provena.plans.queries import ORACLE, QUERIES
+from provena.plans.all import ORACLE, QUERIES
 
 from .parity import differences, oracle
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
