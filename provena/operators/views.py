@@ -128,3 +128,42 @@ def run_checks(paper: DataFrame, checks: dict[str, Callable[[DataFrame], DataFra
         found = one if found is None else found.unionByName(one)
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0))
     return found.withColumn("rank", F.when(rank == 0, F.lit(len(SEVERITIES) + 1)).otherwise(rank).cast("long")).orderBy("rank", "check_id")
+
+
+#: Kinds of sections that state a paper's claims, and the order in which support is shown.
+HEADLINE, SUPPORT = ("abstract", "introduction", "conclusion"), ("bare", "cited", "shown")
+
+
+def headline(sections: DataFrame) -> DataFrame:
+    """Sections whose kind states the paper's claims."""
+    return sections.where(F.col("kind").isin(*HEADLINE))
+
+
+def inbound(edges: DataFrame, key: Column | int) -> DataFrame:
+    """The edges that point to one work."""
+    return edges.where(F.col("key") == key)
+
+
+def support_rank(support: Column) -> Column:
+    """The place of a support in the order bare, cited, shown; others come last."""
+    place = F.array_position(F.array(*map(F.lit, SUPPORT)), support)
+    return F.when(place > 0, place).otherwise(len(SUPPORT) + 1).cast("int")
+
+
+def pool(cited: DataFrame, extras: DataFrame, key: str = "key") -> DataFrame:
+    """(key, extra): cited works and extras, each once; extra marks those that nothing cites."""
+    both = cited.select(key, F.lit(False).alias("extra")).unionByName(extras.select(key, F.lit(True).alias("extra")))
+    return both.groupBy(key).agg(F.min("extra").alias("extra"))
+
+
+def distinct_keys(rows: DataFrame, group: str, key: str, order: str) -> DataFrame:
+    """(group, keys): the keys of each group once each, by their first place."""
+    first = rows.groupBy(group, key).agg(F.min(order).alias("__at"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__at", key))), lambda x: x[key])
+    return first.groupBy(group).agg(listed.alias("keys"))
+
+
+def plain_decimal(value: Column) -> Column:
+    """A decimal as text without trailing zeros or exponent; null stays null."""
+    said = value.cast("string")
+    return F.when(said.contains("."), F.regexp_replace(F.regexp_replace(said, "0+$", ""), r"\.$", "")).otherwise(said)

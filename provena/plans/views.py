@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import views
-from .queries import BOXES, LINKS, SITES, _boxes, _links, _sites, query, table
+from ..operators import markup, views
+from .queries import BOXES, LINKS, SITES, _boxes, _links, _papers, _sites, query, table
 
 PART_IDS = "CASE p_size % 5 WHEN 0 THEN 'https://host.org/abs/' || n || 'v2' WHEN 1 THEN 'arXiv:' || n WHEN 2 THEN 'math.GT/030' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') || 'v1' WHEN 3 THEN 'see ' || n ELSE 'https://host.org/pdf/' || n || '.pdf' END"
 NUMBERED = "p AS (SELECT *, lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') || '.1234' || p_size % 10 AS n FROM part)"
@@ -138,3 +138,42 @@ def agg_registry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_name AS title FROM part ORDER BY lower(p_name), p_partkey")
 def top_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title")).orderBy(F.lower("title"), "p_partkey")
+
+
+@query("SELECT o.o_orderkey AS paper, k.kind FROM (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem) o CROSS JOIN (VALUES ('abstract'), ('introduction')) k(kind)")
+def flt_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.headline(markup.sections(_papers(spark, sf_dir))).select("paper", "kind")
+
+
+@query(f"WITH {SITES}, m AS (SELECT min(key) AS k FROM sites) SELECT paper, key, ordinal, stance FROM sites, m WHERE key = k")
+def join_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = _sites(spark, sf_dir)
+    return views.inbound(sites, sites.agg(F.min("key").alias("k")).first()["k"]).select("paper", "key", "ordinal", "stance")
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS place FROM part")
+def top_bare_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    support = F.get(F.array(*map(F.lit, ("bare", "cited", "shown", "unread"))), F.col("p_size") % 4)
+    return table(spark, sf_dir, "part").select("p_partkey", views.support_rank(support).alias("place")).orderBy("place", "p_partkey")
+
+
+@query("SELECT p_partkey AS key, p_partkey NOT IN (SELECT l_partkey FROM lineitem) AS extra FROM part UNION SELECT l_partkey, false FROM lineitem")
+def set_union_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.pool(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key")), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")))
+
+
+@query(f"WITH {SITES}, m AS (SELECT paper, key, min(ordinal) AS met FROM sites GROUP BY 1, 2) SELECT paper, string_agg(CAST(key AS VARCHAR), ',' ORDER BY met, key) AS keys FROM m GROUP BY 1")
+def set_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = views.distinct_keys(_sites(spark, sf_dir), "paper", "key", "ordinal")
+    return out.select("paper", F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"))
+
+
+@query("WITH c AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part) SELECT p_partkey, CASE WHEN c % 100 = 0 THEN CAST(c // 100 AS VARCHAR) WHEN c % 10 = 0 THEN (c // 100) || '.' || (c // 10) % 10 ELSE (c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') END AS said FROM c")
+def num_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = F.round(F.col("p_retailprice"), 2).cast("decimal(20,6)")
+    return table(spark, sf_dir, "part").select("p_partkey", views.plain_decimal(exact).alias("said"))
+
+
+@query(f"WITH {BOXES} SELECT page, id, (x1 - x0) * (y1 - y0) AS area FROM b")
+def hlp_rectarea(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boxes(spark, sf_dir).select("page", "id", views.area().alias("area"))
