@@ -1,10 +1,11 @@
 """Quality rules with robust multivariate outliers. DataFrame functions only.
 
 Text statistics come from one narrow pass over whole texts. A transformed vector of them is then
-compared with the other documents of its language and source: the minimum-covariance-determinant
-estimate is reached from coordinate-wise medians by concentration steps (take the SHARE of the
-group nearest to the current centre, re-estimate centre and covariance), rescaled to be consistent
-at the normal distribution; documents beyond a Mahalanobis distance are rejected. Each step is one
+compared with the other documents of its language and source: three deterministic starts around the
+medians are each led through concentration steps (take the SHARE of the group nearest to the current
+centre, re-estimate centre and covariance); of the covariances reached, that of least determinant
+is the group's estimate, rescaled to be consistent at the normal distribution; documents beyond a
+Mahalanobis distance are rejected. Each step is one
 grouped aggregation with map-side sums. Medians and quantiles are read from counts of fixed-width
 bins, so a hot group is never sorted or gathered.
 
@@ -15,6 +16,7 @@ pool is as small it rejects nothing; repeated rows give repeated rows; extra col
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -122,31 +124,91 @@ def _with(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return rows.join(estimates.withColumnRenamed("__group", "__g"), F.col("__group") == F.col("__g")).drop("__g")
 
 
-def estimates(rows: DataFrame, p: int, steps: int = STEPS) -> DataFrame:
-    """(__group, __centre, __factor): the concentrated estimate of each group of rows (__group, __z)."""
+def _moments(sums: DataFrame, p: int, keys: list[str]) -> DataFrame:
+    """(keys, __centre, c{i}_{j}) from counts n, sums s{i} and sums of products q{i}_{j}."""
+    covariance = [(F.col(f"q{i}_{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("n") * F.col("n"))).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)]
+    return sums.select(*keys, F.array(*[F.col(f"s{i}") / F.col("n") for i in range(p)]).alias("__centre"), *covariance)
+
+
+def _sums(vector: str, p: int, prefix: str = "") -> list[Column]:
+    v = F.col(vector)
+    return [F.count(F.lit(1)).alias(f"{prefix}n"), *[F.sum(v[i]).alias(f"{prefix}s{i}") for i in range(p)], *[F.sum(v[i] * v[j]).alias(f"{prefix}q{i}_{j}") for i in range(p) for j in range(i + 1)]]
+
+
+def _with_floors(df: DataFrame, p: int, scale: Column | None = None) -> DataFrame:
+    """The covariance times scale, and the least variances beside it: they grow with the scale and never shrink."""
+    k = F.lit(1.0) if scale is None else scale
+    return df.withColumns({f"c{i}_{i}": k * F.col(f"c{i}_{i}") + F.greatest(k, F.lit(1.0)) * FLOORS[i] ** 2 for i in range(p)} | {f"c{i}_{j}": k * F.col(f"c{i}_{j}") for i in range(p) for j in range(i)})
+
+
+def starts(rows: DataFrame, p: int) -> DataFrame:
+    """(__group, __start, __centre, __factor): three deterministic estimates of each group, all around the medians.
+
+    0: spreads by median deviation, no correlation. 1: correlation of the hyperbolic tangents of the
+    standardised vectors. 2: correlation of their spatial signs. Far rows weigh little in any of them.
+    """
     axes = rows.select("__group", F.posexplode("__z").alias("__axis", "__v"))
     middle = _quantile(axes, ["__group", "__axis"], F.col("__v"), 0.5, "__mid")
     away = axes.withColumnsRenamed({"__group": "__g", "__axis": "__a"}).join(middle, (F.col("__g") == F.col("__group")) & (F.col("__a") == F.col("__axis")))
     floors = F.array(*map(F.lit, FLOORS))
     spread = _quantile(away.select("__group", "__axis", F.col("__mid"), F.abs(F.col("__v") - F.col("__mid")).alias("__v")), ["__group", "__axis", "__mid"], F.col("__v"), 0.5, "__mad")
-    start = spread.groupBy("__group").agg(F.array_sort(F.collect_list(F.struct("__axis", "__mid", F.greatest(F.col("__mad") * 1.4826, floors[F.col("__axis")]).alias("__s")))).alias("__p"))
-    start = start.select("__group", F.transform("__p", lambda x: x["__mid"]).alias("__centre"), F.array(*[1 / F.col("__p")[i]["__s"] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]).alias("__factor"))
-    now = staged(start, "rules-start")
+    # One small row for each axis of a group.
+    placed = spread.groupBy("__group").agg(F.array_sort(F.collect_list(F.struct("__axis", "__mid", F.greatest(F.col("__mad") * 1.4826, floors[F.col("__axis")]).alias("__s")))).alias("__p"))
+    placed = staged(placed.select("__group", F.transform("__p", lambda x: x["__mid"]).alias("__centre"), F.transform("__p", lambda x: x["__s"]).alias("__spread")), "rules-start")
+
+    units = _with(rows, placed).withColumn("__u", F.array(*[(F.col("__z")[i] - F.col("__centre")[i]) / F.col("__spread")[i] for i in range(p)]))
+    length = F.sqrt(_total([F.pow(F.col("__u")[i], 2) for i in range(p)]))
+    exact = lambda v: F.round(v * 1024) / 1024  # noqa: E731  sums of such values are the same in any order
+    units = units.select("__group", F.transform("__u", lambda u: exact(F.tanh(u))).alias("__tanh"), F.transform("__u", lambda u: F.when(length > 0, exact(u / length)).otherwise(0.0)).alias("__sign"))
+    shapes = units.groupBy("__group").agg(*_sums("__tanh", p, "t"), *_sums("__sign", p, "u"))
+    both = staged(shapes.join(placed.withColumnRenamed("__group", "__g"), F.col("__group") == F.col("__g")).drop("__g"), "rules-shapes")
+
+    def of(start: int, correlation: Callable[[int, int], Column]) -> DataFrame:
+        spreads = lambda i, j: F.col("__spread")[i] * F.col("__spread")[j]
+        return both.select("__group", F.lit(start).alias("__start"), "__centre", *[(spreads(i, j) * (F.lit(1.0) if i == j else correlation(i, j))).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)])
+
+    def of_sums(prefix: str, centred: bool) -> Callable[[int, int], Column]:
+        n = F.col(f"{prefix}n")
+        shared = lambda i, j: F.col(f"{prefix}q{i}_{j}") / n - (F.col(f"{prefix}s{i}") * F.col(f"{prefix}s{j}") / (n * n) if centred else F.lit(0.0))
+        # A tenth is taken off each correlation, so that the matrix stays well away from singular.
+        return lambda i, j: F.coalesce(0.9 * shared(i, j) / F.nullif(F.sqrt(F.greatest(shared(i, i) * shared(j, j), F.lit(0.0))), F.lit(0.0)), F.lit(0.0))
+
+    every = of(0, lambda i, j: F.lit(0.0)).unionByName(of(1, of_sums("t", True))).unionByName(of(2, of_sums("u", False)))
+    return _inverse_factor(every, p).select("__group", "__start", "__centre", "__factor")
+
+
+def concentrated(rows: DataFrame, p: int, steps: int = STEPS) -> DataFrame:
+    """(__group, __start, __centre, __factor, c{i}_{j}, __logdet): each start after so many concentration steps.
+
+    c is the covariance of the nearest SHARE; __factor and __logdet are of c with the least variances.
+    """
+    keys = ["__group", "__start"]
+    now = staged(starts(rows, p), "rules-starts")
     for step in range(steps):
         near = _with(rows, now).withColumn("__d", F.log1p(_distance(p)))
-        cut = _quantile(near, ["__group"], F.col("__d"), SHARE, "__cut")
-        kept = _with(near.drop("__centre", "__factor"), cut).where("__d <= __cut")
-        sums = kept.groupBy("__group").agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(F.col("__z")[i]).alias(f"s{i}") for i in range(p)],
-            *[F.sum(F.col("__z")[i] * F.col("__z")[j]).alias(f"q{i}_{j}") for i in range(p) for j in range(i + 1)],
-        )
-        covariance = [((F.col(f"q{i}_{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("n") * F.col("n"))) + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)]
-        moments = sums.select("__group", F.array(*[F.col(f"s{i}") / F.col("n") for i in range(p)]).alias("__centre"), *covariance)
-        now = staged(_inverse_factor(moments, p).select("__group", "__centre", "__factor"), f"rules-step{step}")
-    reached = _quantile(_with(rows, now).withColumn("__d", F.log1p(_distance(p))), ["__group"], F.col("__d"), SHARE, "__at")
-    scaled = _with(now, reached).withColumn("__scale", F.sqrt(F.lit(CHI2_SHARE) / F.greatest(F.expm1("__at"), F.lit(CHI2_SHARE))))
-    return scaled.select("__group", "__centre", F.transform("__factor", lambda v: v * F.col("__scale")).alias("__factor"))
+        cut = _quantile(near, keys, F.col("__d"), SHARE, "__cut").withColumnsRenamed({"__group": "__g", "__start": "__s"})
+        kept = near.join(cut, (F.col("__group") == F.col("__g")) & (F.col("__start") == F.col("__s"))).where("__d <= __cut")
+        moments = _moments(kept.groupBy(*keys).agg(*_sums("__z", p)), p, keys)
+        raw = [f"c{i}_{j}" for i in range(p) for j in range(i + 1)]
+        firm = _inverse_factor(_with_floors(moments.withColumn("__raw", F.struct(*raw)), p), p)
+        logdet = _total([2 * F.log(f"l{i}_{i}") for i in range(p)])
+        now = staged(firm.select(*keys, "__centre", "__factor", *[F.col(f"__raw.{c}").alias(c) for c in raw], logdet.alias("__logdet")), f"rules-step{step}")
+    return now
+
+
+def estimates(rows: DataFrame, p: int, steps: int = STEPS) -> DataFrame:
+    """(__group, __start, __logdet, __centre, __factor) of each group of rows (__group, __z): of its concentrated starts the one of least determinant, made consistent.
+
+    The covariance is multiplied so that SHARE of the rows lie where the chi-squared distribution has
+    them, up or down; the least variances never shrink.
+    """
+    every = concentrated(rows, p, steps)
+    columns = [c for c in every.columns if c != "__group"]
+    least = every.groupBy("__group").agg(F.min_by(F.struct(*columns), F.struct(F.round("__logdet", 9), "__start")).alias("b")).select("__group", "b.*")
+    least = staged(least, "rules-least")
+    reached = _quantile(_with(rows, least).withColumn("__d", F.log1p(_distance(p))), ["__group"], F.col("__d"), SHARE, "__at")
+    scaled = _with_floors(_with(least, reached), p, F.expm1("__at") / CHI2_SHARE)
+    return _inverse_factor(scaled, p).select("__group", "__start", "__logdet", "__centre", "__factor")
 
 
 def apply_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source"), reject: float = REJECT) -> DataFrame:
@@ -161,7 +223,7 @@ def apply_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = named.join(groups.select(F.col("__name").alias("__own"), "__group"), F.col("__name") == F.col("__own"), "left").drop("__own")
     rows = placed.where("not base_failed").join(large, F.col("__group") == F.col("__large"), "left_semi").select("__group", "__z")
     p = len(FLOORS)
-    fitted = staged(estimates(rows, p), "rules-estimates")
+    fitted = staged(estimates(rows, p).select("__group", "__centre", "__factor"), "rules-estimates")
     judged = placed.join(fitted.withColumnRenamed("__group", "__g"), F.col("__group") == F.col("__g"), "left")
     distance = _distance(p)
     kept = ~F.col("base_failed") & F.coalesce(distance <= reject, F.lit(True))

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from provena.llm import mixing, nbsvm, rules
@@ -120,6 +121,40 @@ def test_estimate_is_close_to_a_brute_force_covariance(spark):
     assert (np.square((bad - np.array(row["__centre"])) @ factor.T).sum(1) > rules.REJECT).all()
 
 
+def brute_least_determinant(z, share, floors, tries=200):
+    """Least log determinant of the covariance, with the floors, of a share of the rows: concentration from random starts until nothing changes."""
+    rng, take, best = np.random.default_rng(5), int(np.ceil(share * len(z))), np.inf
+    for _ in range(tries):
+        rows = rng.choice(len(z), 8, replace=False)
+        for _ in range(50):
+            centre, cov = z[rows].mean(0), np.cov(z[rows].T, bias=True) + np.diag(np.square(floors))
+            off = z - centre
+            nearest = np.sort(np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off), kind="stable")[:take])
+            if len(nearest) == len(rows) and (nearest == rows).all():
+                break
+            rows = nearest
+        best = min(best, np.linalg.slogdet(np.cov(z[rows].T, bias=True) + np.diag(np.square(floors)))[1])
+    return best
+
+
+def test_least_determinant_against_random_starts(spark):
+    rng = np.random.default_rng(9)
+    turn = rng.normal(size=(5, 5))
+    clean = np.round(rng.multivariate_normal(np.zeros(5), turn @ turn.T + 0.5 * np.eye(5), 170) * 1024) / 1024
+    far = np.round((rng.normal(0, 0.3, (30, 5)) + 3 * np.array([1, -1, 1, -1, 1])) * 1024) / 1024
+    groups = {"mixed": np.vstack([clean, far]), "plain": clean, "constant": np.ones((70, 5))}
+    df = spark.createDataFrame([(g, [float(x) for x in row]) for g, z in groups.items() for row in z], "__group string, __z array<double>")
+    every = {(r["__group"], r["__start"]): r["__logdet"] for r in rules.concentrated(df, 5).collect()}
+    chosen = {r["__group"]: r for r in rules.estimates(df, 5).collect()}
+    for g, z in groups.items():
+        assert len([k for k in every if k[0] == g]) == 3
+        assert chosen[g]["__logdet"] == pytest.approx(min(v for k, v in every.items() if k[0] == g), abs=1e-6)
+        assert abs(chosen[g]["__logdet"] - brute_least_determinant(z, rules.SHARE, rules.FLOORS)) < 0.3
+    factor = np.array(chosen["plain"]["__factor"]).reshape(5, 5)
+    inside = np.square((clean - np.array(chosen["plain"]["__centre"])) @ factor.T).sum(1)
+    assert abs(np.quantile(inside, rules.SHARE) - rules.CHI2_SHARE) < 1.0  # consistent, neither too near nor too far
+
+
 def test_classifier_on_held_out_labels(spark):
     rows = QUERIES["op2_nbsvm_quality"](spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
