@@ -196,13 +196,12 @@ def concentrated(rows: DataFrame, p: int, steps: int = STEPS) -> DataFrame:
     return now
 
 
-def estimates(rows: DataFrame, p: int, steps: int = STEPS) -> DataFrame:
-    """(__group, __start, __logdet, __centre, __factor) of each group of rows (__group, __z): of its concentrated starts the one of least determinant, made consistent.
+def least_of(rows: DataFrame, every: DataFrame, p: int) -> DataFrame:
+    """(__group, __start, __logdet, __centre, __factor) of each group of rows (__group, __z): of its concentrated starts (every) the one of least determinant, made consistent.
 
     The covariance is multiplied so that SHARE of the rows lie where the chi-squared distribution has
     them, up or down; the least variances never shrink.
     """
-    every = concentrated(rows, p, steps)
     columns = [c for c in every.columns if c != "__group"]
     least = every.groupBy("__group").agg(F.min_by(F.struct(*columns), F.struct(F.round("__logdet", 9), "__start")).alias("b")).select("__group", "b.*")
     least = staged(least, "rules-least")
@@ -211,6 +210,11 @@ def estimates(rows: DataFrame, p: int, steps: int = STEPS) -> DataFrame:
     return _inverse_factor(scaled, p).select("__group", "__start", "__logdet", "__centre", "__factor")
 
 
+def estimates(rows: DataFrame, p: int, steps: int = STEPS) -> DataFrame:
+    """least_of() the concentrated starts of rows (__group, __z)."""
+    return least_of(rows, concentrated(rows, p, steps), p)
+
+
 def apply_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source"), reject: float = REJECT) -> DataFrame:
     """statistics() with distance (squared, null without an estimate) and kept: false if base_failed or distance > reject."""
     stats = staged(statistics(documents, id_col, text_col, by), "rules-statistics")

@@ -144,8 +144,9 @@ def test_least_determinant_against_random_starts(spark):
     far = np.round((rng.normal(0, 0.3, (30, 5)) + 3 * np.array([1, -1, 1, -1, 1])) * 1024) / 1024
     groups = {"mixed": np.vstack([clean, far]), "plain": clean, "constant": np.ones((70, 5))}
     df = spark.createDataFrame([(g, [float(x) for x in row]) for g, z in groups.items() for row in z], "__group string, __z array<double>")
-    every = {(r["__group"], r["__start"]): r["__logdet"] for r in rules.concentrated(df, 5).collect()}
-    chosen = {r["__group"]: r for r in rules.estimates(df, 5).collect()}
+    reached = rules.concentrated(df, 5)
+    every = {(r["__group"], r["__start"]): r["__logdet"] for r in reached.collect()}
+    chosen = {r["__group"]: r for r in rules.least_of(df, reached, 5).collect()}
     for g, z in groups.items():
         assert len([k for k in every if k[0] == g]) == 3
         assert chosen[g]["__logdet"] == pytest.approx(min(v for k, v in every.items() if k[0] == g), abs=1e-6)
