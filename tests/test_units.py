@@ -157,3 +157,18 @@ def test_paths_of_long_ids_and_quotes_of_an_empty_table(spark):
     docs = spark.createDataFrame([(1, "some text that is long enough")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert locate.locate(docs, none).count() == 0
+
+
+def test_bounds_refreshes_and_claimed_titles(spark):
+    from provena.operators import reading
+
+    said = ["over ", "moreover ", "at  most", "better than ", "≥", "~ ", "", None, "up to five "]
+    rows = spark.createDataFrame([(n, s) for n, s in enumerate(said)], "n int, s string")
+    got = {r.n for r in rows.where(reading.is_bound(F.col("s"))).collect()}
+    assert got == {0, 2, 3, 4, 5}
+    labels = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    fresh = spark.createDataFrame([(1, "c", 1), (1, "d", 2), (3, "e", 1)], "k int, v string, at int")
+    assert sorted((r.k, r.v, r.stale) for r in reading.refresh(labels, fresh, ["k"], "v", "at").collect()) == [(1, "d", False), (2, "b", True), (3, "e", False)]
+    titles = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, None)], "id int, title string")
+    attested = spark.createDataFrame([(1, "x"), (2, "y"), (9, "y")], "id int, title string")
+    assert {r.id for r in reading.unclaimed(titles, attested).collect()} == {1, 3, 4}
