@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, linededup, media, mixing, nbsvm, neardup, pii, repeats, rules
+from . import bpe, licenses, linededup, media, mixing, nbsvm, neardup, pii, repeats, rules, simhash, trie, whitening
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +85,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The rebuilt beginnings written out as lists of turns, and every pair of a node and a node below it; a checksum of decimal digits by its polynomial.
+ORACLE["op11_prefix_trie"] = r"""WITH RECURSIVE own AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, c - c % 20 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, i: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) % 4 AS h FROM own),
+turns AS (SELECT i.c, o.r, o.t, o.p FROM ids i JOIN own o ON o.c = i.b AND o.p <= i.h UNION ALL SELECT i.c, o.r, o.t, o.p FROM ids i JOIN own o ON o.c = i.c AND o.p > i.h),
+lists AS (SELECT i.c, coalesce(list({'r': t.r, 't': t.t} ORDER BY t.p) FILTER (WHERE t.p IS NOT NULL), []) AS l FROM ids i LEFT JOIN turns t ON t.c = i.c GROUP BY i.c),
+rows AS (SELECT c, len(l) AS n, d, l[1:d] AS k FROM lists, unnest(range(len(l) + 1)) AS u(d)),
+nodes AS (SELECT k, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256, count(*) FILTER (WHERE n > d) AS longer FROM rows GROUP BY k),
+worth AS (SELECT *, CASE WHEN depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(k[depth].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM nodes),
+below AS (SELECT DISTINCT a.k AS top, b.k AS k FROM rows a JOIN rows b ON b.c = a.c AND b.d >= a.d),
+sums AS (SELECT b.top AS k, count(*) FILTER (WHERE w.longer = 0) AS n_leaves, sum(w.saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE len(b.k) = len(b.top) + 1) AS n_children FROM below b JOIN worth w ON w.k = b.k GROUP BY 1)
+SELECT w.conv_id, w.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs, s.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256 FROM worth w JOIN sums s ON s.k = w.k LEFT JOIN nodes p ON w.depth > 0 AND p.k = w.k[1:w.depth - 1]"""
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("preorder", "preorder_end")
+
+
+@query
+def op12_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
