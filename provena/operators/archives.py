@@ -73,8 +73,8 @@ def _first_places(known: DataFrame) -> DataFrame:
 
 def load(files: DataFrame) -> DataFrame:
     """(paper, source, prose_chars, reason): every paper with its source; reason says why it can't be read, null if it can."""
-    mains = main_files(files)
-    whole = with_inputs(files, mains)
+    mains = staged(main_files(files), "archive-mains")
+    whole = staged(with_inputs(files, mains), "archive-whole")
     wraps = files.join(mains, ["paper", "path"], "left_semi").select("paper", F.coalesce("text", F.lit("")).contains("\\includepdf").alias("wraps"))
     prose = document(whole).select("paper", F.length(plain_prose(F.col("source"))).alias("prose_chars"))
     every = files.select("paper").distinct()

@@ -49,9 +49,10 @@ def test_environments_nest_by_name(spark):
     assert latex.without_environments(papers(spark, "x" + text, None), ("a", "b")).orderBy("paper").first().source == "x\n\n\\end{a}\\begin{a}open"
 
 
-def test_archives_without_a_main_file_and_with_files_that_name_each_other(spark):
+def test_archives_without_a_main_file_and_with_files_that_name_each_other(spark, monkeypatch):
+    monkeypatch.setattr(archives, "DEEPEST", 4)
     rows = [("p", "a.tex", r"\begin{document}\documentclass 1\input{b}2\input{c}3"), ("p", "b.tex", r"[\input{c}]"), ("p", "c.tex", r"(\input{b}\input{a})"), ("q", "long.tex", "x" * 30), ("q", "short.tex", r"\input{long}"), ("r", "readme.md", "none"), ("s", "w.tex", r"\documentclass\begin{document}\includepdf{x}")]
-    rows += [("deep", f"f{n}.tex", (r"\documentclass\begin{document}" if not n else "") + rf"{n} \input{{f{n + 1}}}") for n in range(20)]
+    rows += [("deep", f"f{n}.tex", (r"\documentclass\begin{document}" if not n else "") + rf"{n} \input{{f{n + 1}}}") for n in range(7)]
     files = spark.createDataFrame(rows, "paper string, path string, text string")
     mains = archives.main_files(files)
     assert {(r.paper, r.path) for r in mains.collect()} == {("p", "a.tex"), ("q", "long.tex"), ("s", "w.tex"), ("deep", "f0.tex")}
