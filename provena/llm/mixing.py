@@ -11,8 +11,10 @@ Only one small row for each source leaves the aggregation, so documents are neit
 grouped by source. All draws come from hashes of a seed: reruns agree.
 
 Defined results: a null text has size 0; null is a source of its own, ordered last; a source
-without words has target 0 and nothing of it is taken; documents with the same id and source share
-their draws, and so repeated rows are taken alike; an empty table gives an empty table.
+without words has target 0 and nothing of it is taken; each row is drawn on its own, by its id, text
+and source and a number inside equal rows, so rows without an id, or that share one, are taken like
+others; an empty table gives an empty table; a column named like one that is added here (__key,
+__copy, __source, __block, __order, __place, __plan, __times, __shards) is an error.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rowkey import row_key
+from .order import in_order, running
 from .staging import staged
 
 #: Blocks of a source, levels of the splitting tree (2 ** LEVELS shards), and how often a document may be taken.
@@ -32,15 +34,33 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _draws(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """df with the document's block, the block's place in its source's permutation, and the document's place in its block."""
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with __copy, a number from 1 on inside rows with the same __key, 0 where there is one row only.
+
+    Rows that share a key are interchangeable, so which of them has which number is of no account.
+    """
+    repeated = staged(df.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"), "mixing-repeated")
+    if repeated.isEmpty():
+        return df.withColumn("__copy", F.lit(0).cast("long"))
+    alone = df.join(repeated, "__key", "left_anti").withColumn("__copy", F.lit(0).cast("long"))
+    shared = running(in_order(df.join(repeated, "__key", "left_semi"), F.col("__key")), ["__key"], __copy=F.lit(1).cast("long"))
+    return alone.unionByName(shared.select(*alone.columns))
+
+
+def _draws(df: DataFrame, seed: int) -> DataFrame:
+    """df, which has __key and __source, with the document's block, the block's place in its source's permutation, and the document's place in its block."""
     return (
-        df.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(BLOCKS)).cast("int"))
+        _numbered(df)
+        .withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), "__key", "__copy"), F.lit(BLOCKS)).cast("int"))
         .withColumn("__order", F.xxhash64(F.lit(seed + 1), F.col("__source"), F.col("__block")))
-        .withColumn("__place", F.xxhash64(F.lit(seed + 2), F.col(id_col)))
+        .withColumn("__place", F.xxhash64(F.lit(seed + 2), "__key", "__copy"))
     )
 
 
+def _key(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("__key")
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """(__source, source_size) with weight and target: shares of all words by weight, none above MOST times its source's size.
 
@@ -73,8 +93,8 @@ def plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     A source's row: source_size, target, copies of every block, last_order and last_place (the last
     block taken once more, and the last document of it), and the shards of its tickets by block and copy.
     """
-    narrow = documents.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"))
-    sizes = staged(_draws(narrow, "__id", seed), "mixing-sizes")
+    narrow = staged(documents.select(F.col(id_col).alias("__id"), _key(id_col, text_col, source_col), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size")), "mixing-narrow")
+    sizes = staged(_draws(narrow, seed), "mixing-sizes")
     blocks = staged(sizes.groupBy("__source", "__block", "__order").agg(F.sum("size").alias("block_size")), "mixing-blocks")
     aims = targets(blocks.groupBy("__source").agg(F.sum("block_size").alias("source_size")))
     aims = aims.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
@@ -87,7 +107,7 @@ def plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     last = reached.where("before < rest and before + block_size >= rest")
     last = last.groupBy("__source").agg(F.max("__order").alias("last_order"), F.max("__block").alias("last_block"), F.max(F.col("rest") - F.col("before")).alias("words"))
     inside = sizes.join(last.withColumnRenamed("__source", "__aim"), F.col("__source").eqNullSafe(F.col("__aim")) & (F.col("__block") == F.col("last_block")))
-    by_place = Window.partitionBy("__source", "__block").orderBy("__place", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    by_place = Window.partitionBy("__source", "__block").orderBy("__place", "__key", "__copy").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("before", F.coalesce(F.sum("size").over(by_place), F.lit(0))).where(F.col("before") + F.col("size") / 2 <= F.col("words"))
     ends = inside.groupBy("__source").agg(F.max("__place").alias("last_place"))
 
@@ -139,6 +159,7 @@ def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix itself: each document as often as it is taken, with its columns and __shard. Rows are brought together by shard, shards one after another over the partitions, and within a shard in an order drawn by hash."""
     _, decisions = plan(documents, id_col, text_col, source_col, seed)
     columns = documents.columns
-    rows = _taken(_draws(documents.withColumn("__source", F.col(source_col)), id_col, seed), decisions)
-    dealt = rows.select(*columns, F.posexplode("__shards").alias("__time", "__shard")).withColumn("__drawn", F.xxhash64(F.lit(seed + 4), row_key(id_col, text_col), "__time"))
-    return dealt.repartitionByRange("__shard", "__drawn").sortWithinPartitions("__shard", "__drawn").drop("__time", "__drawn")
+    keyed = documents.select("*", _key(id_col, text_col, source_col), F.col(source_col).alias("__source"))
+    rows = _taken(_draws(keyed, seed), decisions)
+    dealt = rows.select(*columns, F.posexplode("__shards").alias("__time", "__shard"), F.xxhash64(F.lit(seed + 4), "__key", "__copy").alias("__row")).withColumn("__drawn", F.xxhash64("__row", "__time"))
+    return dealt.repartitionByRange("__shard", "__drawn").sortWithinPartitions("__shard", "__drawn").drop("__time", "__row", "__drawn")

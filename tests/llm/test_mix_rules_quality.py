@@ -70,6 +70,19 @@ def test_mix_of_skewed_and_awkward_rows(spark):
     assert mixing.mixed(clash).columns == [*clash.columns, "__shard"]
 
 
+def test_rows_without_id_and_equal_rows_are_drawn_one_by_one(spark):
+    rows = [(None, "w w w w w", "en", "none", 1, 1, "x", 1)] * 1000 + [(5, f"one id {n}", "en", "shared", 1, n, "x", 1) for n in range(500)] + [(n, "a b c", "en", "own", 1, n, "x", 1) for n in range(800)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    plan = mixing.mix(docs).collect()
+    check_mix(docs.collect(), plan)
+    assert sorted(map(str, plan)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
+    out = collections.Counter(r.source for r in mixing.mixed(docs).collect())
+    times = collections.Counter()
+    for r in plan:
+        times[r.source] += r.times
+    assert out == times
+
+
 def test_mixed_rows_follow_the_plan(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = {r.doc_id: r.times for r in mixing.mix(docs).collect()}
