@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cell_number
 
-#: Kinds of sections, and the beginnings of the words that name them in a title; the word that stands first decides.
+#: Kinds of sections, the most specific first, and the beginnings of the words that name them; the first kind that a title names is its own.
 KINDS = {
-    "introduction": "introduc motivat overview", "related": "related previous prior background literature", "method": "method model approach architect algorithm framework",
-    "experiments": "experiment evaluat setup training data implement", "results": "result ablation analys finding", "discussion": "discuss", "limitations": "limitation broader ethic",
-    "conclusion": "conclu summar future", "appendix": "appendi supplement",
+    "related": "related previous prior background literature", "limitations": "limitation broader ethic societal", "conclusion": "conclu summar future", "discussion": "discuss",
+    "introduction": "introduc motivat overview", "experiments": "experiment evaluat setup training data implement", "results": "result ablation analys comparison finding",
+    "method": "method model approach architect algorithm framework", "appendix": "appendi supplement",
 }
+#: Kinds that frame a paper, and kinds that come after its method.
+FRAMING, AFTERWARDS = ("abstract", "introduction", "related"), ("experiments", "results", "discussion", "limitations", "conclusion", "appendix")
 CITE = r"\\(?:cite|citep|citet|citealp|citealt|citeauthor|citeyear)\*?(?:\[[^\]]*\])*\{([^}]*)\}"
 
 
@@ -27,10 +29,19 @@ def body(source: Column) -> Column:
 
 
 def kind_of(title: Column) -> Column:
-    """The kind whose word stands first in the title; other where there is none."""
-    stems = {stem: kind for kind, words in KINDS.items() for stem in words.split()}
-    first = F.regexp_extract(F.lower(title), rf"\b({'|'.join(stems)})", 1)
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in stems.items() for x in pair]), first), F.lit("other"))
+    """The most specific kind that a word of the title names; other where there is none."""
+    named = [F.when(F.lower(title).rlike(rf"\b(?:{words.replace(' ', '|')})"), kind) for kind, words in KINDS.items()]
+    return F.coalesce(*named, F.lit("other"))
+
+
+def infer_method(typed: DataFrame) -> DataFrame:
+    """Sections (paper, section, kind, ..) where those of no kind after the last framing one and before the first that follows a method are the method, if there is a framing one."""
+    whole = Window.partitionBy("paper")
+    ends = typed.withColumn("__end", F.min(F.when(F.col("kind").isin(*AFTERWARDS), F.col("section"))).over(whole))
+    before = F.col("__end").isNull() | (F.col("section") < F.col("__end"))
+    framed = ends.withColumn("__start", F.max(F.when(F.col("kind").isin(*FRAMING) & before, F.col("section"))).over(whole))
+    own = (F.col("kind") == "other") & before & (F.col("section") > F.col("__start"))
+    return framed.withColumn("kind", F.when(F.coalesce(own, F.lit(False)), "method").otherwise(F.col("kind"))).select(*typed.columns)
 
 
 def sections(papers: DataFrame) -> DataFrame:

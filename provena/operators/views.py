@@ -27,10 +27,11 @@ def read_id(said: Column, keep_version: bool = False) -> Column:
 
 
 def clean_title(title: Column, passes: int = 4) -> Column:
-    """The title without what reference lists put after it: years, preprint marks and identifiers, taken off one by one."""
+    """The title without what reference lists put after it: years, preprint marks, bare identifiers and the like, taken off one by one where punctuation parts them from it."""
+    tail = rf"(?:19|20)\d\d[a-z]?|{NEW_ID}{VERSION}|arxiv(?:\s+preprint)?(?:[:\s]\s*(?:arxiv:\s*)?{NEW_ID}{VERSION})?|preprint|in\s+press"
     for _ in range(passes):
-        title = F.regexp_replace(title, r"(?i)[\s,.;:(\[]+(?:(?:19|20)\d\d[a-z]?|arxiv(?: preprint)?(?:[: ]\s*\d{4}\.\d{4,5}(?:v\d+)?)?|preprint)[\s.)\]]*$", "")
-    return F.trim(title)
+        title = F.regexp_replace(title, rf"(?i)\s*[,.;:(\[]\s*(?:{tail})[\s.,;)\]]*$", "")
+    return F.regexp_replace(title, r"^[\s,.;]+|[\s,.;]+$", "")
 
 
 def mapped(stance: Column, labels: dict[str, str]) -> Column:
@@ -121,13 +122,15 @@ def sane(rects: DataFrame) -> DataFrame:
 
 
 def run_checks(paper: DataFrame, checks: dict[str, Callable[[DataFrame], DataFrame]], only: list[str] | None = None) -> DataFrame:
-    """Findings (severity, detail columns) of the named checks, each with its check_id and the rank of its severity."""
+    """Findings (severity, detail columns) of the named checks, each with its check_id and the rank of its severity; of no check, no rows without details."""
     found = None
     for name in sorted(checks if only is None else set(only) & set(checks)):
         one = checks[name](paper).withColumn("check_id", F.lit(name))
         found = one if found is None else found.unionByName(one)
+    if found is None:
+        return paper.sparkSession.createDataFrame([], "severity string, check_id string, rank long")
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0))
-    return found.withColumn("rank", F.when(rank == 0, F.lit(len(SEVERITIES) + 1)).otherwise(rank).cast("long")).orderBy("rank", "check_id")
+    return found.withColumn("rank", F.when(rank == 0, F.lit(len(SEVERITIES) + 1)).otherwise(rank).cast("long"))
 
 
 #: Kinds of sections that state a paper's claims, and the order in which support is shown.

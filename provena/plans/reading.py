@@ -48,10 +48,16 @@ def join_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.refresh(labels, fresh, ["key"], "value", "l_linenumber")
 
 
+@query("SELECT count(*) AS labels, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')) AS stale FROM orders")
+def join_refresh_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.refreshed(join_refresh(spark, sf_dir))
+
+
 @query("WITH t AS (SELECT p_partkey AS id, p_name || ' ' || p_partkey % 100 AS title, p_size FROM part) SELECT id, title FROM t WHERE NOT EXISTS (SELECT 1 FROM t q WHERE q.p_size > 25 AND q.title = t.title AND q.id <> t.id)")
 def join_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 100).cast("string")).alias("title"), "p_size")
-    return reading.unclaimed(titles.drop("p_size"), titles.where("p_size > 25"))
+    attested = titles.where("p_size > 25").withColumn("title", F.concat(F.upper("title"), F.lit(".")))
+    return reading.unclaimed(titles.drop("p_size"), attested)
 
 
 @query("SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT) + l_linenumber)::BIGINT AS items FROM lineitem GROUP BY 1 HAVING sum(CAST(l_quantity AS BIGINT) + l_linenumber) < 40")

@@ -29,10 +29,10 @@ def hlp_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _said(spark, sf_dir).select("p_partkey", views.without_version(F.col("said")).alias("id"))
 
 
-@query("SELECT p_partkey, p_name AS title FROM part")
+@query("SELECT p_partkey, p_name || CASE p_size % 9 WHEN 4 THEN ' 2001' ELSE '' END AS title FROM part")
 def fn_cleantitle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = [F.lit(", 2019."), F.lit(". arXiv preprint arXiv:1901.01234v2, 2019"), F.lit(" (preprint)"), F.lit("")]
-    said = F.concat("p_name", F.get(F.array(*ends), F.col("p_size") % 4))
+    ends = [", 2019.", ". arXiv preprint arXiv:1901.01234v2, 2019", " (preprint)", "", " 2001", ", 2017, 1706.03741", ", in press", "; 1999a. ,", " [arXiv:1706.03741]"]
+    said = F.concat("p_name", F.get(F.array(*map(F.lit, ends)), F.col("p_size") % 9))
     return table(spark, sf_dir, "part").select("p_partkey", views.clean_title(said).alias("title"))
 
 
