@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,30 +23,37 @@ def condense(rects: DataFrame) -> DataFrame:
     a line, gaps of up to 0.6 of its height, and 1.5 at least, are closed. Rectangles without area and
     those with nulls are left out. One mark's rectangles are handled together, in order.
     """
-    sane = rects.where("x1 > x0 AND y1 > y0").select("mark", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    sane = rects.where("x1 > x0 AND y1 > y0").select("mark", F.struct(*[F.col(c).cast("double").alias(c) for c in ("y0", "x0", "x1", "y1")]).alias("r"))
+    packed = sane.groupBy("mark").agg(F.array_sort(F.collect_list("r")).alias("rects"))
 
-    def runs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def runs(rects: list[dict]) -> list[dict]:
         lines: list[dict] = []
-        for x0, y0, x1, y1 in group.sort_values(["y0", "x0", "x1", "y1"])[["x0", "y0", "x1", "y1"]].itertuples(index=False):
+        for r in rects:
             line = lines[-1] if lines else None
-            if line and min(line["bottom"], y1) - max(line["top"], y0) > 0.5 * min(line["height"], y1 - y0):
-                line["bottom"], line["height"] = max(line["bottom"], y1), max(line["height"], y1 - y0)
+            if line and min(line["bottom"], r["y1"]) - max(line["top"], r["y0"]) > 0.5 * min(line["height"], r["y1"] - r["y0"]):
+                line["bottom"], line["height"] = max(line["bottom"], r["y1"]), max(line["height"], r["y1"] - r["y0"])
             else:
-                line = {"top": y0, "bottom": y1, "height": y1 - y0, "rects": []}
+                line = {"top": r["y0"], "bottom": r["y1"], "height": r["y1"] - r["y0"], "rects": []}
                 lines.append(line)
-            line["rects"].append([x0, y0, x1, y1])
-        out: list[list] = []
+            line["rects"].append(r)
+        out: list[dict] = []
         for line in lines:
             run = None
-            for r in sorted(line["rects"]):
-                if run and r[0] - run[2] <= max(1.5, 0.6 * line["height"]):
-                    run[1:] = [min(run[1], r[1]), max(run[2], r[2]), max(run[3], r[3])]
+            for r in sorted(line["rects"], key=lambda r: r["x0"]):
+                if run and r["x0"] - run["x1"] <= max(1.5, 0.6 * line["height"]):
+                    run |= {"y0": min(run["y0"], r["y0"]), "x1": max(run["x1"], r["x1"]), "y1": max(run["y1"], r["y1"])}
                 else:
-                    run = list(r)
+                    run = dict(r)
                     out.append(run)
-        return pd.DataFrame([(*key, n, *r) for n, r in enumerate(out[:MOST_RECTS])], columns=["mark", "n", "x0", "y0", "x1", "y1"])
+        return out[:MOST_RECTS]
 
-    return sane.groupBy("mark").applyInPandas(runs, f"mark {rects.schema['mark'].dataType.simpleString()}, n int, x0 double, y0 double, x1 double, y1 double")
+    def condensed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(c, pa.float64()) for c in ("y0", "x0", "x1", "y1")]))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array([runs(r) for r in batch.column("rects").to_pylist()], kind)], names=["mark", "runs"])
+
+    joined = packed.mapInArrow(condensed, f"mark {rects.schema['mark'].dataType.simpleString()}, runs array<struct<y0: double, x0: double, x1: double, y1: double>>")
+    return joined.select("mark", F.posexplode("runs").alias("n", "r")).select("mark", "n", "r.x0", "r.y0", "r.x1", "r.y1")
 
 
 def lanes(placed: DataFrame, gap: float) -> DataFrame:
