@@ -22,6 +22,19 @@ def win_infermethod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.infer_method(typed)
 
 
+@query("""WITH p AS (SELECT l_orderkey AS paper, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, ['As shown by Smith et al.', 'We use the following:', 'It ends here.', 'See Fig.', 'By J.'][1 + l_partkey % 5] AS piece FROM lineitem),
+f AS (SELECT *, lag(piece) OVER w AS b, lag(i // 3) OVER w = i // 3 AS same FROM p WINDOW w AS (PARTITION BY paper ORDER BY i)),
+n AS (SELECT *, sum(CASE WHEN coalesce(CASE WHEN same THEN b LIKE '%al.' OR b LIKE '%Fig.' OR b LIKE '%J.' ELSE b LIKE '%:' END, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY paper ORDER BY i) AS n FROM f)
+SELECT paper, n::BIGINT AS n, string_agg(piece, ' ' ORDER BY i) AS sentence FROM n GROUP BY 1, 2""")
+def win_rowsmerge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    said = F.array(*map(F.lit, ["As shown by Smith et al.", "We use the following:", "It ends here.", "See Fig.", "By J."]))
+    pieces = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), i.alias("i"), F.element_at(said, (F.col("l_partkey") % 5 + 1).cast("int")).alias("piece"))
+    return markup.merge_sentences(pieces.select("paper", F.floor(F.col("i") / 3).alias("block"), (F.col("i") % 3).alias("n"), "piece"))
+
+
 TITLES = {"Related Work and Results": "related", "Approach and limitations": "limitations", "Summary of our method": "conclusion", "Model evaluation": "experiments", "Model comparison": "results", "A unified framework": "method", "Introduction": "introduction", "Deep Learning": "other"}
 
 
