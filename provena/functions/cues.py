@@ -18,16 +18,16 @@ extend~ the method; extend~ the result; inspired by; motivated by; improve~ on;
 TAKEN_OVER = """following; as in; as done in; as done by; as described in; as described by; as proposed in; as proposed by; as introduced in; as introduced by;
 we use~; we adopt~; we follow~; we employ~; we apply; we applied; we reuse~; we take; we took; we borrow~; we keep; we retain~; we look at; we evaluate on; we train on; we test on; we report on;
 identical to; the same as; taken from; borrowed from; based on; built on top of; built upon top of; implementation of; implemented in; implemented by; implemented using;
-standard practice; standard setup; standard recipe; standard approach; standard method; standard algorithm; standard technique; standard procedure; standard architecture; standard benchmark;
+standard practice; standard setup; standard recipe; standard approach; standard method; standard algorithm; standard implementation; standard technique; standard procedure; standard architecture; standard benchmark;
 using; employing; adopting; applying; reimplement~; re-implement~"""
 MEASURED = """compare to; compare with; compare against; compared to; compared with; compared against; we compare~; in comparison to; in comparison with; outperform~; outscore~;
-baseline~; versus; better than; worse than; on par with; competitive with"""
+baseline~; versus; vs; better than; worse than; on par with; competitive with"""
 #: What a citation that is the subject may fall short in, after a negation, and phrases that say so alone.
 SHORT_OF = "account; generalis~; generaliz~; handle; address; consider; scale; apply; hold; extend; capture; support; work"
-LACKING = """cannot be applied; cannot be extended; cannot be used; fail~ to; neglect~; overlook~; ignore~; omit~; is limited; is restricted; is incorrect; is wrong; is unable;
+LACKING = """cannot; can not be applied; can not be extended; can not be used; fail~ to; neglect~; overlook~; ignore~; omit~; is limited; is restricted; is incorrect; is wrong; is unable;
 are limited; are restricted; are incorrect; are wrong; are unable; suffer~ from; struggle~ to; struggle~ with; break~ down"""
 #: What of a cited work is taken over when it stands in the genitive.
-OWNED = "approach; method; architecture; setup; recipe; code; implementation; hyperparameter~; hyper-parameter~; protocol"
+OWNED = "approach; method; architecture; setup; recipe; code; implementation; hyperparameter~; hyper-parameter~"
 NEGATOR = r"(?:\bnot|\bno|\bnever|n't|\bwithout|\bcannot)\s+(?:\w+\s+)?$"
 
 
@@ -43,9 +43,12 @@ AFTER = (
     ("extends", rf"which\s+(?:{phrases('we extend~; we generalis~; we generaliz~; we adapt~')})"),
     ("inherits", rf"['’]s\s+(?:{phrases(OWNED)})"),
 )
-#: Where a new statement begins: at a stop, or at a comma before a conjunction, a relative or a subject.
-JOINERS, SUBJECTS = "and but while whereas although though yet so because since which who where when whose".split(), "we it they this these our he she".split()
-CLAUSE_BREAK = rf"[;—]\s*|--|\.\s+|,\s+(?:(?:{'|'.join(JOINERS)})\s+|(?=(?:{'|'.join(SUBJECTS)})\s))"
+#: Words that open a statement of their own after a comma: conjunctions that join clauses, relatives, and pronouns and possessives that can be its subject. Only a subject stays part of the new clause.
+CONJUNCTIONS = "although and because but if once since so that though unless until when whenever where whereas while yet".split()
+RELATIVES = "that which who whom whose".split()
+SUBJECTS = "he her his i it its my our she their these they this those we you your".split()
+STOPS = (";", "—", "--", r"[.!?]\s")
+CLAUSE_BREAK = rf"(?i)(?:{'|'.join(STOPS)})\s*|,\s+(?:{'|'.join(sorted({*CONJUNCTIONS, *RELATIVES}))})\s+|,\s+(?=(?:{'|'.join(SUBJECTS)})\s)"
 FIRST_PERSON = r"\b(?:we|our|us|this (?:paper|work|study|article)|here)\b"
 #: Kinds of assumptions in the order in which they are tried.
 ASSUMPTIONS = (
