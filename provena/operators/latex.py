@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_decimal
+from ..sources.shared import staged
 from .markup import body, without_comments
 
 TOKEN = r"(?s)\\[A-Za-z@]+\*?|\\.|[{}\[\]]|[^\\{}\[\]]+|\\"
@@ -52,7 +53,7 @@ def definitions(papers: DataFrame) -> DataFrame:
     A definition is its command, a name (in braces or bare), parameters in square brackets (or, of
     def, as #1#2) and a group; one of an environment has a second group.
     """
-    words = tokens(papers)
+    words = staged(tokens(papers), "latex-tokens")
     ended = groups(words).select("paper", "n", "end")
     # What follows what inside one group, up to the brace that ends it: blanks and what inner groups hold are left out.
     outside = F.when(F.col("token") == "{", F.col("level") - 1).otherwise(F.col("level"))
