@@ -29,7 +29,7 @@ def extract(papers: DataFrame, labels: DataFrame) -> DataFrame:
     characters in the sentence; an assumption is cited, shown by something it refers to, or bare.
     """
     clean = papers.withColumn("source", latex.without_comments(F.col("source")))
-    prose = latex.without_environments(latex.expand_macros(clean, latex.user_macros(clean)), OPAQUE)
+    prose = latex.without_environments(latex.expand_own_macros(clean), OPAQUE)
     each = markup.sections(prose).select("paper", "section", "title", F.col("kind").alias("section_kind"), F.posexplode(markup.sentences(F.col("text"))).alias("n", "raw"))
     read = each.withColumn("sentence", markup.plain_prose(F.regexp_replace("raw", REFERENCE, " "))).withColumn("found", read_assumption(F.col("sentence"))).where("found IS NOT NULL")
     first = F.row_number().over(Window.partitionBy("paper", "sentence").orderBy("section", "n"))

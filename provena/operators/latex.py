@@ -1,17 +1,22 @@
 """Structure of LaTeX sources that no regular pattern can see: balanced groups, macro definitions, environments, equations. Papers are rows (paper, source).
 
-Every source is read as rows of tokens with their offsets. A running sum of the braces gives each
-token its level, and the group that opens at a level ends at the next brace that closes it. Offsets
-count characters from 0; ends are exclusive. A brace or an environment that is never closed opens nothing.
+A running sum of the braces gives each token its level, and the group that opens at a level ends at
+the next brace that closes it. Offsets count characters from 0; ends are exclusive. A brace or an
+environment that is never closed opens nothing. Definitions and environments are found in the row of
+their source by one pass of a small helper, as rows of tokens are many times the source when they are shuffled.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_decimal
-from ..sources.shared import staged
 from .markup import body, without_comments
 
 TOKEN = r"(?s)\\[A-Za-z@]+\*?|\\.|[{}\[\]]|[^\\{}\[\]]+|\\"
@@ -23,6 +28,13 @@ DEFINING = (*MACROS, "DeclareMathOperator", "def", "newtheorem", "declaretheorem
 MATH = ("equation", "equation*", "align", "align*", "gather", "gather*", "multline", "multline*", "eqnarray", "eqnarray*", "displaymath", "math")
 #: How often macros are replaced in what replacing them gave; a macro that names itself ends there.
 PASSES = 4
+#: The fields of a definition.
+DEFINITION = {"n": pa.int32(), "command": pa.string(), "name": pa.string(), "arity": pa.int32(), "body": pa.string(), "start": pa.int32(), "end": pa.int32()}
+# What the helpers look for; blanks are those of Java's patterns.
+_BLANK = " \t\n\x0b\f\r"
+_TOKENS, _COMMAND, _NAME = re.compile(TOKEN), re.compile(r"\\([A-Za-z]+)"), re.compile(r"\{?\s*\\?([A-Za-z@*]+)", re.A)
+_ARITY, _ENVIRONMENT = re.compile(r"\[\s*(\d)\s*\]", re.A), re.compile(ENVIRONMENT, re.A)
+_DEFINING = re.compile(rf"\\(?:{'|'.join(DEFINING)})(?![A-Za-z])")
 
 
 def tokens(papers: DataFrame) -> DataFrame:
@@ -47,53 +59,115 @@ def groups(words: DataFrame) -> DataFrame:
     return _paired(braces, ["paper", "level"], F.col("token") == "{", "n", "start").select("paper", "level", "n", "start", (F.col("closed_start") + 1).alias("end"))
 
 
+def find_definitions(source: str) -> list[tuple]:
+    """The definitions of one source, each a tuple of the fields of DEFINITION, in one pass over its tokens."""
+    words, starts, ends, beside = _TOKENS.findall(source), [], {}, {}
+    level, offset, opened = 0, 0, {}
+    for n, word in enumerate(words):
+        starts.append(offset)
+        offset += len(word)
+        # What follows what inside one group, up to the brace that ends it: blanks and what inner groups hold are left out.
+        if word.strip(_BLANK):
+            beside.setdefault(level, []).append(n)
+        if word == "{":
+            level += 1
+            opened[level] = n
+        elif word == "}":
+            if level in opened:
+                ends[opened.pop(level)] = offset
+            level -= 1
+    found = []
+    for row in beside.values():
+        closing, after = None, [None] * len(row)  # after: the place behind the next closing bracket of the group, from each place on
+        for k in reversed(range(len(row))):
+            if words[row[k]] in ("]", "}"):
+                closing = k + 1 if words[row[k]] == "]" and k + 1 < len(row) else None
+            after[k] = closing
+        for k in range(len(row) - 2):
+            command = _COMMAND.match(words[row[k]])
+            if not command or command[1] not in DEFINING:
+                continue
+            named, second = row[k + 1], words[row[k + 2]]
+            if second == "[":
+                at = after[k + 2]
+                at = after[at] if at is not None and words[row[at]] == "[" else at
+            else:
+                at = k + 3 if command[1] == "def" and second.startswith("#") else k + 2
+            if at is None or at >= len(row) or row[at] not in ends or not (named in ends or words[named].startswith("\\")):
+                continue
+            end = ends[row[at]]
+            begin, last = starts[row[at]] + 1, ends.get(row[at + 1]) if command[1].endswith("environment") and at + 1 < len(row) else None
+            name = _NAME.search(source[starts[named] : ends[named]] if words[named] == "{" else words[named])
+            if second == "[":
+                count = _ARITY.match(source[starts[row[k + 2]] :][:8])
+                arity = int(count[1]) if count else 0
+            else:
+                arity = second.count("#") if command[1] == "def" else 0
+            found.append((row[k], command[1], name[1] if name else "", arity, source[begin : end - 1], starts[row[k]], last or end))
+    return sorted(found)
+
+
+def _cut(source: str, spans: list[tuple[int, int]], filler: str) -> str:
+    """source with filler in place of spans (start, end); spans that overlap are one."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [source[at:start], filler]
+        at = max(at, end)
+    return "".join(out) + source[at:]
+
+
+def _part(sources: pa.Array) -> pa.Array:
+    read = sources.to_pylist()
+    found = [find_definitions(source) if source and _DEFINING.search(source) else [] for source in read]
+    columns = list(zip(*[d for each in found for d in each], strict=True)) or [[]] * len(DEFINITION)
+    fields = [pa.array(column, kind) for column, kind in zip(columns, DEFINITION.values(), strict=True)]
+    ends = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
+    rest = pa.array([source and _cut(source, [d[-2:] for d in each], "") for source, each in zip(read, found, strict=True)], pa.string())
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, list(DEFINITION))), rest], ["definitions", "rest"])
+
+
+def _parted(source: str) -> Column:
+    """The definitions of a source and what is left without them; as if by chance, so that plans don't read a source once for each use."""
+    kind = "struct<definitions: array<struct<n: int, command: string, name: string, arity: int, body: string, start: int, end: int>>, rest: string>"
+    return F.arrow_udf(_part, kind).asNondeterministic()(source)
+
+
 def definitions(papers: DataFrame) -> DataFrame:
     """(paper, n, command, name, arity, body, start, end): a row for each definition whose body is a balanced group.
 
     A definition is its command, a name (in braces or bare), parameters in square brackets (or, of
-    def, as #1#2) and a group; one of an environment has a second group.
+    def, as #1#2) and a group; one of an environment has a second group. Each source is read where it
+    stands: no token leaves its row.
     """
-    words = staged(tokens(papers), "latex-tokens")
-    ended = groups(words).select("paper", "n", "end")
-    # What follows what inside one group, up to the brace that ends it: blanks and what inner groups hold are left out.
-    outside = F.when(F.col("token") == "{", F.col("level") - 1).otherwise(F.col("level"))
-    beside = words.withColumn("around", outside).where(~F.col("token").rlike(r"^\s+$")).join(ended, ["paper", "n"], "left")
-    order = Window.partitionBy("paper", "around").orderBy("n")
-    backward = Window.partitionBy("paper", "around").orderBy(F.desc("n"))
-    after_bracket = lambda then: F.last(F.when(F.col("token").isin("]", "}"), F.struct(F.when(F.col("token") == "]", then).alias("it"))), ignorenulls=True).over(backward)["it"]
-    bare = F.struct("n", "token", "start", "end")
-    rows = beside.withColumn("next", F.lead(bare).over(order)).withColumn("skip", after_bracket(F.col("next")))
-    rows = rows.withColumn("further", F.lead(F.struct("n", "token", "start", "end", "skip")).over(order)).withColumn("skip_two", after_bracket(F.col("further")))
-    second = F.lead(F.struct("n", "token", "start", "end", "skip_two", "next"), 2).over(order)
-    heads = rows.select("paper", "n", "token", "start", F.col("next").alias("named"), second.alias("second"), F.lead(bare, 3).over(order).alias("third"))
-    heads = heads.withColumn("command", F.regexp_extract("token", r"^\\([A-Za-z]+)", 1)).where(F.col("command").isin(*DEFINING))
-    after_one = F.when(F.col("second.skip_two.token") == "[", F.col("second.skip_two.skip")).otherwise(F.struct(*[F.col(f"second.skip_two.{c}").alias(c) for c in ("n", "token", "start", "end")]))
-    plain = F.struct(*[F.col(f"second.{c}").alias(c) for c in ("n", "token", "start", "end")])
-    found = F.when(F.col("second.token") == "[", after_one).when((F.col("command") == "def") & F.col("second.token").startswith("#"), F.col("third")).otherwise(plain)
-    heads = heads.withColumn("body", found).where("body.end IS NOT NULL AND (named.end IS NOT NULL OR named.token LIKE '\\\\\\\\%')")
-    follow = rows.select("paper", F.col("n").alias("__n"), F.when(F.col("next.start") >= F.col("end"), F.col("next.end")).alias("__end"))
-    pair = F.col("command").endswith("environment")
-    done = heads.join(follow, (heads["paper"] == follow["paper"]) & (F.col("body.n") == F.col("__n")), "left").drop(follow["paper"])
-    text = lambda a, b: F.substring(F.col("source"), a + 1, b - a)
-    named = F.when(F.col("named.token") == "{", text(F.col("named.start"), F.col("named.end"))).otherwise(F.col("named.token"))
-    arity = F.when(F.col("second.token") == "[", F.regexp_extract(text(F.col("second.start"), F.col("second.start") + 8), r"^\[\s*(\d)\s*\]", 1).try_cast("int")).when(F.col("command") == "def", F.length("second.token") - F.length(F.replace("second.token", F.lit("#"), F.lit(""))))
-    with_source = done.join(papers.select("paper", "source"), "paper")
-    return with_source.select("paper", "n", "command", F.regexp_extract(named, r"\{?\s*\\?([A-Za-z@*]+)", 1).alias("name"), F.coalesce(arity, F.lit(0)).alias("arity"), text(F.col("body.start") + 1, F.col("body.end") - 1).alias("body"), "start", F.when(pair, F.coalesce("__end", "body.end")).otherwise(F.col("body.end")).alias("end"))
-
-
-def _named_bodies(found: DataFrame) -> DataFrame:
-    last = found.groupBy("paper", "name").agg(F.max_by("body", "n").alias("body"))
-    return last.groupBy("paper").agg(F.map_from_entries(F.collect_list(F.struct("name", "body"))).alias("macros"))
+    return _read(papers).select("paper", F.inline("__parted.definitions"))
+
+
+def _named_bodies(read: DataFrame, keep) -> DataFrame:
+    """read (__parted, ..) with macros, a map of the bodies of the definitions to keep by name, of several the last; null without any."""
+    kept = F.transform(F.filter("__parted.definitions", lambda d: d["command"].isin(*MACROS) & keep(d)), lambda d: F.struct(d["name"].alias("name"), d["n"].alias("n"), d["body"].alias("body")))
+    sorted_ = read.withColumn("__kept", F.array_sort(kept))
+    last = F.filter("__kept", lambda d, i: F.coalesce(F.get("__kept", i + 1)["name"] != d["name"], F.lit(True)))
+    entries = F.map_from_entries(F.transform(last, lambda d: F.struct(d["name"], d["body"])))
+    return sorted_.withColumn("macros", F.when(F.size("__kept") > 0, entries)).drop("__kept")
+
+
+def _read(papers: DataFrame) -> DataFrame:
+    return papers.withColumn("__parted", _parted("source"))
 
 
 def all_macros(papers: DataFrame) -> DataFrame:
     """(paper, macros): the bodies of all its macros by name, of several definitions the last; papers without macros have no row."""
-    return _named_bodies(definitions(papers).where(F.col("command").isin(*MACROS)))
+    return _named_bodies(_read(papers), lambda d: F.lit(True)).where("macros IS NOT NULL").select("paper", "macros")
+
+
+def _without_argument(definition: Column) -> Column:
+    return (definition["arity"] == 0) & ~definition["body"].contains("#")
 
 
 def user_macros(papers: DataFrame) -> DataFrame:
     """(paper, macros): those of all_macros() that take no argument."""
-    return _named_bodies(definitions(papers).where(F.col("command").isin(*MACROS) & (F.col("arity") == 0) & ~F.col("body").contains("#")))
+    return _named_bodies(_read(papers), _without_argument).where("macros IS NOT NULL").select("paper", "macros")
 
 
 def number_macros(papers: DataFrame) -> DataFrame:
@@ -102,69 +176,79 @@ def number_macros(papers: DataFrame) -> DataFrame:
     return each.withColumn("value", parse_decimal(F.regexp_replace("body", r"[{}$\s]|\\xspace", ""))).where("value IS NOT NULL").select("paper", "name", "value")
 
 
-def expand_macros(papers: DataFrame, macros: DataFrame) -> DataFrame:
-    """papers with every command of its macros (paper, macros) replaced by its body, and that again up to PASSES times; an empty pair of braces after a command goes with it."""
-    joined = papers.join(macros, "paper", "left")
-    out = F.col("source")
+def _expanded(source: Column, macros: Column) -> Column:
+    out = source
     for _ in range(PASSES):
         parts = F.regexp_extract_all(out, F.lit(r"(?s)\\[A-Za-z@]+(?:\s*\{\})?|\\.|[^\\]+|\\"), F.lit(0))
-        out = F.array_join(F.transform(parts, lambda t: F.when(t.startswith("\\"), F.coalesce(F.element_at("macros", F.regexp_extract(t, r"^\\([A-Za-z@]+)", 1)), t)).otherwise(t)), "")
-    return joined.withColumn("source", F.when(F.col("macros").isNotNull(), out).otherwise(F.col("source"))).drop("macros")
+        out = F.array_join(F.transform(parts, lambda t: F.when(t.startswith("\\"), F.coalesce(F.element_at(macros, F.regexp_extract(t, r"^\\([A-Za-z@]+)", 1)), t)).otherwise(t)), "")
+    return F.when(macros.isNotNull(), out).otherwise(source)
+
+
+def expand_macros(papers: DataFrame, macros: DataFrame) -> DataFrame:
+    """papers with every command of its macros (paper, macros) replaced by its body, and that again up to PASSES times; an empty pair of braces after a command goes with it."""
+    return papers.join(macros, "paper", "left").withColumn("source", _expanded(F.col("source"), F.col("macros"))).drop("macros")
 
 
-def _without(papers: DataFrame, spans: DataFrame, filler: str) -> DataFrame:
-    """papers with filler in place of spans (paper, start, end); spans that overlap are one."""
-    before = F.max("end").over(Window.partitionBy("paper").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("new", (F.coalesce(before, F.lit(-1)) <= F.col("start")).cast("int"))
-    island = F.sum("new").over(Window.partitionBy("paper").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
-    whole = marked.withColumn("island", island).groupBy("paper", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cuts = whole.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    joined = papers.join(cuts, "paper", "left")
-    edge = lambda i: F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["end"])
-    pieces = F.transform("cuts", lambda c, i: F.substring(F.col("source"), edge(i) + 1, c["start"] - edge(i)))
-    rest = F.substring(F.col("source"), F.element_at("cuts", -1)["end"] + 1, F.length("source"))
-    return joined.withColumn("source", F.when(F.col("cuts").isNotNull(), F.concat(F.array_join(pieces, filler), F.lit(filler), rest)).otherwise(F.col("source"))).drop("cuts")
+def expand_own_macros(papers: DataFrame) -> DataFrame:
+    """expand_macros() with the papers' own user_macros(), without a join."""
+    return _named_bodies(_read(papers), _without_argument).withColumn("source", _expanded(F.col("source"), F.col("macros"))).drop("__parted", "macros")
 
 
 def without_definitions(papers: DataFrame) -> DataFrame:
     """papers without their definitions, arguments and bodies included."""
-    return _without(papers, definitions(papers).select("paper", "start", "end"), "")
+    return papers.withColumn("source", _parted("source")["rest"])
+
+
+def find_environments(source: str, names: tuple[str, ...] | None = None) -> list[dict]:
+    """The environments of one source as environments() has them, in order; outer are those that begin after the ends of all before."""
+    levels, opened, found, furthest = {}, {}, [], 0
+    for mark in _ENVIRONMENT.finditer(source):
+        name = mark[0][mark[0].index("{") + 1 : -1]
+        if names is not None and name not in names:
+            continue
+        level = levels.get(name, 0)
+        if mark[0].startswith("\\begin"):
+            levels[name] = level + 1
+            opened[name, level + 1] = mark
+        else:
+            levels[name] = level - 1
+            begin = opened.pop((name, level), None)
+            if begin:
+                found.append({"name": name, "start": begin.start(), "end": mark.end(), "body_start": begin.end(), "body_end": mark.start(), "depth": level - 1, "body": source[begin.end() : mark.start()]})
+    found.sort(key=lambda e: e["start"])
+    for each in found:
+        each["outer"] = each["start"] >= furthest
+        furthest = max(furthest, each["end"])
+    return found
+
+
+def _environments(names: tuple[str, ...] | None) -> Callable[[str], Column]:
+    return F.udf(lambda source: find_environments(source or "", names), "array<struct<name: string, start: int, end: int, body_start: int, body_end: int, depth: int, body: string, outer: boolean>>", useArrow=True).asNondeterministic()
 
 
 def environments(papers: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
-    """(paper, name, start, end, body_start, body_end, depth) of every environment, or those of the names; one inside another of its name ends where its own end stands, and depth counts those around it."""
-    marks = F.regexp_extract_all("source", F.lit(ENVIRONMENT), F.lit(0))
-    each = papers.select("paper", F.posexplode(F.arrays_zip(marks.alias("mark"), F.split("source", ENVIRONMENT, -1).alias("gap"))).alias("n", "m")).select("paper", "n", "m.*").where("mark IS NOT NULL")
-    start = F.sum(F.length("gap") + F.length("mark")).over(Window.partitionBy("paper").orderBy("n")) - F.length("mark")
-    each = each.select("paper", "n", F.col("mark").startswith("\\begin").alias("opens"), F.regexp_extract("mark", r"\{([^{}]*)\}", 1).alias("name"), start.cast("int").alias("start"), (start + F.length("mark")).cast("int").alias("end"))
-    if names is not None:
-        each = each.where(F.col("name").isin(*names))
-    opened = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(Window.partitionBy("paper", "name").orderBy("n"))
-    leveled = each.withColumn("level", opened + (~F.col("opens")).cast("int"))
-    pairs = _paired(leveled, ["paper", "name", "level"], F.col("opens"), "n", "start", "end")
-    return pairs.select("paper", "name", "start", F.col("closed_end").alias("end"), F.col("end").alias("body_start"), F.col("closed_start").alias("body_end"), (F.col("level") - 1).cast("int").alias("depth"))
+    """(paper, name, start, end, body_start, body_end, depth, body) of every environment, or those of the names; one inside another of its name ends where its own end stands, and depth counts those around it."""
+    return papers.select("paper", _environments(names)("source").alias("e")).select("paper", F.inline("e")).drop("outer")
 
 
 def without_environments(papers: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """papers with a paragraph break in place of each outermost environment of the names."""
-    return _without(papers, environments(papers, names).select("paper", "start", "end"), "\n\n")
+    cut = F.udf(lambda source: source and _cut(source, [(e["start"], e["end"]) for e in find_environments(source, names)], "\n\n"), "string", useArrow=True)
+    return papers.withColumn("source", cut("source"))
 
 
 def equations(papers: DataFrame) -> DataFrame:
     """(paper, ordinal, environment, latex, labels) of displayed equations in order: outermost ones, without definitions' parameters, of 3 characters or more."""
     clean = without_definitions(papers.withColumn("source", without_comments(F.col("source"))))
-    spans = environments(clean, MATH)
-    before = F.max("end").over(Window.partitionBy("paper").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    outer = spans.withColumn("before", before).where("before IS NULL OR before <= start").join(clean.select("paper", "source"), "paper")
-    inside = F.substring(F.col("source"), F.col("body_start") + 1, F.col("body_end") - F.col("body_start"))
     label = r"\\label\s*\{([^{}]*)\}"
-    found = outer.select("paper", "start", F.col("name").alias("environment"), F.regexp_replace(F.regexp_replace(inside, label, ""), r"^\s+|\s+$", "").alias("latex"), F.regexp_extract_all(inside, F.lit(label), F.lit(1)).alias("labels"))
-    kept = found.where(~F.col("latex").contains("#") & (F.length("latex") >= 3))
-    return kept.withColumn("ordinal", F.row_number().over(Window.partitionBy("paper").orderBy("start")) - 1).select("paper", "ordinal", "environment", "latex", "labels")
+    outer = clean.select("paper", F.filter(_environments(MATH)("source"), lambda e: e["outer"]).alias("outer"))
+    found = F.transform("outer", lambda e: F.struct(e["name"].alias("environment"), F.regexp_replace(F.regexp_replace(e["body"], label, ""), r"^\s+|\s+$", "").alias("latex"), F.regexp_extract_all(e["body"], F.lit(label), F.lit(1)).alias("labels")))
+    kept = F.filter(found, lambda e: ~e["latex"].contains("#") & (F.length(e["latex"]) >= 3))
+    return outer.select("paper", F.posexplode(kept).alias("ordinal", "e")).select("paper", "ordinal", "e.*")
 
 
 def document(papers: DataFrame) -> DataFrame:
     """papers as they are read for prose: the body of the document without comments and definitions, with its own macros expanded."""
     clean = papers.withColumn("source", without_comments(F.col("source")))
-    macros = user_macros(clean)
-    return expand_macros(without_definitions(clean).withColumn("source", body(F.col("source"))), macros)
+    rest = _named_bodies(_read(clean), _without_argument).withColumn("source", body(F.col("__parted.rest")))
+    return rest.withColumn("source", _expanded(F.col("source"), F.col("macros"))).drop("__parted", "macros")

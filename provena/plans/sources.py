@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import archives, latex
@@ -12,25 +12,29 @@ NUMBERED = "n AS (SELECT l_orderkey AS paper, CAST(l_quantity AS BIGINT) AS q, l
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(paper, n, c, q, p): the lines of an order, which are few, numbered, with a letter each."""
+    """(paper, lines): the lines of an order, which are few, in order, as an array of (q, p)."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    each = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.row_number().over(order).alias("n"), F.col("l_quantity").cast("long").cast("string").alias("q"), F.col("l_partkey").cast("string").alias("p"))
-    return each.withColumn("c", F.char(F.col("n") + 96))
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    line = F.struct(F.col("l_quantity").cast("long").alias("q"), F.col("l_partkey").alias("p"))
+    each = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.row_number().over(order).alias("n"), F.collect_list(line).over(every).alias("lines"))
+    return each.where("n = 1").select("paper", "lines")
 
 
 def _written(lines: DataFrame, **parts) -> DataFrame:
-    """(paper, ...): each part's text of all lines, one after another."""
-    each = lines.select("paper", "n", *[text.alias(name) for name, text in parts.items()])
-    joined = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", name))), lambda x: x[name]), "")
-    return each.groupBy("paper").agg(*[joined(name).alias(name) for name in parts])
+    """(paper, ...): each part's text of all lines, one after another; a part takes a line and its place from 0."""
+    return lines.select("paper", *[F.array_join(F.transform("lines", part), "").alias(name) for name, part in parts.items()])
 
 
 def _filled(template: str):
-    """A template as a column, <q>, <p> and <c> filled in."""
-    out = F.lit(template)
-    for name in "qpc":
-        out = F.replace(out, F.lit(f"<{name}>"), F.col(name))
-    return out
+    """A template as a part of _written(), <q>, <p> and the letter <c> filled in."""
+
+    def part(line: Column, place: Column) -> Column:
+        out = F.lit(template)
+        for name, value in (("q", line["q"].cast("string")), ("p", line["p"].cast("string")), ("c", F.char(place + 97))):
+            out = F.replace(out, F.lit(f"<{name}>"), value)
+        return out
+
+    return part
 
 
 # Definitions of three kinds by the line's number, with a comment, a definition by def, one of an environment, and one that never ends.
@@ -43,8 +47,9 @@ NAME_SQL = "CASE n % 3 WHEN 1 THEN 'q' WHEN 2 THEN 't' ELSE 'w' END || c"
 
 def _macro_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
-    defined = F.element_at(F.array(*[_filled(d) for d in DEFINED]), F.col("n") % 3 + 1)
-    text = _written(lines, head=F.concat(defined, _filled(REST)), body=_filled(USED))
+    kinds = [_filled(d) for d in DEFINED]
+    defined = lambda x, i: F.when((i + 1) % 3 == 0, kinds[0](x, i)).when((i + 1) % 3 == 1, kinds[1](x, i)).otherwise(kinds[2](x, i))
+    text = _written(lines, head=lambda x, i: F.concat(defined(x, i), _filled(REST)(x, i)), body=_filled(USED))
     source = F.concat(F.lit("\\documentclass{article}\n\\newcommand{\\again}{\\again x}\n"), "head", F.lit("\\begin{document}\n"), "body", F.lit("{\\again}\n\\end{document}\n\\newcommand{\\bad}{never {closed}"))
     return text.select("paper", source.alias("source"))
 
@@ -99,9 +104,8 @@ def _nested_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH {NUMBERED}, k AS (SELECT *, 10 + coalesce(sum(78 + length(q::VARCHAR)) OVER (PARTITION BY paper ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM l)
 SELECT paper, unnest(['wrap', 'wrap', 'other']) AS name, unnest([z, z + 13 + length(q::VARCHAR), z + 37 + length(q::VARCHAR)])::BIGINT AS start, unnest(['x' || q || '\begin{{wrap}}in\end{{wrap}}\begin {{other}}\end {{other}}', 'in', '']) AS body, unnest([0, 1, 0]) AS depth FROM k""")
 def fn_envspans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = _nested_papers(spark, sf_dir)
-    spans = latex.environments(papers).join(papers, "paper")
-    return spans.select("paper", "name", F.col("start").cast("long").alias("start"), F.substring(F.col("source"), F.col("body_start") + 1, F.col("body_end") - F.col("body_start")).alias("body"), F.when(F.col("name") == "wrap", F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
+    spans = latex.environments(_nested_papers(spark, sf_dir))
+    return spans.select("paper", "name", F.col("start").cast("long").alias("start"), "body", F.when(F.col("name") == "wrap", F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
 
 
 @query(rf"WITH {NUMBERED} SELECT paper, '\end{{wrap}}' || repeat(chr(10) || chr(10) || ' and' || chr(10), count(*)) || '\begin{{wrap}}never ended' AS source FROM l GROUP BY paper")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provena.functions.numbers import rounded
-from provena.plans import checks, claims
+from provena.plans import checks, claims, sources
 from provena.plans.queries import ORACLE
 from tests.parity import differences, oracle
 
@@ -38,3 +38,9 @@ def test_numbers_are_traced_without_broadcasts(spark, name):
 
 def test_contradictions_are_found_without_broadcasts(spark):
     assert "Broadcast" not in plan(checks.chk_mismatch(spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["fn_allmacros", "fn_usermacros", "fn_nummacros", "fn_stripdefs", "fn_expandmacros", "fn_equations", "fn_envspans", "fn_blankenv"])
+def test_sources_are_shuffled_never_and_lines_once(spark, name):
+    found = plan(getattr(sources, name)(spark, SMALL))
+    assert found.count("Exchange hash") == 1 and "Join" not in found and "latex-tokens" not in found
