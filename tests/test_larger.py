@@ -44,3 +44,9 @@ def test_contradictions_are_found_without_broadcasts(spark):
 def test_sources_are_shuffled_never_and_lines_once(spark, name):
     found = plan(getattr(sources, name)(spark, SMALL))
     assert found.count("Exchange hash") == 1 and "Join" not in found and "latex-tokens" not in found
+
+
+@pytest.mark.parametrize(("name", "exchanges"), [("src_findmain", 1), ("src_inputs", 2), ("src_load", 2)])
+def test_files_of_archives_meet_once(spark, name, exchanges):
+    found = plan(getattr(sources, name)(spark, SMALL))
+    assert found.count("Exchange hash") == exchanges and "Join" not in found and "archive-" not in found
