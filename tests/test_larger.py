@@ -50,3 +50,9 @@ def test_sources_are_shuffled_never_and_lines_once(spark, name):
 def test_files_of_archives_meet_once(spark, name, exchanges):
     found = plan(getattr(sources, name)(spark, SMALL))
     assert found.count("Exchange hash") == exchanges and "Join" not in found and "archive-" not in found
+
+
+@pytest.mark.parametrize(("name", "exchanges"), [("flt_folded", 1), ("flt_leftlabel", 1), ("agg_compgroup", 1), ("win_headerrows", 1), ("chk_aggregate", 2)])
+def test_cells_of_tables_stay_with_their_paper(spark, name, exchanges):
+    found = plan(getattr(checks, name)(spark, SMALL))
+    assert found.count("Exchange hash") == exchanges and "/cells-" not in found and "Broadcast" not in found
