@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import new_folder
 
@@ -45,28 +40,15 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 
 
 def funnel(events: DataFrame, stages: list[str], keep: str = "1 day") -> DataFrame:
-    """(session, reached) of sessions whose progress changed: a pointer for each session, advanced by one stage at most with each step in order of time. The state holds the session's steps at any stage, so that steps of an earlier time may come in a later batch; it is dropped once the session is older than the watermark."""
-    session = F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
-    steps = events.withWatermark("ts", keep).select(session.alias("session"), "ts", "event_id", "event_type")
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before, kept = state.get if state.exists else (0, "[]")
-        at, rows = 0, pd.concat(list(batches))
-        reaches = lambda name, stage: name == stage or name.startswith(stage + ".")
-        new = zip(rows.ts.astype("datetime64[us]").astype("int64").tolist(), rows.event_id.tolist(), rows.event_type.tolist())
-        steps = sorted([tuple(s) for s in json.loads(kept)] + [s for s in new if s[2] is not None and any(reaches(s[2], stage) for stage in stages)])
-        for _, _, name in steps:
-            if at < len(stages) and reaches(name, stages[at]):
-                at += 1
-        state.update((at, json.dumps(steps)))
-        state.setTimeoutTimestamp(max(int(rows.ts.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
-        if at != before:
-            yield pd.DataFrame({"session": [key[0]], "reached": [at]})
-
-    return steps.groupBy("session").applyInPandasWithState(advance, "session string, reached int", "reached int, steps string", "update", GroupStateTimeout.EventTimeTimeout)
+    """(session, reached) of sessions that a batch brought steps and that have reached a stage: a pointer for each session, advanced by one stage at most with each step in order of time. The state holds the session's steps at any stage, so that steps of an earlier time may come in a later batch; it is dropped once the session's day is older than the watermark."""
+    day = events.withColumn("day", F.date_trunc("day", "ts")).withWatermark("day", f"{keep} 1 day")  # a day ends a day after it begins
+    reaches = lambda name, stage: (name == stage) | name.startswith(F.concat(stage, F.lit(".")))
+    any_stage = F.exists(F.array(*map(F.lit, stages)), lambda stage: reaches(F.col("event_type"), stage))
+    steps = day.groupBy("user_id", "day").agg(F.collect_list(F.when(any_stage, F.struct("ts", "event_id", "event_type"))).alias("steps"))
+    wanted = F.array(*map(F.lit, stages))
+    advance = lambda at, step: at + F.coalesce(reaches(step["event_type"], F.get(wanted, at)), F.lit(False)).cast("int")
+    session = F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("day").cast("string"))
+    return steps.select(session.alias("session"), F.aggregate(F.array_sort("steps"), F.lit(0), advance).alias("reached")).where("reached > 0")
 
 
 def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:

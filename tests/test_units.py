@@ -123,6 +123,11 @@ def test_streamed_queries_of_a_table_of_unordered_files(spark, tmp_path):
     assert set(map(tuple, QUERIES["st_funnel_state"](spark, str(tmp_path)).collect())) == want
 
 
+def test_streamed_funnel_needs_no_python_for_a_session(spark):
+    events = stream.read_events(spark, f"{SF}/events.parque[t]")
+    assert "Pandas" not in stream.funnel(events, ["view", "click"])._jdf.queryExecution().analyzed().toString()
+
+
 def test_streamed_funnel_takes_earlier_steps_in_later_batches(spark, tmp_path):
     stages = ["view", "click", "purchase"]
     events = spark.read.parquet(f"{SF}/events.parquet")
