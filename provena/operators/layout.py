@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,14 +61,12 @@ def lanes(placed: DataFrame, gap: float) -> DataFrame:
     So lanes are as many as ever stand within a gap. A view is laid out in order of x and id, with two
     heaps over its lanes; rows with a null x are left out.
     """
-    schema = f"view {placed.schema['view'].dataType.simpleString()}, id {placed.schema['id'].dataType.simpleString()}, x double, lane int"
 
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["x", "id"])
+    def assign(places: list[float]) -> list[int]:
         busy: list[tuple[float, int]] = []
         free: list[int] = []
         found, opened = [], 0
-        for x in group["x"]:
+        for x in places:
             while busy and x - busy[0][0] > gap:
                 heapq.heappush(free, heapq.heappop(busy)[1])
             if free:
@@ -78,9 +75,14 @@ def lanes(placed: DataFrame, gap: float) -> DataFrame:
                 lane, opened = opened, opened + 1
             heapq.heappush(busy, (x, lane))
             found.append(lane)
-        return group.assign(lane=pd.array(found, dtype="int32"))
+        return found
 
-    return placed.where("x IS NOT NULL").select("view", "id", F.col("x").cast("double").alias("x")).groupBy("view").applyInPandas(assign, schema)
+    def assigned(views: pa.Array) -> pa.Array:  # many views at a call
+        return pa.array([assign(places) for places in views.to_pylist()], pa.list_(pa.int32()))
+
+    each = placed.where("x IS NOT NULL").groupBy("view").agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "id"))).alias("p"))
+    lane = F.arrow_udf(assigned, "array<int>")("p.x")
+    return each.select("view", "p", lane.alias("l")).select("view", F.inline(F.zip_with("p", "l", lambda p, n: F.struct(p["id"].alias("id"), p["x"].alias("x"), n.alias("lane")))))
 
 
 def ranked(edges: DataFrame, dates: DataFrame) -> DataFrame:
