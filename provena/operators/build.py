@@ -46,12 +46,16 @@ def sample(sentences: DataFrame, most: int = SAMPLE, seed: int = 7) -> DataFrame
     return sentences.withColumn("__place", F.row_number().over(Window.partitionBy("paper").orderBy(drawn, "n"))).where(F.col("__place") <= most).drop("__place")
 
 
-def _stands(quote: Column, text: Column) -> Column:
-    return F.contains(skeleton(F.coalesce(text, F.lit("")), False), skeleton(quote, False))
+def _stand(quotes: Column, text: Column) -> Column:
+    """For each of the quotes, which are folded, whether it stands in the text."""
+    folded = F.array(skeleton(F.coalesce(text, F.lit("")), False))  # a list of one, as a lambda would fold the text for each quote
+    return F.get(F.transform(folded, lambda hay: F.transform(quotes, lambda quote: F.contains(hay, quote))), F.lit(0))
 
 
 def alignment(sentences: DataFrame, pages: DataFrame, least: int = 16) -> DataFrame:
     """(paper, n, rate, mismatched) of papers with samples enough to judge: the share of their sampled sentences that stand on their pages (paper, text). Sentences under so many letters are not drawn."""
     drawn = sample(sentences.where(F.length(skeleton(F.col("text"), False)) >= least))
-    both = drawn.select("paper", F.col("text").alias("__quote")).join(pages, "paper", "left")
-    return mismatched(both, "paper", F.coalesce(_stands(F.col("__quote"), F.col("text")), F.lit(False)))
+    # The few quotes of a paper meet its pages in one row, so that a text is sent and folded once for all of them.
+    quotes = drawn.groupBy("paper").agg(F.collect_list(skeleton(F.col("text"), False)).alias("__quotes"))
+    both = quotes.join(pages, "paper", "left").select("paper", F.explode(_stand(F.col("__quotes"), F.col("text"))).alias("__stands"))
+    return mismatched(both, "paper", F.col("__stands"))
