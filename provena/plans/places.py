@@ -51,8 +51,9 @@ SELECT page AS item_id, page, instr(h, n) - 1 AS start FROM a WHERE length(n) >=
 def loc_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
     each = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where(F.size("w") > 0)
-    page = F.slice("w", F.col("k") * 50 + 1, F.lit(50))
-    pages = each.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 50).cast("int"))).alias("k")).select((F.col("doc_id") * 1000 + F.col("k")).alias("page"), page.alias("w"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 50).cast("int"))
+    parts = F.transform(numbers, lambda k: F.slice("w", k * 50 + 1, F.lit(50)))  # cut before they are rows, so that no row has all words
+    pages = each.select("doc_id", F.posexplode(parts).alias("k", "w")).select((F.col("doc_id") * 1000 + F.col("k")).alias("page"), "w")
     wanted = pages.where(F.size("w") > 1).select(F.col("page").alias("item_id"), "page", F.concat(F.get("w", F.lit(1)), F.lit(" "), F.coalesce(F.get("w", F.lit(2)), F.lit(""))).alias("text"))
     return locate.on_page(pages.select("page", F.array_join("w", " ").alias("text")), wanted)
 
