@@ -6,6 +6,8 @@ tried family by family; within a family the first surviving match decides.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,15 +64,23 @@ ASSUMPTIONS = (
 
 def clause(before: Column) -> Column:
     """The last 140 characters before the site, after their last clause break."""
-    return F.element_at(F.split(F.right(before, F.lit(140)), CLAUSE_BREAK), -1)
+    marked = F.regexp_replace(F.translate(F.right(before, F.lit(140)), "\x01", "\x02"), CLAUSE_BREAK, "\x01")
+    return F.substring_index(marked, "\x01", -1)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _cues(text: Column, pattern: str) -> Column:
-    """Matches of a family in order, each with the text before and after it."""
+    """Matches of a family in order, each with the text before and after it; null where there is none."""
     word = rf"(?i)\b(?:{pattern})\b"
     found = F.regexp_extract_all(text, F.lit(word), F.lit(0))
-    pieces = F.split(text, word, -1)
-    return F.transform(found, lambda m, n: F.struct(m.alias("cue"), F.get(pieces, n).alias("lead"), F.get(pieces, n + 1).alias("rest")))
+    # Split at a mark in place of each match, as split() compiles its pattern for each row.
+    pieces = F.split(F.regexp_replace(F.translate(text, "\x01", "\x02"), word, "\x01"), "\x01", -1)
+    each = _let(pieces, lambda p: F.transform(found, lambda m, n: F.struct(m.alias("cue"), F.get(p, n).alias("lead"), F.get(p, n + 1).alias("rest"))))
+    return F.when(text.rlike(word), each)
 
 
 def _first(text: Column, pattern: str) -> Column:
@@ -83,28 +93,34 @@ def _first(text: Column, pattern: str) -> Column:
 
 def read_stance(before: Column, after: Column, sentence: Column) -> Column:
     """struct<stance, cue> of a citation; background with an empty cue where nothing speaks."""
-    here, behind = clause(before), F.substring(after, 1, 140)
-    about_us = sentence.rlike(f"(?i){FIRST_PERSON}")
-    options = []
-    for stance, pattern in BEFORE:
-        cue = _first(here, pattern)
-        options.append(F.when(cue.isNotNull() & (about_us | F.lower(cue).startswith("we ")), F.struct(F.lit(stance).alias("stance"), cue.alias("cue"))))
-    for stance, pattern in AFTER:
-        cue = F.nullif(F.regexp_extract(behind, rf"(?i)^\W*?(?:\w+\W+){{0,3}}?({pattern})\b", 1), F.lit(""))
-        options.append(F.when(cue.isNotNull() & ~here.rlike(f"(?i){FIRST_PERSON}"), F.struct(F.lit(stance).alias("stance"), cue.alias("cue"))))
-    return F.coalesce(*options, F.struct(F.lit("background").alias("stance"), F.lit("").alias("cue")))
+
+    def read(said: Column) -> Column:
+        options = []  # functions of a column are called as the expression is built, inside their loop
+        for stance, pattern in BEFORE:
+            speaks = lambda cue: F.when(cue.isNotNull() & (said["us"] | F.lower(cue).startswith("we ")), F.struct(F.lit(stance).alias("stance"), cue.alias("cue")))  # noqa: B023, E731
+            options.append(_let(_first(said["here"], pattern), speaks))
+        for stance, pattern in AFTER:
+            cue = F.nullif(F.regexp_extract(said["behind"], rf"(?i)^\W*?(?:\w+\W+){{0,3}}?({pattern})\b", 1), F.lit(""))
+            speaks = lambda cue: F.when(cue.isNotNull() & ~said["here"].rlike(f"(?i){FIRST_PERSON}"), F.struct(F.lit(stance).alias("stance"), cue.alias("cue")))  # noqa: B023, E731
+            options.append(_let(cue, speaks))
+        return F.coalesce(*options, F.struct(F.lit("background").alias("stance"), F.lit("").alias("cue")))
+
+    return _let(F.struct(clause(before).alias("here"), F.substring(after, 1, 140).alias("behind"), sentence.rlike(f"(?i){FIRST_PERSON}").alias("us")), read)
 
 
 def read_assumption(sentence: Column) -> Column:
     """struct<kind, cue> of a sentence of 40 characters or more, null if it assumes nothing; a negated cue is none."""
-    options = []
-    for kind, pattern in ASSUMPTIONS:
-        cues = F.filter(_cues(sentence, pattern.replace(r"\b", "")), lambda m: ~F.right(m["lead"], F.lit(20)).rlike(f"(?i){NEGATOR}"))
-        if kind == "conditional":
-            cues = F.filter(cues, lambda m: ~m["rest"].rlike(r"^\s*[\d.]"))
-        cue = F.get(F.transform(cues, lambda m: m["cue"]), F.lit(0))
-        options.append(F.when(cue.isNotNull(), F.struct(F.lit(kind).alias("kind"), cue.alias("cue"))))
-    return F.when(F.length(F.trim(sentence)) >= 40, F.coalesce(*options))
+
+    def read(said: Column) -> Column:
+        options = []
+        for kind, pattern in ASSUMPTIONS:
+            cues = F.filter(_cues(said, pattern.replace(r"\b", "")), lambda m: ~F.right(m["lead"], F.lit(20)).rlike(f"(?i){NEGATOR}"))
+            if kind == "conditional":
+                cues = F.filter(cues, lambda m: ~m["rest"].rlike(r"^\s*[\d.]"))
+            options.append(_let(F.get(F.transform(cues, lambda m: m["cue"]), F.lit(0)), lambda cue: F.when(cue.isNotNull(), F.struct(F.lit(kind).alias("kind"), cue.alias("cue")))))
+        return F.when(F.length(F.trim(said)) >= 40, F.coalesce(*options))
+
+    return _let(sentence, read)
 
 
 def support(has_cite: Column, has_evidence: Column) -> Column:

@@ -27,12 +27,14 @@ CITE = r"\\(?:cite|citep|citet|citealp|citealt|citeauthor|citeyear)\*?(?:\[[^\]]
 
 
 def without_comments(source: Column) -> Column:
-    return F.regexp_replace(source, r"(?m)(?<!\\)%.*$", "")
+    return F.regexp_replace(source, r"(?m)%(?<!\\%).*$", "")
 
 
 def body(source: Column) -> Column:
     """Between begin and end of the document; all of it if they are missing."""
-    inside = F.regexp_extract(source, r"(?s)\\begin\{document\}(.*?)(?:\\end\{document\}|$)", 1)
+    begin, end = "\\begin{document}", "\\end{document}"
+    after = F.substr(source, F.instr(source, begin) + len(begin))
+    inside = F.when(after.contains(end), F.substring_index(after, end, 1)).otherwise(F.regexp_extract(source, r"(?s)\\begin\{document\}(.*?)$", 1))
     return F.when(source.contains("\\begin{document}"), inside).otherwise(source)
 
 
@@ -54,13 +56,14 @@ def infer_method(typed: DataFrame) -> DataFrame:
 
 def sections(papers: DataFrame) -> DataFrame:
     """(paper, section, title, level, kind, text): the abstract first, nothing from the bibliography on; a subsection has the kind of the entry before it."""
-    text = F.regexp_replace(body(without_comments(F.col("source"))), r"(?s)\\(?:begin\{thebibliography\}|bibliography\{).*$", "")
-    rows = papers.select("paper", text.alias("t"))
-    abstract = F.regexp_extract("t", r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}", 1)
-    rest = F.regexp_replace("t", r"(?s)\\begin\{abstract\}.*?\\end\{abstract\}", "")
-    heads = F.regexp_extract_all(rest, F.lit(r"\\(?:sub)*section\*?\{[^}]*\}"), F.lit(0))
-    texts = F.split(rest, r"\\(?:sub)*section\*?\{[^}]*\}", -1)
-    found = F.transform(heads, lambda h, n: F.struct(F.regexp_extract(h, r"\{([^}]*)\}", 1).alias("title"), F.when(h.startswith("\\section"), 1).otherwise(2).alias("level"), F.get(texts, n + 1).alias("text")))
+    # Each step is a column of its own: an expression that a lambda names is read again for each of its elements.
+    bare = papers.select("paper", without_comments(F.col("source")).alias("t"))
+    text = F.regexp_replace(body(F.col("t")), r"(?s)\\(?:begin\{thebibliography\}|bibliography\{).*$", "")
+    parted = bare.select("paper", text.alias("t")).select("paper", F.regexp_extract("t", r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}", 1).alias("abstract"), F.regexp_replace("t", r"(?s)\\begin\{abstract\}.*?\\end\{abstract\}", "").alias("rest"))
+    heads = F.regexp_extract_all("rest", F.lit(r"\\(?:sub)*section\*?\{[^}]*\}"), F.lit(0))
+    rows = parted.select("paper", "abstract", heads.alias("heads"), F.split("rest", r"\\(?:sub)*section\*?\{[^}]*\}", -1).alias("texts"))
+    found = F.zip_with("heads", F.slice("texts", F.lit(2), F.size("texts")), lambda h, t: F.struct(F.regexp_extract(h, r"\{([^}]*)\}", 1).alias("title"), F.when(h.startswith("\\section"), 1).otherwise(2).alias("level"), t.alias("text")))
+    abstract = F.col("abstract")
     first = F.when(abstract != "", F.array(F.struct(F.lit("Abstract").alias("title"), F.lit(0).alias("level"), abstract.alias("text")))).otherwise(F.expr("cast(array() as array<struct<title:string,level:int,text:string>>)"))
     each = rows.select("paper", F.posexplode(F.concat(first, found)).alias("section", "s")).select("paper", "section", "s.*")
     own = F.when(F.col("level") == 0, F.lit("abstract")).when(F.col("level") == 1, kind_of(F.col("title")))
@@ -71,7 +74,9 @@ def sections(papers: DataFrame) -> DataFrame:
 def sentences(text: Column) -> Column:
     """Pieces after . ! or ? before a capital or bracket, and at blank lines; not after an initial or a known abbreviation."""
     stops = r"(?<=[.!?])(?<!\b[A-Z]\.)(?<!\b(?:al|cf|eg|ie|vs|Fig|Eq|Sec|Tab)\.)(?<!e\.g\.)(?<!i\.e\.)\s+(?=[A-Z(\[\\])|\n\s*\n"
-    return F.filter(F.transform(F.split(text, stops), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    # Split at a mark, as split() compiles its pattern for each row.
+    pieces = F.when(text.contains("\x01"), F.split(text, stops)).otherwise(F.split(F.regexp_replace(text, stops, "\x01"), "\x01"))
+    return F.filter(F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
 
 
 def merge_sentences(pieces: DataFrame) -> DataFrame:
@@ -110,10 +115,11 @@ def references(papers: DataFrame) -> DataFrame:
     entries = F.filter(F.split(without_comments(F.col("source")), r"\\bibitem"), lambda e: e.rlike(r"^(?:\[[^\]]*\])?\{"))
     each = papers.select("paper", F.explode(entries).alias("e")).withColumn("e", F.regexp_replace("e", r"(?s)\\end\{thebibliography\}.*$", ""))
     blocks = F.transform(F.split(F.regexp_replace("e", r"^(?:\[[^\]]*\])?\{[^}]*\}", ""), r"\\newblock"), lambda b: F.regexp_replace(plain_prose(b), r"[.,\s]+$", ""))
+    each = each.withColumn("blocks", blocks)
     prose = F.regexp_replace("e", r"(?i)https?://\S+|\b10\.\d{4,9}/\S+|arxiv[:\s/.a-z]*\d{4}\.\d{4,5}(?:v\d+)?", " ")
     years = F.regexp_extract_all(prose, F.lit(r"\b(?:19[5-9]|20[0-4])\d\b"), F.lit(0))
     identifier = F.nullif(F.regexp_extract("e", r"(?i)arxiv[:\s/.a-z]*(\d{4}\.\d{4,5})", 1), F.lit(""))
-    return each.select("paper", F.regexp_extract("e", r"^(?:\[[^\]]*\])?\{([^}]*)\}", 1).alias("key"), F.get(blocks, F.lit(0)).alias("authors"), F.get(blocks, F.lit(1)).alias("title"), F.get(blocks, F.lit(2)).alias("venue"), F.try_element_at(years, F.lit(-1)).cast("int").alias("year"), identifier.alias("own_id"))
+    return each.select("paper", F.regexp_extract("e", r"^(?:\[[^\]]*\])?\{([^}]*)\}", 1).alias("key"), F.get("blocks", F.lit(0)).alias("authors"), F.get("blocks", F.lit(1)).alias("title"), F.get("blocks", F.lit(2)).alias("venue"), F.try_element_at(years, F.lit(-1)).cast("int").alias("year"), identifier.alias("own_id"))
 
 
 def table_cells(papers: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cues, numbers, text
@@ -485,18 +485,25 @@ SAID = ("Unlike prior work on this ", "In this paper we extend ", "Throughout we
 
 
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line, number = F.col("l_linenumber"), F.col("l_linenumber") % 5
-    lead = F.element_at(F.array(*map(F.lit, SAID)), 1 + number)
-    tail = F.when(number == 0, F.lit(", our results hold. % \\cite{never}\n")).otherwise(F.lit(" for its main results.\n"))
-    sentence = F.concat(lead, F.lit("\\cite{s"), F.col("l_suppkey").cast("string"), F.lit(",p"), F.col("l_partkey").cast("string"), F.lit("}"), tail)
-    entry = F.concat(F.lit("\\bibitem{s"), F.col("l_suppkey").cast("string"), F.lit("} A. Author "), line.cast("string"), F.lit(". \\newblock Title of \\emph{work} "), F.col("l_suppkey").cast("string"), F.lit(". \\newblock Venue, 1999; "), (F.lit(2000) + line).cast("string"), F.lit(". arXiv:"), F.lpad((F.col("l_partkey") % 10000).cast("string"), 4, "0"), F.lit(".12345\n"))
-    row = F.concat(F.lit("Line "), line.cast("string"), F.lit(" & "), F.format_string("%.1f", F.col("l_quantity")), F.lit(" & \\textbf{"), F.format_string("%.2f", F.col("l_discount")), F.lit("} \\\\\n"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_discount", sentence.alias("s"), entry.alias("e"), row.alias("r"))
-    def joined(of: str):
-        ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_discount", of)))
-        return F.array_join(F.transform(ordered, lambda x: x[of]), "")
-
-    papers = lines.groupBy(F.col("l_orderkey").alias("paper")).agg(joined("s").alias("s"), joined("e").alias("e"), joined("r").alias("r"))  # lines of an order are few
+    """The papers; the few lines of an order meet as numbers, and its texts are written from them."""
+    fields = ("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_discount")
+    papers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paper")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("lines"))
+    text = lambda x, of: x[of].cast("string")
+
+    def sentence(x: Column) -> Column:
+        number = x["l_linenumber"] % 5
+        lead = F.element_at(F.array(*map(F.lit, SAID)), 1 + number)
+        tail = F.when(number == 0, F.lit(", our results hold. % \\cite{never}\n")).otherwise(F.lit(" for its main results.\n"))
+        return F.concat(lead, F.lit("\\cite{s"), text(x, "l_suppkey"), F.lit(",p"), text(x, "l_partkey"), F.lit("}"), tail)
+
+    def entry(x: Column) -> Column:
+        return F.concat(F.lit("\\bibitem{s"), text(x, "l_suppkey"), F.lit("} A. Author "), text(x, "l_linenumber"), F.lit(". \\newblock Title of \\emph{work} "), text(x, "l_suppkey"), F.lit(". \\newblock Venue, 1999; "), (F.lit(2000) + x["l_linenumber"]).cast("string"), F.lit(". arXiv:"), F.lpad((x["l_partkey"] % 10000).cast("string"), 4, "0"), F.lit(".12345\n"))
+
+    def row(x: Column) -> Column:
+        return F.concat(F.lit("Line "), text(x, "l_linenumber"), F.lit(" & "), F.format_string("%.1f", x["l_quantity"]), F.lit(" & \\textbf{"), F.format_string("%.2f", x["l_discount"]), F.lit("} \\\\\n"))
+
+    written = lambda part: F.array_join(F.transform("lines", part), "")
+    papers = papers.select("paper", written(sentence).alias("s"), written(entry).alias("e"), written(row).alias("r"))
     source = F.concat(F.lit("\\documentclass{article}\n\\begin{document}\n\\begin{abstract}A short abstract.\\end{abstract}\n\\section{Introduction}\nNothing is cited here.\n\\section{Our Method}\n\\subsection{Parts}\n"), F.col("s"), F.lit("\\begin{tabular}{lrr}\\toprule\nName & Quantity & Discount \\\\ \\midrule\n"), F.col("r"), F.lit("\\bottomrule\\end{tabular}\n\\begin{thebibliography}{9}\n"), F.col("e"), F.lit("\\end{thebibliography}\n\\end{document}"))
     return papers.select("paper", source.alias("source"))
 

@@ -56,3 +56,30 @@ def test_kinds_titles_and_checks(spark):
     rows = spark.createDataFrame([(t,) for t in said], "t string")
     assert {r.t: r.c for r in rows.select("t", views.clean_title(F.col("t")).alias("c")).collect()} == said
     assert views.run_checks(rows, {}).count() == 0
+
+
+def planned(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lanes_take_no_python_call_for_each_view(spark):
+    assert "Pandas" not in planned(layout.lanes(spark.createDataFrame([(1, 1, 0.0)], "view int, id int, x double"), 30.0))
+
+
+def test_quotes_of_a_paper_meet_its_text_once(spark):
+    pieces = spark.createDataFrame([(1, 1, "x")], "paper int, n int, text string")
+    assert "collect_list" in planned(build.alignment(pieces, pieces.select("paper", "text")))
+
+
+def test_papers_meet_as_numbers_and_sections_are_split_once(spark):
+    from provena.plans import queries
+
+    plan = planned(markup.sections(queries._papers(spark, "/root/testdata/sf0.001")))
+    assert "concat" not in next(line for line in plan.split("\n") if "Aggregate" in line)
+    assert "transform(regexp_extract_all" not in plan
+
+
+def test_rows_of_a_page_do_not_hold_all_words_of_their_document(spark):
+    from provena.plans.all import QUERIES
+
+    assert "explode(sequence" not in planned(QUERIES["loc_page"](spark, "/root/testdata/sf0.001"))
