@@ -29,8 +29,11 @@ STEP = 5
 GRAM = LEAST - STEP + 1
 
 
-def _skeletons(documents: DataFrame, keep_hyphens: bool) -> DataFrame:
-    rows = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+
+
+def _skeletons(rows: DataFrame, keep_hyphens: bool) -> DataFrame:
     return rows.select("doc_id", "row", skeleton(F.coalesce("text", F.lit("")), keep_hyphens).alias("hay"))
 
 
@@ -54,11 +57,11 @@ def _seeds(quotes: DataFrame, ends: bool) -> DataFrame:
 
 def _meetings(documents: DataFrame, quotes: DataFrame, keep_hyphens: bool, ends: bool = False) -> DataFrame:
     """quotes with doc_id, row, hay and start: every place at which a document may hold a quote, or, with ends, its beginning or its end."""
-    rows = _skeletons(documents, keep_hyphens)
+    rows = _rows(documents)
     seeds = _seeds(quotes.where(F.length("needle") >= LEAST), ends)
-    met = index(rows).join(seeds.withColumnRenamed("gram", "__gram"), F.col("gram") == F.col("__gram"))
-    met = met.withColumn("start", F.col("at") - F.col("off")).drop("gram", "__gram", "at", "off").distinct()
-    return staged(met, "locate-meetings").join(rows, "row")
+    met = index(_skeletons(rows, keep_hyphens)).join(seeds.withColumnRenamed("gram", "__gram"), F.col("gram") == F.col("__gram"))
+    met = staged(met.withColumn("start", F.col("at") - F.col("off")).drop("gram", "__gram", "at", "off").distinct(), "locate-meetings")
+    return met.join(_skeletons(rows.join(met.select("row"), "row", "left_semi"), keep_hyphens), "row")
 
 
 def _same(of: Column, at: Column, needle: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import anchors, locate
+from ..sources.shared import staged
 from .queries import query, table
 
 BARE = "regexp_replace(translate(lower({}), '‘’“”–—‐‑', '''''\"\"----'), '[\\s ­​-]+', '', 'g')"
@@ -58,9 +59,9 @@ def loc_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.on_page(pages.select("page", F.array_join("w", " ").alias("text")), wanted)
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of the documents set in lines of ten and pages of forty lines, each word ten wide; in every third line the last word stands a line lower."""
-    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("n", "word"))
+def _words(documents: DataFrame) -> DataFrame:
+    """The words of documents set in lines of ten and pages of forty lines, each word ten wide; in every third line the last word stands a line lower."""
+    each = documents.select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("n", "word"))
     line, column = F.floor(F.col("n") / 10), F.col("n") % 10
     low = (line % 3 == 2) & (column == 9)
     y = (line % 40) * 12.0 + F.when(low, 12.0).otherwise(0.0)
@@ -79,12 +80,14 @@ o AS (SELECT DISTINCT item_id, r.doc_id FROM r JOIN x ON x.doc_id = r.doc_id AND
 
 
 def _anchored(spark: SparkSession, sf_dir: str):
-    words = _words(spark, sf_dir)
-    quotes = table(spark, sf_dir, "benchmark")
-    found = locate.locate(table(spark, sf_dir, "documents"), quotes, False)
+    documents, quotes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = staged(locate.locate(documents, quotes, False), "anchors-found")
+    # Only documents that hold a quote are set in words, and once for all steps.
+    words = staged(_words(documents.join(found.select("doc_id"), "doc_id", "left_semi")), "anchors-words")
     sizes = quotes.select("item_id", F.length(locate.skeleton(F.col("text"), False)).alias("size"))
     placed = found.join(sizes, "item_id").select("item_id", "doc_id", F.col("position").alias("start"), (F.col("position") + F.col("size")).alias("end"))
-    return anchors.anchor(anchors.spans(placed, words), words), words
+    placed = staged(anchors.spans(placed, words), "anchors-placed")
+    return anchors.anchor(placed, words), words
 
 
 @query(f"WITH {SET} SELECT r.*, CASE WHEN o.item_id IS NULL THEN 'tight' ELSE 'approximate' END AS precision FROM r LEFT JOIN o ON o.item_id = r.item_id AND o.doc_id = r.doc_id")

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from provena.functions.numbers import rounded
-from provena.plans import checks, claims, sources
+from provena.operators import locate
+from provena.plans import checks, claims, places, sources
 from provena.plans.queries import ORACLE
 from tests.parity import differences, oracle
 
@@ -56,3 +57,16 @@ def test_files_of_archives_meet_once(spark, name, exchanges):
 def test_cells_of_tables_stay_with_their_paper(spark, name, exchanges):
     found = plan(getattr(checks, name)(spark, SMALL))
     assert found.count("Exchange hash") == exchanges and "/cells-" not in found and "Broadcast" not in found
+
+
+@pytest.mark.parametrize("name", ["loc_anchor", "loc_roundtrip"])
+def test_only_documents_that_hold_a_quote_are_set_in_words_and_once(spark, name):
+    found = getattr(places, name)(spark, SMALL)
+    words = spark.read.parquet(*[f for f in found.inputFiles() if "/anchors-words-" in f])
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").distinct().collect()}
+    assert "Generate" not in plan(found) and ids(words) == ids(found) and len(ids(words)) < spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_only_texts_that_meet_a_quote_are_folded_again(spark):
+    documents, quotes = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    assert "LeftSemi" in plan(locate.locate(documents, quotes))
