@@ -101,4 +101,5 @@ j AS (SELECT c.*, last - first + 1 AS size, o.item_id IS NULL AS tight FROM c JO
 y AS (SELECT item_id, doc_id, CASE WHEN own < CASE WHEN tight THEN size ELSE size * 0.8 END THEN 'a word lies outside' WHEN tight AND others > 0 THEN 'a foreign word lies inside' ELSE 'ok' END AS why FROM j)
 SELECT item_id, doc_id, why = 'ok' AS ok, why FROM y""")
 def loc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anchors.roundtrip(*_anchored(spark, sf_dir))
+    found, words = _anchored(spark, sf_dir)
+    return anchors.roundtrip(staged(found, "anchors-rectangles"), words)
