@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import wilson
+from ..sources.shared import staged
 
 
 def class_scores(rows: DataFrame) -> DataFrame:
@@ -38,24 +39,38 @@ def stratified(rows: DataFrame, by: str, key: str, take: int, seed: int = 7) ->
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(drawn, key))).where(F.col("__n") <= take).drop("__n")
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """(row, gold, token, n) of rows (row, gold, tokens, length), tokens in order: a token begins where the one before differs, and ends where the next begins."""
+    begins = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    runs = lambda b: F.transform(b, lambda i, k: F.struct(F.get("tokens", i).alias("token"), (F.coalesce(F.get(b, k + 1), F.col("length")) - i).alias("n")))
+    return rows.where("length > 0").select("row", "gold", F.explode(F.element_at(F.transform(F.array(begins), runs), 1)).alias("t")).select("row", "gold", "t.*")
+
+
 def naive_bayes_held_out(rows: DataFrame) -> DataFrame:
     """(id, gold, predicted) of documents (id, gold, tokens), each classed by a multinomial naive Bayes of all others: add-one smoothing, counts less its own.
 
-    Token counts of the classes are aggregated once; a document takes its own off again.
+    Documents are read once and staged. Token counts of the classes are aggregated once, a row for each
+    token; a document takes its own off again. Only a document's sums go on to class sizes, not its tokens.
+    Documents without tokens have no result. Those of one id are scored together, each with the length of every
+    one of them; of an id with several golds the best score counts.
     """
-    tokens = rows.select("id", "gold", F.explode("tokens").alias("token")).groupBy("id", "gold", "token").agg(F.count(F.lit(1)).alias("n"))
+    whole = rows.select("id", "gold", F.array_sort("tokens").alias("tokens"), F.size("tokens").alias("length"), F.monotonically_increasing_id().alias("row"))
+    rows = staged(whole, "bayes-rows")
+    tokens = _counted(rows)
     by_class = tokens.groupBy("gold", "token").agg(F.sum("n").alias("total"))
-    classes = rows.groupBy("gold").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("words"))
-    overall = tokens.groupBy("token").agg(F.sum("n").alias("everywhere"))
-    vocabulary, documents = overall.agg(F.count(F.lit(1)).alias("v")), classes.agg(F.sum("docs").alias("d"))
+    by_token = staged(by_class.groupBy("token").agg(F.collect_list(F.struct(F.col("gold").alias("class"), "total")).alias("totals")), "bayes-tokens")
+    classes = rows.groupBy("gold").agg(F.count(F.lit(1)).alias("docs"), F.sum("length").alias("words"))
+    vocabulary, documents = by_token.agg(F.count(F.lit(1)).alias("v")), classes.agg(F.sum("docs").alias("d"))
     sizes = F.broadcast(classes.join(vocabulary).join(documents).select(F.col("gold").alias("class"), "docs", "words", "v", "d"))
-    # A row for each token of a document and class: classes are the labels, a handful.
-    each = tokens.join(sizes).join(by_class.select(F.col("gold").alias("class"), "token", "total"), ["class", "token"], "left")
-    own = F.when(F.col("class") == F.col("gold"), F.col("n")).otherwise(0)
-    lengths = rows.select("id", F.size("tokens").alias("length"))
-    each = each.join(lengths, "id")
-    whole = F.col("words") - F.when(F.col("class") == F.col("gold"), F.col("length")).otherwise(0)
-    part = F.col("n") * F.log((F.coalesce("total", F.lit(0)) - own + 1) / (whole + F.col("v")))
-    prior = F.log((F.col("docs") - (F.col("class") == F.col("gold")).cast("int") + 1) / (F.col("d") - 1 + 2))
+    # Only classes that have a token add to its sums (for others the logarithm is that of 1).
+    mine = F.col("class") == F.col("gold")
+    met = tokens.join(by_token, "token").select("row", "gold", "n", F.explode("totals").alias("t")).select("row", "gold", "n", "t.*")
+    sums = met.groupBy("row", "class").agg(F.sum(F.col("n") * F.log(F.col("total") - F.when(mine, F.col("n")).otherwise(0) + 1)).alias("part"))
+    # A row for each document and class: classes are the labels, a handful.
+    each = rows.where("length > 0").select("id", "gold", "row", "length").join(sizes).join(sums, ["row", "class"], "left")
+    each = each.join(rows.select("id", F.col("length").alias("mate")), "id")
+    part = F.coalesce("part", F.lit(0.0)) - F.col("length") * F.log(F.col("words") - F.when(mine, F.col("mate")).otherwise(0) + F.col("v"))
+    prior = F.log((F.col("docs") - mine.cast("int") + 1) / (F.col("d") - 1 + 2))
     scores = each.groupBy("id", "gold", "class").agg((F.sum(part) + F.max(prior)).alias("score"))
-    return scores.groupBy("id", "gold").agg(F.max_by("class", F.struct(F.round("score", 6), -F.col("class"))).alias("predicted"))
+    best = F.max_by(F.struct("gold", F.col("class").alias("predicted")), F.struct(F.round("score", 6), -F.col("class"), -F.col("gold")))
+    return scores.groupBy("id").agg(best.alias("b")).select("id", "b.*")

@@ -1,13 +1,15 @@
 """Faults that only larger tables show: plans that send rows through the driver, and numbers that lie on a border of rounding."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from provena.functions.numbers import rounded
-from provena.operators import locate
+from provena.operators import evaluate, locate
 from provena.plans import checks, claims, places, sources
-from provena.plans.queries import ORACLE
+from provena.plans.queries import ORACLE, agg_nb
 from tests.parity import differences, oracle
 
 SMALL = "/root/testdata/sf0.01"
@@ -70,3 +72,33 @@ def test_only_documents_that_hold_a_quote_are_set_in_words_and_once(spark, name)
 def test_only_texts_that_meet_a_quote_are_folded_again(spark):
     documents, quotes = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     assert "LeftSemi" in plan(locate.locate(documents, quotes))
+
+
+def test_naive_bayes_reads_texts_once_and_sums_up_before_it_joins(spark):
+    found = plan(agg_nb(spark, SMALL))
+    assert "regexp_extract_all" not in found and "/bayes-rows-" in found and "/bayes-tokens-" in found
+
+
+def test_naive_bayes_where_rows_and_ids_repeat(spark, tmp_path):
+    documents = [(1, "red red apple pie"), (1, "red red apple pie"), (2, "green apple"), (3, "green stone wall"), (3, "red wall"), (4, ""), (5, None), (6, "stone stone wall built"), (7, "the of 12 ab"), (None, "red apple"), (8, "nothing alike"), (9, "unlabelled apple")]
+    labels = [(1, 1), (1, 1), (2, 1), (3, 0), (3, 1), (4, 0), (5, 1), (6, 0), (7, 0), (None, 1), (8, 0)]
+    spark.createDataFrame(documents, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert differences(spark, db, agg_nb, ORACLE["agg_nb"], str(tmp_path)) == []
+
+
+def test_naive_bayes_counts_tokens_that_repeat_in_a_document(spark):
+    rows = [(1, 0, ["a", "b", "a", "a"]), (2, 0, ["a", "c"]), (3, 1, ["b", "b", "c"]), (4, 1, ["d", "b"]), (5, 1, []), (6, 0, ["d"])]
+    want = []
+    for i, gold, tokens in rows:
+        scores = {}
+        for c in (0, 1):
+            others = [t for j, g, ts in rows if g == c and j != i for t in ts]
+            docs, v = sum(g == c and j != i for j, g, _ in rows), len({t for _, _, ts in rows for t in ts})
+            scores[c] = sum(math.log((others.count(t) + 1) / (len(others) + v)) for t in tokens) + math.log((docs + 1) / (len(rows) - 1 + 2))
+        want += [(i, gold, max(scores, key=lambda c: (round(scores[c], 6), -c)))] if tokens else []
+    got = evaluate.naive_bayes_held_out(spark.createDataFrame(rows, "id long, gold int, tokens array<string>"))
+    assert sorted(tuple(r) for r in got.collect()) == want
