@@ -120,6 +120,23 @@ def test_anchors_are_chosen_by_their_windows(monkeypatch):
     assert len(places) == len(set(places.tolist()))
 
 
+def test_rows_of_a_very_common_digit_are_split_over_tasks(spark):
+    name = "spark.sql.adaptive."
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", name + "coalescePartitions.enabled": "false", name + "advisoryPartitionSizeInBytes": "16k", name + "skewJoin.skewedPartitionThresholdInBytes": "16k", name + "skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = staged(spark.range(60_000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") - F.col("id") % 2).alias("gram"), "id"), "test")
+        met = rows.join(repeats._repeated(rows, "gram"), "gram")
+        n = collections.Counter(r.gram for r in rows.collect())
+        assert len(met.collect()) == sum(x for x in n.values() if x > 1) and max(n.values()) == 40_000
+        assert "skew=true" in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_schema_of_fixture_matches(spark):
     assert awkward(spark).schema.simpleString() == spark.createDataFrame([], SCHEMA).schema.simpleString()
     assert awkward(spark).where(F.col("doc_id") == 3).count() == 2
