@@ -75,6 +75,23 @@ def occurrences(documents: DataFrame, quotes: DataFrame, keep_hyphens: bool = Tr
     return met.where((F.col("start") >= 0) & _same(F.col("hay"), F.col("start"), F.col("needle"))).select("item_id", "doc_id", "row", "start").distinct()
 
 
+def every_occurrence(documents: DataFrame, quotes: DataFrame, keep_hyphens: bool = True) -> DataFrame:
+    """occurrences() with those of quotes under LEAST letters, of one at least: they meet the parts of their own lengths that begin at each place. Only where there are such quotes are texts read for them."""
+    needle = skeleton(F.col("text"), keep_hyphens)
+    short = staged(quotes.select("item_id", needle.alias("needle")).where(F.length("needle").between(1, LEAST - 1)), "locate-short")
+    found = occurrences(documents, quotes, keep_hyphens)
+    letters = _skeletons(_rows(documents), keep_hyphens).select("doc_id", "row", F.regexp_extract_all("hay", F.lit("(?s)."), F.lit(0)).alias("s"))
+
+    def part(size: int) -> Column:
+        return F.transform("s", lambda _, i: F.array_join(F.slice("s", i + 1, F.lit(size)), ""))
+
+    for (size,) in short.select(F.length("needle")).distinct().collect():
+        parts = letters.select("doc_id", "row", F.posexplode(part(size)).alias("start", "needle"))
+        met = parts.join(short.where(F.length("needle") == size), "needle")
+        found = found.union(met.select("item_id", "doc_id", "row", "start").distinct())
+    return found
+
+
 def locate(documents: DataFrame, quotes: DataFrame, keep_hyphens: bool = True) -> DataFrame:
     """(item_id, doc_id, occurrences, position) of every document (doc_id, text) that holds a quote (item_id, text); position of the first in the skeleton, occurrences may overlap and are counted up to MOST."""
     found = occurrences(documents, quotes, keep_hyphens).groupBy("item_id", "doc_id", "row").agg(F.least(F.count(F.lit(1)), F.lit(MOST)).cast("long").alias("occurrences"), F.min("start").cast("long").alias("position"))

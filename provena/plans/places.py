@@ -78,21 +78,31 @@ t AS (SELECT item_id, f.doc_id, min(n) AS first, max(n) AS last FROM f JOIN x ON
 r AS (SELECT item_id, t.doc_id, page, line, first, last, min(x0) AS x0, median(y0) AS y0, max(x0) + 9 AS x1, median(y0) + 10 AS y1 FROM t JOIN x ON x.doc_id = t.doc_id AND n BETWEEN first AND last GROUP BY ALL),
 o AS (SELECT DISTINCT item_id, r.doc_id FROM r JOIN x ON x.doc_id = r.doc_id AND x.page = r.page AND n NOT BETWEEN first AND last AND x.x0 + 4.5 BETWEEN r.x0 - 0.5 AND r.x1 + 0.5 AND x.y0 + 5 BETWEEN r.y0 - 0.5 AND r.y1 + 0.5)"""
 
+# The same with every place of a quote in a document, not its first alone; places that touch the same words are one.
+SET_EVERY = SET.replace(
+    "f AS (SELECT item_id, doc_id, instr(h, k) - 1 AS s, instr(h, k) - 1 + length(k) AS e FROM q JOIN d ON contains(h, k))",
+    "z AS (SELECT item_id, doc_id, h, k, instr(h, k) - 1 AS s FROM q JOIN d ON contains(h, k) WHERE k <> '' UNION ALL SELECT item_id, doc_id, h, k, s + instr(substr(h, s + 2), k) FROM z WHERE contains(substr(h, s + 2), k)),\nf AS (SELECT item_id, doc_id, s, s + length(k) AS e FROM z)",
+).replace("t AS (SELECT item_id, f.doc_id, min(n) AS first, max(n) AS last FROM f JOIN x ON x.doc_id = f.doc_id AND a + size > s AND a < e GROUP BY 1, 2)", "t AS (SELECT DISTINCT item_id, doc_id, first, last FROM (SELECT item_id, f.doc_id, s, min(n) AS first, max(n) AS last FROM f JOIN x ON x.doc_id = f.doc_id AND a + size > s AND a < e GROUP BY ALL))").replace("SELECT DISTINCT item_id, r.doc_id FROM r", "SELECT DISTINCT item_id, r.doc_id, first, last FROM r")
 
-def _anchored(spark: SparkSession, sf_dir: str):
+
+def _anchored(spark: SparkSession, sf_dir: str, every: bool = False):
     documents, quotes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = staged(locate.locate(documents, quotes, False), "anchors-found")
+    found = locate.every_occurrence(documents, quotes, False).withColumnRenamed("start", "position") if every else locate.locate(documents, quotes, False)
+    found = staged(found.select("item_id", "doc_id", "position").distinct(), "anchors-found")
     # Only documents that hold a quote are set in words, and once for all steps.
     words = staged(_words(documents.join(found.select("doc_id"), "doc_id", "left_semi")), "anchors-words")
     sizes = quotes.select("item_id", F.length(locate.skeleton(F.col("text"), False)).alias("size"))
     placed = found.join(sizes, "item_id").select("item_id", "doc_id", F.col("position").alias("start"), (F.col("position") + F.col("size")).alias("end"))
-    placed = staged(anchors.spans(placed, words), "anchors-placed")
+    placed = anchors.spans(placed, words)
+    if not every:
+        placed = placed.groupBy("item_id", "doc_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    placed = staged(placed, "anchors-placed")
     return anchors.anchor(placed, words), words
 
 
-@query(f"WITH {SET} SELECT r.*, CASE WHEN o.item_id IS NULL THEN 'tight' ELSE 'approximate' END AS precision FROM r LEFT JOIN o ON o.item_id = r.item_id AND o.doc_id = r.doc_id")
+@query(f"WITH RECURSIVE {SET_EVERY} SELECT r.*, CASE WHEN o.item_id IS NULL THEN 'tight' ELSE 'approximate' END AS precision FROM r LEFT JOIN o ON o.item_id = r.item_id AND o.doc_id = r.doc_id AND o.first = r.first AND o.last = r.last")
 def loc_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _anchored(spark, sf_dir)[0]
+    return _anchored(spark, sf_dir, every=True)[0]
 
 
 @query(f"""WITH {SET}, i AS (SELECT DISTINCT r.item_id, r.doc_id, n, n BETWEEN first AND last AS mine FROM r JOIN x ON x.doc_id = r.doc_id AND x.page = r.page AND x.x0 + 4.5 BETWEEN r.x0 - 0.5 AND r.x1 + 0.5 AND x.y0 + 5 BETWEEN r.y0 - 0.5 AND r.y1 + 0.5),

@@ -1,6 +1,12 @@
 import random
 
+import duckdb
+
 from provena.operators import anchors, locate
+from provena.plans import places
+from provena.plans.queries import ORACLE
+
+from .parity import differences
 
 
 def brute(docs, quotes):
@@ -58,3 +64,21 @@ def test_anchors_and_what_they_promise(spark):
     assert [r.why for r in anchors.roundtrip(anchors.anchor(placed, raised), raised).collect()] == ["a word lies outside"]
     wide = found.withColumn("x1", found.x1 + 10)
     assert [r.why for r in anchors.roundtrip(wide, words).collect()] == ["a foreign word lies inside"]
+
+
+def test_every_place_of_a_quote_is_anchored(spark, tmp_path):
+    said, gap = "the quoted words that stand here more than once", " ".join(f"w{n}" for n in range(385))
+    documents = [(1, f"{said} {gap} {said} and {said}"), (2, f"x {said[:20]}-{said[20:]} y {said.upper()}."), (3, "ab" * 30 + " " + "ab" * 30), (4, "é 🙂 short, é 🙂 short"), (5, None), (6, "nothing"), (None, said), (7, " - ".join([said] * 70))]
+    quotes = [(1, said), (2, "ab" * 10), (3, "🙂 Short"), (4, "x"), (5, ""), (6, None), (7, "nowhere to be found at all")]
+    spark.createDataFrame(documents, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(quotes, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert differences(spark, db, places.loc_anchor, ORACLE["loc_anchor"], str(tmp_path)) == []
+    found = {(r.item_id, r.doc_id, r.first) for r in places.loc_anchor(spark, str(tmp_path)).collect()}
+    assert {(1, 1, 0), (1, 1, 394), (1, 1, 404), (1, 2, 1), (3, 4, 1), (3, 4, 4), (4, 2, 0)} <= found and len({f for q, d, f in found if (q, d) == (1, 7)}) == 70
+    # The check of the anchors still reads the first place of each pair.
+    first = [q for q in quotes if len(q[1] or "") >= locate.LEAST]
+    spark.createDataFrame(first, "item_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    assert differences(spark, db, places.loc_roundtrip, ORACLE["loc_roundtrip"], str(tmp_path)) == []
