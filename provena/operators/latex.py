@@ -176,7 +176,8 @@ def number_macros(papers: DataFrame) -> DataFrame:
     return each.withColumn("value", parse_decimal(F.regexp_replace("body", r"[{}$\s]|\\xspace", ""))).where("value IS NOT NULL").select("paper", "name", "value")
 
 
-def _expanded(source: Column, macros: Column) -> Column:
+def expanded(source: Column, macros: Column) -> Column:
+    """source with every command of macros, a map of bodies by name, replaced by its body, and that again up to PASSES times."""
     out = source
     for _ in range(PASSES):
         parts = F.regexp_extract_all(out, F.lit(r"(?s)\\[A-Za-z@]+(?:\s*\{\})?|\\.|[^\\]+|\\"), F.lit(0))
@@ -186,12 +187,12 @@ def _expanded(source: Column, macros: Column) -> Column:
 
 def expand_macros(papers: DataFrame, macros: DataFrame) -> DataFrame:
     """papers with every command of its macros (paper, macros) replaced by its body, and that again up to PASSES times; an empty pair of braces after a command goes with it."""
-    return papers.join(macros, "paper", "left").withColumn("source", _expanded(F.col("source"), F.col("macros"))).drop("macros")
+    return papers.join(macros, "paper", "left").withColumn("source", expanded(F.col("source"), F.col("macros"))).drop("macros")
 
 
 def expand_own_macros(papers: DataFrame) -> DataFrame:
     """expand_macros() with the papers' own user_macros(), without a join."""
-    return _named_bodies(_read(papers), _without_argument).withColumn("source", _expanded(F.col("source"), F.col("macros"))).drop("__parted", "macros")
+    return _named_bodies(_read(papers), _without_argument).withColumn("source", expanded(F.col("source"), F.col("macros"))).drop("__parted", "macros")
 
 
 def without_definitions(papers: DataFrame) -> DataFrame:
@@ -251,4 +252,4 @@ def document(papers: DataFrame) -> DataFrame:
     """papers as they are read for prose: the body of the document without comments and definitions, with its own macros expanded."""
     clean = papers.withColumn("source", without_comments(F.col("source")))
     rest = _named_bodies(_read(clean), _without_argument).withColumn("source", body(F.col("__parted.rest")))
-    return rest.withColumn("source", _expanded(F.col("source"), F.col("macros"))).drop("__parted", "macros")
+    return rest.withColumn("source", expanded(F.col("source"), F.col("macros"))).drop("__parted", "macros")

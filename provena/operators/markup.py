@@ -1,12 +1,10 @@
-"""Reading marked-up papers: comments, body, typed sections, sentences, citation sites, references, tables. Papers are rows (paper, source)."""
+"""Reading marked-up papers: comments, body, typed sections, sentences, citation sites, references. Papers are rows (paper, source)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import cell_number
-
 #: Kinds of sections, the most specific first, and the beginnings of the words that name them; the first kind that a title names is its own.
 KINDS = {
     "related": "related previous prior background literature", "limitations": "limitation broader ethic societal", "conclusion": "conclu summar future", "discussion": "discuss",
@@ -92,10 +90,11 @@ def merge_sentences(pieces: DataFrame) -> DataFrame:
 
 def plain_prose(tex: Column) -> Column:
     """Markup off: citations and references gone, emphasised text kept, commands dropped."""
-    out = F.regexp_replace(tex, CITE, " ")
+    blanks = lambda text: F.trim(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))  # noqa: E731  what is one space stays as it is
+    out = F.when(tex.contains("\\cite"), F.regexp_replace(tex, CITE, " ")).otherwise(tex)
     out = F.regexp_replace(out, r"\\(?:ref|eqref|label|cref)\{[^}]*\}", " ")
     out = F.regexp_replace(out, r"\\(?:emph|textbf|textit|texttt)\{([^{}]*)\}", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\\[A-Za-z]+\*?|[{}~$]", " "), r"\s+", " "))
+    return F.when(tex.rlike(r"[\\{}~$]"), blanks(F.regexp_replace(out, r"\\[A-Za-z]+\*?|[{}~$]", " "))).otherwise(blanks(tex))
 
 
 def citation_sites(papers: DataFrame) -> DataFrame:
@@ -120,18 +119,3 @@ def references(papers: DataFrame) -> DataFrame:
     years = F.regexp_extract_all(prose, F.lit(r"\b(?:19[5-9]|20[0-4])\d\b"), F.lit(0))
     identifier = F.nullif(F.regexp_extract("e", r"(?i)arxiv[:\s/.a-z]*(\d{4}\.\d{4,5})", 1), F.lit(""))
     return each.select("paper", F.regexp_extract("e", r"^(?:\[[^\]]*\])?\{([^}]*)\}", 1).alias("key"), F.get("blocks", F.lit(0)).alias("authors"), F.get("blocks", F.lit(1)).alias("title"), F.get("blocks", F.lit(2)).alias("venue"), F.try_element_at(years, F.lit(-1)).cast("int").alias("year"), identifier.alias("own_id"))
-
-
-def table_cells(papers: DataFrame) -> DataFrame:
-    """(paper, table, row, column, raw, value, decimals, is_percent, row_header, column_header): the cells of tabulars that aren't blank. The first row heads the columns, the first cell of a row without a number the row."""
-    tables = F.regexp_extract_all(without_comments(F.col("source")), F.lit(r"(?s)\\begin\{tabular\}\{[^}]*\}(.*?)\\end\{tabular\}"), F.lit(1))
-    bare = papers.select("paper", F.posexplode(tables).alias("table", "t"))
-    lines = F.filter(F.transform(F.split(F.regexp_replace("t", r"\\(?:top|mid|bottom)rule|\\hline|\\cline\{[^}]*\}", ""), r"\\\\"), lambda r: F.trim(r)), lambda r: r != "")
-    rows = bare.select("paper", "table", F.posexplode(lines).alias("row", "r"))
-    cells = rows.select("paper", "table", "row", F.posexplode(F.split("r", r"(?<!\\)&")).alias("column", "raw")).withColumn("raw", F.trim("raw")).where("raw <> ''")
-    typed = cells.withColumn("number", cell_number(F.regexp_replace("raw", r"\\%", "%")))
-    plain = plain_prose(F.col("raw"))
-    in_row, in_column = Window.partitionBy("paper", "table", "row"), Window.partitionBy("paper", "table", "column")
-    row_header = F.min_by(F.when(F.col("number").isNull(), plain), F.when(F.col("number").isNull(), F.col("column"))).over(in_row)
-    column_header = F.min_by(F.when(F.col("row") == 0, plain), F.when(F.col("row") == 0, F.col("row"))).over(in_column)
-    return typed.select("paper", "table", "row", "column", "raw", F.col("number.value").alias("value"), F.col("number.decimals").alias("decimals"), F.col("number.is_percent").alias("is_percent"), row_header.alias("row_header"), column_header.alias("column_header")).where("row > 0")
