@@ -20,7 +20,7 @@ from ..functions.numbers import parse_decimal
 from .markup import body, without_comments
 
 TOKEN = r"(?s)\\[A-Za-z@]+\*?|\\.|[{}\[\]]|[^\\{}\[\]]+|\\"
-ENVIRONMENT = r"\\(?:begin|end)\s*\{[^{}]*\}"
+ENVIRONMENT = r"\\(begin|end)\s*\{([^{}]*)\}"
 #: Commands that define macros; with those in the second row a source is rid of its definitions.
 MACROS = ("newcommand", "renewcommand", "providecommand")
 DEFINING = (*MACROS, "DeclareMathOperator", "def", "newtheorem", "declaretheorem", "newenvironment", "renewenvironment", "newcolumntype")
@@ -32,9 +32,10 @@ PASSES = 4
 DEFINITION = {"n": pa.int32(), "command": pa.string(), "name": pa.string(), "arity": pa.int32(), "body": pa.string(), "start": pa.int32(), "end": pa.int32()}
 # What the helpers look for; blanks are those of Java's patterns.
 _BLANK = " \t\n\x0b\f\r"
-_TOKENS, _COMMAND, _NAME = re.compile(TOKEN), re.compile(r"\\([A-Za-z]+)"), re.compile(r"\{?\s*\\?([A-Za-z@*]+)", re.A)
+_TOKENS, _NAME = re.compile(TOKEN), re.compile(r"\{?\s*\\?([A-Za-z@*]+)", re.A)
 _ARITY, _ENVIRONMENT = re.compile(r"\[\s*(\d)\s*\]", re.A), re.compile(ENVIRONMENT, re.A)
-_DEFINING = re.compile(rf"\\(?:{'|'.join(DEFINING)})(?![A-Za-z])")
+_DEFINED, _TEXT = re.compile(rf"\\({'|'.join(DEFINING)})(?![A-Za-z])(?:@[A-Za-z@]*)?\*?"), re.compile(r"[^\\{}\[\]]+")
+_ESCAPED, _BRACKETS, _BLANKS = re.compile(r"\\[\\{}\[\]]"), re.compile(r"[{}\[\]]"), re.compile(f"[{_BLANK}]*")
 
 
 def tokens(papers: DataFrame) -> DataFrame:
@@ -59,52 +60,69 @@ def groups(words: DataFrame) -> DataFrame:
     return _paired(braces, ["paper", "level"], F.col("token") == "{", "n", "start").select("paper", "level", "n", "start", (F.col("closed_start") + 1).alias("end"))
 
 
+def _closings(bare: str) -> tuple[dict, dict]:
+    """Of a source without escapes, where each {, by its place, is closed, and where each [ is, by the next ] of its own group."""
+    ends, after, outside, brackets = {}, {}, [], []
+    for mark in _BRACKETS.finditer(bare):
+        at, kind = mark.start(), mark[0]
+        if kind == "{":
+            outside.append((at, brackets))
+            brackets = []
+        elif kind == "[":
+            brackets.append(at)
+        elif kind == "]":
+            for opened in brackets:
+                after[opened] = at + 1
+            brackets = []
+        elif outside:
+            opened, brackets = outside.pop()
+            ends[opened] = at + 1
+        else:
+            brackets = []
+    return ends, after
+
+
+def _definitions(source: str) -> list[tuple]:
+    """The definitions of one source in order: (command, name, arity, body, start, end). Only what follows a defining command is read, and all brackets once."""
+    bare = _ESCAPED.sub("  ", source)
+    commands = list(_DEFINED.finditer(bare))
+    ends, after = _closings(bare) if commands else ({}, {})
+    size, found = len(source), []
+    skip = lambda at: _BLANKS.match(source, at).end()
+    for command in commands:
+        begin = skip(command.end())
+        if begin in ends:
+            at = ends[begin]
+        elif source.startswith("\\", begin):
+            at = _TOKENS.match(source, begin).end()
+        else:
+            continue
+        name, arity, second = _NAME.search(source[begin:at]), 0, skip(at)
+        if source.startswith("[", second):
+            count = _ARITY.match(source, second, second + 8)
+            arity = int(count[1]) if count else 0
+            second = skip(after.get(second, size))
+            if source.startswith("[", second):
+                second = skip(after.get(second, size))
+        elif command[1] == "def" and second == at and source.startswith("#", at):
+            second = _TEXT.match(source, at).end()
+            arity = source.count("#", at, second)
+        if second not in ends:
+            continue
+        end = ends[second]
+        last = ends.get(skip(end)) if command[1].endswith("environment") else None
+        found.append((command[1], name[1] if name else "", arity, source[second + 1 : end - 1], command.start(), last or end))
+    return found
+
+
 def find_definitions(source: str) -> list[tuple]:
-    """The definitions of one source, each a tuple of the fields of DEFINITION, in one pass over its tokens."""
-    words, starts, ends, beside = _TOKENS.findall(source), [], {}, {}
-    level, offset, opened = 0, 0, {}
-    for n, word in enumerate(words):
-        starts.append(offset)
-        offset += len(word)
-        # What follows what inside one group, up to the brace that ends it: blanks and what inner groups hold are left out.
-        if word.strip(_BLANK):
-            beside.setdefault(level, []).append(n)
-        if word == "{":
-            level += 1
-            opened[level] = n
-        elif word == "}":
-            if level in opened:
-                ends[opened.pop(level)] = offset
-            level -= 1
-    found = []
-    for row in beside.values():
-        closing, after = None, [None] * len(row)  # after: the place behind the next closing bracket of the group, from each place on
-        for k in reversed(range(len(row))):
-            if words[row[k]] in ("]", "}"):
-                closing = k + 1 if words[row[k]] == "]" and k + 1 < len(row) else None
-            after[k] = closing
-        for k in range(len(row) - 2):
-            command = _COMMAND.match(words[row[k]])
-            if not command or command[1] not in DEFINING:
-                continue
-            named, second = row[k + 1], words[row[k + 2]]
-            if second == "[":
-                at = after[k + 2]
-                at = after[at] if at is not None and words[row[at]] == "[" else at
-            else:
-                at = k + 3 if command[1] == "def" and second.startswith("#") else k + 2
-            if at is None or at >= len(row) or row[at] not in ends or not (named in ends or words[named].startswith("\\")):
-                continue
-            end = ends[row[at]]
-            begin, last = starts[row[at]] + 1, ends.get(row[at + 1]) if command[1].endswith("environment") and at + 1 < len(row) else None
-            name = _NAME.search(source[starts[named] : ends[named]] if words[named] == "{" else words[named])
-            if second == "[":
-                count = _ARITY.match(source[starts[row[k + 2]] :][:8])
-                arity = int(count[1]) if count else 0
-            else:
-                arity = second.count("#") if command[1] == "def" else 0
-            found.append((row[k], command[1], name[1] if name else "", arity, source[begin : end - 1], starts[row[k]], last or end))
-    return sorted(found)
+    """The definitions of one source, each a tuple of the fields of DEFINITION; n is the number of tokens before it."""
+    found, n, upto = [], 0, 0
+    for each in _definitions(source):
+        n += len(_TOKENS.findall(source, upto, each[4]))
+        upto = each[4]
+        found.append((n, *each))
+    return found
 
 
 def _cut(source: str, spans: list[tuple[int, int]], filler: str) -> str:
@@ -119,7 +137,7 @@ def _cut(source: str, spans: list[tuple[int, int]], filler: str) -> str:
 
 def _part(sources: pa.Array) -> pa.Array:
     read = sources.to_pylist()
-    found = [find_definitions(source) if source and _DEFINING.search(source) else [] for source in read]
+    found = [find_definitions(source) if source else [] for source in read]
     columns = list(zip(*[d for each in found for d in each], strict=True)) or [[]] * len(DEFINITION)
     fields = [pa.array(column, kind) for column, kind in zip(columns, DEFINITION.values(), strict=True)]
     ends = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
@@ -200,36 +218,55 @@ def without_definitions(papers: DataFrame) -> DataFrame:
     return papers.withColumn("source", _parted("source")["rest"])
 
 
-def find_environments(source: str, names: tuple[str, ...] | None = None) -> list[dict]:
-    """The environments of one source as environments() has them, in order; outer are those that begin after the ends of all before."""
-    levels, opened, found, furthest = {}, {}, [], 0
+def _environment_spans(source: str, names: tuple[str, ...] | None) -> list[tuple]:
+    """(start, end, body start, body end, name, depth) of the environments of one source, in order."""
+    levels, opened, found = {}, {}, []
     for mark in _ENVIRONMENT.finditer(source):
-        name = mark[0][mark[0].index("{") + 1 : -1]
+        name = mark[2]
         if names is not None and name not in names:
             continue
         level = levels.get(name, 0)
-        if mark[0].startswith("\\begin"):
+        if mark[1] == "begin":
             levels[name] = level + 1
-            opened[name, level + 1] = mark
+            opened[name, level + 1] = mark.span()
         else:
             levels[name] = level - 1
             begin = opened.pop((name, level), None)
             if begin:
-                found.append({"name": name, "start": begin.start(), "end": mark.end(), "body_start": begin.end(), "body_end": mark.start(), "depth": level - 1, "body": source[begin.end() : mark.start()]})
-    found.sort(key=lambda e: e["start"])
-    for each in found:
-        each["outer"] = each["start"] >= furthest
-        furthest = max(furthest, each["end"])
+                found.append((begin[0], mark.end(), begin[1], mark.start(), name, level - 1))
+    return sorted(found)
+
+
+def find_environments(source: str, names: tuple[str, ...] | None = None) -> list[dict]:
+    """The environments of one source as environments() has them, in order."""
+    return [{"name": name, "start": start, "end": end, "body_start": first, "body_end": last, "depth": depth, "body": source[first:last]} for start, end, first, last, name, depth in _environment_spans(source, names)]
+
+
+def find_displayed(source: str) -> list[tuple[str, str]]:
+    """(name, body) of the outermost environments of MATH in one source without its definitions: those that begin after the ends of all before."""
+    rest = _cut(source, [d[-2:] for d in _definitions(source)], "")
+    found, furthest = [], 0
+    for start, end, first, last, name, _ in _environment_spans(rest, MATH):
+        if start >= furthest:
+            found.append((name, rest[first:last]))
+        furthest = max(furthest, end)
     return found
 
 
+def _displayed(sources: pa.Array) -> pa.Array:
+    found = [find_displayed(source) if source else [] for source in sources.to_pylist()]
+    ends = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
+    fields = [pa.array([e[k] for each in found for e in each], pa.string()) for k in (0, 1)]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, ["name", "body"]))
+
+
 def _environments(names: tuple[str, ...] | None) -> Callable[[str], Column]:
-    return F.udf(lambda source: find_environments(source or "", names), "array<struct<name: string, start: int, end: int, body_start: int, body_end: int, depth: int, body: string, outer: boolean>>", useArrow=True).asNondeterministic()
+    return F.udf(lambda source: find_environments(source or "", names), "array<struct<name: string, start: int, end: int, body_start: int, body_end: int, depth: int, body: string>>", useArrow=True).asNondeterministic()
 
 
 def environments(papers: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """(paper, name, start, end, body_start, body_end, depth, body) of every environment, or those of the names; one inside another of its name ends where its own end stands, and depth counts those around it."""
-    return papers.select("paper", _environments(names)("source").alias("e")).select("paper", F.inline("e")).drop("outer")
+    return papers.select("paper", _environments(names)("source").alias("e")).select("paper", F.inline("e"))
 
 
 def without_environments(papers: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -240,10 +277,13 @@ def without_environments(papers: DataFrame, names: tuple[str, ...]) -> DataFrame
 
 def equations(papers: DataFrame) -> DataFrame:
     """(paper, ordinal, environment, latex, labels) of displayed equations in order: outermost ones, without definitions' parameters, of 3 characters or more."""
-    clean = without_definitions(papers.withColumn("source", without_comments(F.col("source"))))
     label = r"\\label\s*\{([^{}]*)\}"
-    outer = clean.select("paper", F.filter(_environments(MATH)("source"), lambda e: e["outer"]).alias("outer"))
-    found = F.transform("outer", lambda e: F.struct(e["name"].alias("environment"), F.regexp_replace(F.regexp_replace(e["body"], label, ""), r"^\s+|\s+$", "").alias("latex"), F.regexp_extract_all(e["body"], F.lit(label), F.lit(1)).alias("labels")))
+    read = F.arrow_udf(_displayed, "array<struct<name: string, body: string>>").asNondeterministic()
+    outer = papers.select("paper", read(without_comments(F.col("source"))).alias("outer"))
+    labelled = lambda e: F.contains(e["body"], F.lit("\\label"))
+    bare = lambda e: F.when(labelled(e), F.regexp_replace(e["body"], label, "")).otherwise(e["body"])
+    labels = lambda e: F.when(labelled(e), F.regexp_extract_all(e["body"], F.lit(label), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = F.transform("outer", lambda e: F.struct(e["name"].alias("environment"), F.regexp_replace(bare(e), r"^\s+|\s+$", "").alias("latex"), labels(e).alias("labels")))
     kept = F.filter(found, lambda e: ~e["latex"].contains("#") & (F.length(e["latex"]) >= 3))
     return outer.select("paper", F.posexplode(kept).alias("ordinal", "e")).select("paper", "ordinal", "e.*")
 

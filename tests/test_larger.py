@@ -49,6 +49,11 @@ def test_sources_are_shuffled_never_and_lines_once(spark, name):
     assert found.count("Exchange hash") == 1 and "Join" not in found and "latex-tokens" not in found
 
 
+def test_equations_are_read_in_one_pass_of_the_helper(spark):
+    found = plan(sources.fn_equations(spark, SMALL))
+    assert found.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in found
+
+
 @pytest.mark.parametrize(("name", "exchanges"), [("src_findmain", 1), ("src_inputs", 2), ("src_load", 2)])
 def test_files_of_archives_meet_once(spark, name, exchanges):
     found = plan(getattr(sources, name)(spark, SMALL))

@@ -67,3 +67,11 @@ def test_a_place_found_late_but_read_first_has_the_file(spark):
     rows = [("p", "m.tex", r"\begin{document}\input{a}|\input{z}"), ("p", "a.tex", r"a\input{b}"), ("p", "b.tex", r"b\input{z}"), ("p", "z.tex", r"z\input{y}"), ("p", "y.tex", "y")]
     files = spark.createDataFrame(rows, "paper string, path string, text string")
     assert archives.with_inputs(files, archives.main_files(files)).first().source == r"\begin{document}abzy|"
+
+
+def test_equations_beside_definitions_that_never_end(spark):
+    open_ = r"\newcommand{\a}[1 \begin{equation}x_1\label{one} = #1 \newcommand*{\b}{\begin{align}gone\end{align}}\end{equation}" + r"\\newcommand{\c}{\begin{gather} a \label{x}\label{y} b \begin{gather}in\end{gather}\end{gather}}" + r"\def\d #1{\begin{math}kept\end{math}}\def\e#1#2{\begin{math}none\end{math}}\begin{math}ab\end{math}\end{math}\begin{math}open"
+    got = [(r.ordinal, r.environment, r.latex, r.labels) for r in latex.equations(papers(spark, open_, None, "")).orderBy("ordinal").collect()]
+    assert got == [(0, "gather", r"a  b \begin{gather}in\end{gather}", ["x", "y"]), (1, "math", "kept", [])]
+    assert [(d[1], d[2], d[4]) for d in latex.find_definitions(open_)] == [("newcommand", "b", r"\begin{align}gone\end{align}"), ("def", "e", r"\begin{math}none\end{math}")]
+    assert latex.find_definitions(r"\newcommand\a[{" * 20000) == latex.find_definitions("[" * 20000 + r"\def\x{" * 20000) == []
