@@ -64,7 +64,7 @@ ASSUMPTIONS = (
 
 def clause(before: Column) -> Column:
     """The last 140 characters before the site, after their last clause break."""
-    marked = F.regexp_replace(F.translate(F.right(before, F.lit(140)), "\x01", "\x02"), CLAUSE_BREAK, "\x01")
+    marked = F.regexp_replace(F.replace(F.right(before, F.lit(140)), F.lit("\x01"), F.lit("\x02")), CLAUSE_BREAK, "\x01")
     return F.substring_index(marked, "\x01", -1)
 
 
@@ -78,7 +78,7 @@ def _cues(text: Column, pattern: str) -> Column:
     word = rf"(?i)\b(?:{pattern})\b"
     found = F.regexp_extract_all(text, F.lit(word), F.lit(0))
     # Split at a mark in place of each match, as split() compiles its pattern for each row.
-    pieces = F.split(F.regexp_replace(F.translate(text, "\x01", "\x02"), word, "\x01"), "\x01", -1)
+    pieces = F.split(F.regexp_replace(F.replace(text, F.lit("\x01"), F.lit("\x02")), word, "\x01"), "\x01", -1)
     each = _let(pieces, lambda p: F.transform(found, lambda m, n: F.struct(m.alias("cue"), F.get(p, n).alias("lead"), F.get(p, n + 1).alias("rest"))))
     return F.when(text.rlike(word), each)
 

@@ -59,7 +59,10 @@ def sections(papers: DataFrame) -> DataFrame:
     text = F.regexp_replace(body(F.col("t")), r"(?s)\\(?:begin\{thebibliography\}|bibliography\{).*$", "")
     parted = bare.select("paper", text.alias("t")).select("paper", F.regexp_extract("t", r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}", 1).alias("abstract"), F.regexp_replace("t", r"(?s)\\begin\{abstract\}.*?\\end\{abstract\}", "").alias("rest"))
     heads = F.regexp_extract_all("rest", F.lit(r"\\(?:sub)*section\*?\{[^}]*\}"), F.lit(0))
-    rows = parted.select("paper", "abstract", heads.alias("heads"), F.split("rest", r"\\(?:sub)*section\*?\{[^}]*\}", -1).alias("texts"))
+    head = r"\\(?:sub)*section\*?\{[^}]*\}"
+    # Split at a mark, as split() compiles its pattern for each row.
+    texts = F.when(F.contains("rest", F.lit("\x01")), F.split("rest", head, -1)).otherwise(F.split(F.regexp_replace("rest", head, "\x01"), "\x01", -1))
+    rows = parted.select("paper", "abstract", heads.alias("heads"), texts.alias("texts"))
     found = F.zip_with("heads", F.slice("texts", F.lit(2), F.size("texts")), lambda h, t: F.struct(F.regexp_extract(h, r"\{([^}]*)\}", 1).alias("title"), F.when(h.startswith("\\section"), 1).otherwise(2).alias("level"), t.alias("text")))
     abstract = F.col("abstract")
     first = F.when(abstract != "", F.array(F.struct(F.lit("Abstract").alias("title"), F.lit(0).alias("level"), abstract.alias("text")))).otherwise(F.expr("cast(array() as array<struct<title:string,level:int,text:string>>)"))
@@ -97,16 +100,26 @@ def plain_prose(tex: Column) -> Column:
     return F.when(tex.rlike(r"[\\{}~$]"), blanks(F.regexp_replace(out, r"\\[A-Za-z]+\*?|[{}~$]", " "))).otherwise(blanks(tex))
 
 
-def citation_sites(papers: DataFrame) -> DataFrame:
-    """(paper, section, kind, ordinal, key, before, after, sentence): one row for each key of each citation command in a sentence of 24 characters or more; keys of one command share its ordinal."""
-    each = sections(papers).select("paper", "section", "kind", F.posexplode(sentences(F.col("text"))).alias("n", "s")).where(F.length("s") >= 24)
-    commands = each.select("*", F.posexplode(F.regexp_extract_all("s", F.lit(CITE), F.lit(1))).alias("c", "keys"), F.split("s", CITE, -1).alias("parts"))
+def citation_commands(papers: DataFrame) -> DataFrame:
+    """(paper, section, kind, ordinal, keys, before, after, sentence): one row for each citation command in a sentence of 24 characters or more, keys as they are written."""
+    each = sections(papers).select("paper", "section", "kind", F.posexplode(sentences(F.col("text"))).alias("n", "s")).where((F.length("s") >= 24) & F.contains("s", F.lit("\\cite")))
+    # Split at a mark, as split() compiles its pattern for each row.
+    parts = F.when(F.contains("s", F.lit("\x01")), F.split("s", CITE, -1)).otherwise(F.split(F.regexp_replace("s", CITE, "\x01"), "\x01", -1))
+    cut = each.select("paper", "section", "kind", "n", plain_prose(F.col("s")).alias("sentence"), parts.alias("parts"), F.regexp_extract_all("s", F.lit(CITE), F.lit(1)).alias("commands"))
+    commands = cut.select("paper", "section", "kind", "n", "sentence", "parts", F.posexplode("commands").alias("c", "keys"))
     order = Window.partitionBy("paper").orderBy("section", "n", "c")
-    numbered = commands.withColumn("ordinal", F.row_number().over(order))
-    before = plain_prose(F.array_join(F.slice("parts", 1, F.col("c") + 1), " "))
-    after = plain_prose(F.array_join(F.slice("parts", F.col("c") + 2, F.size("parts")), " "))
-    keys = numbered.select("paper", "section", "kind", "ordinal", before.alias("before"), after.alias("after"), plain_prose(F.col("s")).alias("sentence"), F.explode(F.split("keys", ",")).alias("key"))
-    return keys.withColumn("key", F.trim("key")).where("key <> ''")
+    joined = commands.withColumn("ordinal", F.row_number().over(order)).withColumn("lead", F.array_join(F.slice("parts", 1, F.col("c") + 1), " ")).withColumn("rest", F.array_join(F.slice("parts", F.col("c") + 2, F.size("parts")), " "))
+    return joined.select("paper", "section", "kind", "ordinal", "keys", plain_prose(F.col("lead")).alias("before"), plain_prose(F.col("rest")).alias("after"), "sentence")
+
+
+def each_key(commands: DataFrame) -> DataFrame:
+    """A row with key for each of the keys of citation_commands(); what they share is read before, once."""
+    return commands.withColumn("key", F.explode(F.split("keys", ","))).withColumn("key", F.trim("key")).where("key <> ''").drop("keys")
+
+
+def citation_sites(papers: DataFrame) -> DataFrame:
+    """(paper, section, kind, ordinal, key, before, after, sentence): one row for each key of each citation command; keys of one command share its ordinal."""
+    return each_key(citation_commands(papers)).select("paper", "section", "kind", "ordinal", "key", "before", "after", "sentence")
 
 
 def references(papers: DataFrame) -> DataFrame:

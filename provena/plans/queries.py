@@ -517,9 +517,9 @@ def fn_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_discount) AS n FROM lineitem)
 SELECT l_orderkey AS paper, n AS ordinal, unnest(['s' || l_suppkey, 'p' || l_partkey]) AS key, 'method' AS kind, ['contests', 'extends', 'inherits', 'compares', 'background'][1 + l_linenumber % 5] AS stance FROM n""")
 def cl_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = markup.citation_sites(_papers(spark, sf_dir))
+    commands = markup.citation_commands(_papers(spark, sf_dir))
     stance = cues.read_stance(F.col("before"), F.col("after"), F.col("sentence"))
-    return sites.select("paper", "ordinal", "key", "kind", stance["stance"].alias("stance"))
+    return markup.each_key(commands.select("paper", "ordinal", "keys", "kind", stance["stance"].alias("stance"))).select("paper", "ordinal", "key", "kind", "stance")
 
 
 @query("""SELECT l_orderkey AS paper, 's' || l_suppkey AS key, 'A. Author ' || l_linenumber AS authors, 'Title of work ' || l_suppkey AS title, 2000 + l_linenumber AS year, lpad(CAST(l_partkey % 10000 AS VARCHAR), 4, '0') || '.12345' AS own_id FROM lineitem""")

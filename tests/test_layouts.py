@@ -83,3 +83,15 @@ def test_rows_of_a_page_do_not_hold_all_words_of_their_document(spark):
     from provena.plans.all import QUERIES
 
     assert "explode(sequence" not in planned(QUERIES["loc_page"](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_citation_command_is_read_once_for_all_its_keys(spark):
+    from provena.plans import queries
+
+    lines = planned(queries.cl_read(spark, "/root/testdata/sf0.001")).split("\n")
+    first = lambda part: next(n for n, line in enumerate(lines) if part in line)
+    assert first("Generate explode(split(keys") < first("background")
+    text = r"\section{Method} Unlike \cite{a, ,b} and \citep[see]{c} this holds, as in ~\cite{d}. We extend \cite{a} here \x01 too. \cite{} is a short one without keys."
+    rows = markup.citation_sites(spark.createDataFrame([(1, text.replace(r"\x01", "\x01")), (2, None), (3, r"\cite{short}")], "paper int, source string")).orderBy("ordinal", "key").collect()
+    assert [(r.ordinal, r.key, r.before, r.after) for r in rows][:4] == [(1, "a", "Unlike", "and this holds, as in ."), (1, "b", "Unlike", "and this holds, as in ."), (2, "c", "Unlike and", "this holds, as in ."), (3, "d", "Unlike and this holds, as in", ".")]
+    assert [(r.ordinal, r.key, r.after) for r in rows][4:] == [(4, "a", "here \x01 too.")] and {r.kind for r in rows} == {"method"}
