@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provena.functions.numbers import rounded
-from provena.operators import evaluate, locate
+from provena.operators import evaluate, findings, locate
 from provena.plans import checks, claims, places, sources
 from provena.plans.queries import ORACLE, agg_nb
 from tests.parity import differences, oracle
@@ -66,6 +66,17 @@ def test_cells_of_tables_stay_with_their_paper(spark, name, exchanges):
     assert found.count("Exchange hash") == exchanges and "/cells-" not in found and "Broadcast" not in found
 
 
+def test_plants_are_listed_and_checked_without_further_passes_over_all_cells(spark):
+    cells = checks._cells(spark, SMALL, wrong=False)
+    halves = findings.folded(cells).localCheckpoint()
+    spoilt, ledger = findings.plant_totals(cells, halves=halves)
+    assert "Join" not in plan(ledger) and "lineitem" not in plan(ledger) and "SortMergeJoin" not in plan(spoilt)
+    checked = findings.aggregate_mismatch({"cells": spoilt, "halves": halves})
+    assert plan(checked).count("FileScan parquet [l_orderkey") == 1
+    alone = findings.aggregate_mismatch({"cells": spoilt})
+    assert sorted(map(str, checked.collect())) == sorted(map(str, alone.collect())) and checked.count() == ledger.count()
+
+
 @pytest.mark.parametrize("name", ["loc_anchor", "loc_roundtrip"])
 def test_only_documents_that_hold_a_quote_are_set_in_words_and_once(spark, name):
     found = getattr(places, name)(spark, SMALL)
